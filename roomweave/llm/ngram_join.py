@@ -141,23 +141,22 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def fragments(docs: DataFrame, n: int) -> DataFrame:
-    """(set_id, frag, grams): all sets in COUNTED ranges of the n-gram order."""
+    """(set_id, frag, grams): wanted sets in COUNTED ranges of the n-gram order, from rows (texts, wanted)."""
     schema = [("set_id", pa.int64()), ("frag", pa.int32()), ("grams", pa.list_(pa.int64()))]
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                names, frags, lists = [], [], []
-                for grams in _sets(part, n):
+            for texts, wanted in zip(batch.column("texts").to_pylist(), batch.column("wanted").to_pylist()):
+                rows, left = [], set(wanted)
+                for grams in _sets(pa.record_batch({"text": pa.array(texts, pa.string())}), n):
                     name = _name(grams)
-                    if name is None:
+                    if name not in left:
                         continue
+                    left.remove(name)
                     cuts = np.searchsorted((grams >> U(32)) * U(COUNTED) >> U(32), np.arange(COUNTED + 1).astype(U))
-                    for k in range(COUNTED):
-                        names.append(name)
-                        frags.append(k)
-                        lists.append(grams[cuts[k] : cuts[k + 1]].view(np.int64))
-                yield _batches(schema, [names, frags, lists])
+                    rows += [(name, k, grams[cuts[k] : cuts[k + 1]].view(np.int64)) for k in range(COUNTED)]
+                if rows:
+                    yield _batches(schema, list(zip(*rows)))
 
     return docs.mapInArrow(run, "set_id long, frag int, grams array<long>")
 
@@ -173,34 +172,41 @@ def _overlaps(pairs: DataFrame, frags: DataFrame) -> DataFrame:
         F.flatten(F.collect_list(F.concat("missing", "extra"))).alias("differing"))
 
 
-def _rest(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (hub, set) of sets around one hub that may link, from rows
-    (hub, zone, set, items, cost, room, probe, index): at least (cost1 + cost2 - room) / (100 + percent) items are shared,
-    and at least ``probe`` of the one's, ``index`` of the other's."""
+def _rarest_first(rows: DataFrame) -> DataFrame:
+    """rows (hub, zone, set, items, ...) with an item a row, its place pos by frequency around the hub; n items in all.
+    Items of one set only are left out, but count for the places of others."""
     around = W.partitionBy("hub", "zone", "set").orderBy("freq", "item")
-    items = rows.select("hub", "zone", "set", "cost", "room", "probe", "index", F.size("items").alias("n"), F.explode("items").alias("item"))
+    items = rows.withColumn("n", F.size("items")).withColumn("item", F.explode("items")).drop("items")
     freq = items.groupBy("hub", "zone", "item").agg(F.count("*").alias("freq"))
-    ranked = items.join(freq, ["hub", "zone", "item"]).withColumn("pos", F.row_number().over(around)).where("freq > 1")
-    one = ranked.where("probe IS NOT NULL AND pos <= n - probe + 1").select("hub", "zone", "item", *(F.col(c).alias(f"{c}1") for c in ("set", "cost", "pos", "n")), "room")
-    two = ranked.where("pos <= n - index + 1").select("hub", "zone", "item", *(F.col(c).alias(f"{c}2") for c in ("set", "cost", "pos", "n")))
+    return items.join(freq, ["hub", "zone", "item"]).withColumn("pos", F.row_number().over(around)).where("freq > 1").drop("freq")
+
+
+def _rest(items: DataFrame, percent: int) -> DataFrame:
+    """Pairs (hub, set1, set2) of sets around one hub that may link, from items
+    (hub, zone, set, item, pos, n, cost, room, probe, index): at least (cost1 + cost2 - room) / (100 + percent) items are
+    shared, and at least ``probe`` of the one's, ``index`` of the other's."""
+    names = ("set", "cost", "pos", "n")
+    one = items.where("probe IS NOT NULL AND pos <= n - probe + 1").select("hub", "zone", "item", *(F.col(c).alias(f"{c}1") for c in names), "room")
+    two = items.where("pos <= n - index + 1").select("hub", "zone", "item", *(F.col(c).alias(f"{c}2") for c in names))
     fits = F.expr(f"set1 <> set2 AND (least(pos1, pos2) + least(n1 - pos1, n2 - pos2)) * {100 + percent} >= cost1 + cost2 - room")
     found = one.join(two, ["hub", "zone", "item"]).where(fits)
-    return found.select(F.least("set1", "set2").alias("hub"), F.greatest("set1", "set2").alias("set")).distinct()
+    return found.select("hub", F.least("set1", "set2").alias("set1"), F.greatest("set1", "set2").alias("set2")).distinct()
 
 
 def linked_sets(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (hub, set) between different sets that join all that are linked; sets: digests(docs)."""
     sent = signatures(docs, n, percent)
-    shared = sent.groupBy("sig").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("sig", "size")
-    members = checkpointed(sent.join(shared, "sig").groupBy("sig", "set_id").agg(F.first("size").alias("size")))
-    score = members.groupBy("set_id").agg(F.sum("size").alias("score"))
+    shared = sent.groupBy("sig").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo < hi").select("sig")
+    members = checkpointed(sent.join(shared, "sig").distinct())
+    sizes = members.groupBy("sig").agg(F.count("*").alias("size"))
+    score = members.join(sizes, "sig").groupBy("set_id").agg(F.sum("size").alias("score"))
     hubs = members.join(score, "set_id").groupBy("sig").agg(F.max(F.struct("score", "set_id")).alias("best")).select("sig", F.col("best.set_id").alias("hub"))
     pairs = checkpointed(members.join(hubs, "sig").where("set_id <> hub").select("hub", F.col("set_id").alias("set")).distinct())
 
     involved = pairs.select(F.col("set").alias("set_id")).unionByName(pairs.select(F.col("hub").alias("set_id"))).distinct()
-    holders = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).join(involved, "set_id").select("doc_id", F.lit(True).alias("wanted")).distinct()
-    frags = fragments(docs.join(holders, "doc_id").select("doc_id", "text"), n).join(involved, "set_id", "left_semi")
-    frags = checkpointed(frags.dropDuplicates(["set_id", "frag"]))
+    holders = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).join(involved, "set_id").groupBy("doc_id").agg(F.collect_set("set_id").alias("wanted"))
+    texts = docs.join(holders, "doc_id").groupBy("doc_id").agg(F.collect_set("text").alias("texts"), F.first("wanted").alias("wanted"))
+    frags = checkpointed(fragments(texts.select("texts", "wanted"), n))
 
     top, low = 100 + percent, 100 - percent
     counted = checkpointed(_overlaps(pairs, frags).selectExpr(
@@ -210,14 +216,24 @@ def linked_sets(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataF
     near = counted.where(f"jaccard >= {NEAR - margin}").selectExpr(
         "hub", "'near' AS zone", "set", "differing AS items", "cost", "room",
         f"CASE WHEN NOT linked THEN greatest(1, CAST(ceil((cost - room) / {top}) AS INT)) END AS probe", f"CAST(floor(cost / {top}) AS INT) + 1 AS index")
+    # Far from the hub, the sets' own n-grams are compared; there the global order is as good, and only prefixes move.
     own = frags.select(F.col("set_id").alias("set"), "grams")
-    far = (counted.where(f"jaccard <= {NEAR + margin} AND NOT linked").select("hub", "set").join(own, "set").groupBy("hub", "set").agg(F.flatten(F.collect_list("grams")).alias("items"))
-           .selectExpr("hub", "'far' AS zone", "set", "items", f"{percent} * size(items) AS cost", "0 AS room",
-                       f"CAST(ceil({percent} * size(items) / 100) AS INT) AS probe", f"CAST(ceil({percent} * size(items) / 100) AS INT) AS index"))
-    # Only hubs with a set that is not linked to them can have left a link out.
-    open_hubs = counted.where("NOT linked").select("hub").distinct()
-    rest = _rest(near.unionByName(far).join(open_hubs, "hub", "left_semi"), percent)
-    more = _overlaps(rest, frags).where(f"100 * both >= {percent} * (both + n_missing + n_extra)")
+    least = F.ceil(percent * F.col("n") / 100).cast("int")
+    lone = counted.where(f"jaccard <= {NEAR + margin} AND NOT linked").select("hub", "set")
+    several = lone.groupBy("hub").agg(F.count("*").alias("members")).where("members > 1").select("hub")
+    alone = (lone.join(several, "hub", "left_semi").join(own, "set").groupBy("hub", "set").agg(F.array_sort(F.flatten(F.collect_list("grams"))).alias("items"))
+             .withColumn("n", F.size("items")).select("hub", F.lit("far").alias("zone"), "set", "n", F.posexplode(F.slice("items", F.lit(1), F.col("n") - least + 1)).alias("pos", "item")))
+    far = alone.select("hub", "zone", "set", (percent * F.col("n")).alias("cost"), F.lit(0).alias("room"), least.alias("probe"), least.alias("index"), "n", "item", (F.col("pos") + 1).alias("pos"))
+    # Only hubs with two sets, not both linked to them, can have left a link out.
+    open_hubs = counted.groupBy("hub").agg(F.count("*").alias("sets"), F.count_if(~F.col("linked")).alias("open")).where("sets > 1 AND open > 0").select("hub")
+    # Near the hub, the differences that two sets share give their overlap; far from it, it is counted as before.
+    differences = near.select("hub", "set", "items", "cost", "room")
+    one = differences.select("hub", F.col("set").alias("set1"), F.col("items").alias("items1"), F.col("cost").alias("cost1"), "room")
+    two = differences.select("hub", F.col("set").alias("set2"), F.col("items").alias("items2"), F.col("cost").alias("cost2"))
+    close = (_rest(_rarest_first(near.join(open_hubs, "hub", "left_semi")), percent).join(one, ["hub", "set1"]).join(two, ["hub", "set2"])
+             .where(f"{top} * size(array_intersect(items1, items2)) >= cost1 + cost2 - room").select(F.col("set1").alias("hub"), F.col("set2").alias("set")))
+    apart = _overlaps(_rest(far, percent).select(F.col("set1").alias("hub"), F.col("set2").alias("set")).distinct(), frags)
+    more = close.unionByName(apart.where(f"100 * both >= {percent} * (both + n_missing + n_extra)").select("hub", "set"))
     return counted.where("linked").select("hub", "set").unionByName(more.select("hub", "set"))
 
 
