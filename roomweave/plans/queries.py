@@ -39,7 +39,7 @@ def evpts(spark: SparkSession, d: str) -> DataFrame:
 def cams(spark: SparkSession, d: str) -> DataFrame:
     e = evpts(spark, d).where("frame_num IS NOT NULL")
     first = e.select("frame_num").distinct().orderBy("frame_num").limit(8)
-    return e.join(F.broadcast(first), "frame_num").groupBy("frame_num").agg(*(F.avg(c).alias(c) for c in "xyz")).withColumnRenamed("frame_num", "camera")
+    return e.join(F.broadcast(first), "frame_num").groupBy("frame_num").agg(*(F.round(F.avg(c), 6).alias(c) for c in "xyz")).withColumnRenamed("frame_num", "camera")
 
 
 def objs(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +51,7 @@ def objs(spark: SparkSession, d: str) -> DataFrame:
 PTS = "pts AS (SELECT vec_id AS pid, embedding[1]::DOUBLE * 10 AS x, embedding[2]::DOUBLE * 10 AS y, embedding[3]::DOUBLE * 10 AS z, label + 1 AS class_idx FROM embeddings)"
 EVPTS = ("evpts AS (SELECT event_id AS pid, value / 100.0::DOUBLE AS x, (user_id % 20) * 0.1::DOUBLE AS y, minute(ts) / 20.0::DOUBLE AS z, event_type AS label, user_id AS frame_num, "
          "value / 500.0::DOUBLE AS conf, ts FROM events)")
-CAMS = "cams AS (SELECT frame_num AS camera, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM evpts WHERE frame_num IN (SELECT DISTINCT frame_num FROM evpts ORDER BY 1 LIMIT 8) GROUP BY 1)"
+CAMS = "cams AS (SELECT frame_num AS camera, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z FROM evpts WHERE frame_num IN (SELECT DISTINCT frame_num FROM evpts ORDER BY 1 LIMIT 8) GROUP BY 1)"
 _NAMES = "[" + ", ".join(f"'{c}'" for c in CLASSES) + "]"
 OBJS = (f"objs AS (SELECT ord, {_NAMES}[ord] AS label, x, y, z, x - 0.1::DOUBLE * sx AS lo_x, y - 0.1::DOUBLE * sy AS lo_y, z - 0.1::DOUBLE * sz AS lo_z, x + 0.1::DOUBLE * sx AS hi_x, y + 0.1::DOUBLE * sy AS hi_y, z + 0.1::DOUBLE * sz AS hi_z "
         "FROM (SELECT class_idx AS ord, avg(x * 4) AS x, avg(y * 4) AS y, avg(z * 4) AS z, stddev_pop(x * 4) AS sx, stddev_pop(y * 4) AS sy, stddev_pop(z * 4) AS sz FROM pts GROUP BY 1))")
