@@ -163,9 +163,9 @@ def fragments(docs: DataFrame, n: int) -> DataFrame:
 
 def _overlaps(pairs: DataFrame, frags: DataFrame) -> DataFrame:
     """pairs (hub, set) with both, n_missing, n_extra and the differing n-grams; partial counts, summed per pair."""
-    mine = frags.select(F.col("set_id").alias("set"), "frag", F.col("grams").alias("mine"))
-    hubs = frags.select(F.col("set_id").alias("hub"), "frag", F.col("grams").alias("hubs"))
-    part = pairs.join(mine, "set").join(hubs, ["hub", "frag"]).select(
+    mine = frags.join(pairs.select("hub", F.col("set").alias("set_id")), "set_id").select("hub", F.col("set_id").alias("set"), "frag", F.col("grams").alias("mine"))
+    hubs = frags.join(pairs.select(F.col("hub").alias("set_id")).distinct(), "set_id").select(F.col("set_id").alias("hub"), "frag", F.col("grams").alias("hubs"))
+    part = mine.join(hubs, ["hub", "frag"]).select(
         "hub", "set", F.size("mine").alias("n"), F.array_except("mine", "hubs").alias("extra"), F.array_except("hubs", "mine").alias("missing"))
     return part.groupBy("hub", "set").agg(
         F.sum(F.col("n") - F.size("extra")).alias("both"), F.sum(F.size("missing")).alias("n_missing"), F.sum(F.size("extra")).alias("n_extra"),
@@ -216,14 +216,13 @@ def linked_sets(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataF
     near = counted.where(f"jaccard >= {NEAR - margin}").selectExpr(
         "hub", "'near' AS zone", "set", "differing AS items", "cost", "room",
         f"CASE WHEN NOT linked THEN greatest(1, CAST(ceil((cost - room) / {top}) AS INT)) END AS probe", f"CAST(floor(cost / {top}) AS INT) + 1 AS index")
-    # Far from the hub, the sets' own n-grams are compared; there the global order is as good, and only prefixes move.
+    # Far from the hub, the sets' own n-grams are compared, around hubs that several sets are far from.
     own = frags.select(F.col("set_id").alias("set"), "grams")
-    least = F.ceil(percent * F.col("n") / 100).cast("int")
     lone = counted.where(f"jaccard <= {NEAR + margin} AND NOT linked").select("hub", "set")
     several = lone.groupBy("hub").agg(F.count("*").alias("members")).where("members > 1").select("hub")
-    alone = (lone.join(several, "hub", "left_semi").join(own, "set").groupBy("hub", "set").agg(F.array_sort(F.flatten(F.collect_list("grams"))).alias("items"))
-             .withColumn("n", F.size("items")).select("hub", F.lit("far").alias("zone"), "set", "n", F.posexplode(F.slice("items", F.lit(1), F.col("n") - least + 1)).alias("pos", "item")))
-    far = alone.select("hub", "zone", "set", (percent * F.col("n")).alias("cost"), F.lit(0).alias("room"), least.alias("probe"), least.alias("index"), "n", "item", (F.col("pos") + 1).alias("pos"))
+    least = F.ceil(percent * F.size("items") / 100).cast("int")
+    far = (lone.join(several, "hub", "left_semi").join(own, "set").groupBy("hub", "set").agg(F.flatten(F.collect_list("grams")).alias("items"))
+           .select("hub", F.lit("far").alias("zone"), "set", "items", (percent * F.size("items")).alias("cost"), F.lit(0).alias("room"), least.alias("probe"), least.alias("index")))
     # Only hubs with two sets, not both linked to them, can have left a link out.
     open_hubs = counted.groupBy("hub").agg(F.count("*").alias("sets"), F.count_if(~F.col("linked")).alias("open")).where("sets > 1 AND open > 0").select("hub")
     # Near the hub, the differences that two sets share give their overlap; far from it, it is counted as before.
@@ -232,7 +231,7 @@ def linked_sets(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataF
     two = differences.select("hub", F.col("set").alias("set2"), F.col("items").alias("items2"), F.col("cost").alias("cost2"))
     close = (_rest(_rarest_first(near.join(open_hubs, "hub", "left_semi")), percent).join(one, ["hub", "set1"]).join(two, ["hub", "set2"])
              .where(f"{top} * size(array_intersect(items1, items2)) >= cost1 + cost2 - room").select(F.col("set1").alias("hub"), F.col("set2").alias("set")))
-    apart = _overlaps(_rest(far, percent).select(F.col("set1").alias("hub"), F.col("set2").alias("set")).distinct(), frags)
+    apart = _overlaps(_rest(_rarest_first(far), percent).select(F.col("set1").alias("hub"), F.col("set2").alias("set")).distinct(), frags)
     more = close.unionByName(apart.where(f"100 * both >= {percent} * (both + n_missing + n_extra)").select("hub", "set"))
     return counted.where("linked").select("hub", "set").unionByName(more.select("hub", "set"))
 

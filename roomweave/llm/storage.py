@@ -6,12 +6,22 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed and written to the checkpoint folder, from which any executor can read it again."""
+    """df, computed and written to the checkpoint folder, from which any executor can read it again.
+
+    Spark then drops the shuffle files that led to it, which nothing reads again.
+    """
     spark = df.sparkSession
     set_checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # the setting holds for plans made under it
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def set_checkpoint_dir(spark: SparkSession) -> None:
