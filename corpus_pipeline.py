@@ -6,6 +6,8 @@ columns of documents, with n_chars as of the new text.
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +61,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES[:-1]):
-        path = f"{folder}/pipeline-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}/{k}"
+        path = f"{folder}/pipeline-{spark.sparkContext.applicationId}-{md5(sf_dir.encode()).hexdigest()[:12]}/{k}"
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
