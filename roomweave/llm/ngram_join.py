@@ -6,7 +6,13 @@ order.  Documents with equal sets are one node, named by a fingerprint of the se
 Candidates.  Linked sets differ in few n-grams (at most d for the smaller set's size class); cut into more than d
 fragments, they agree on one.  Each set sends a fingerprint of each non-empty fragment, once for its size class and
 once more where a smaller partner may lie in the class below.  A set with too few filled fragments for this argument
-also goes to a bucket of such sets.
+also goes to a bucket of such sets.  Below FRAGMENTS_FROM percent such fragments would hold a handful of n-grams, and
+sets with a common passage would agree on many; there, sets send their prefix instead: linked sets of s n-grams share
+one of the first s - ceil(s * percent / 100) + 1 in any common order, and n-grams go from rare to frequent by a table
+of SLOTS counts over all documents.  Collisions in the table change the order, not the links.
+
+Sets carry sketches, a bit for the parity of the n-grams of each hash range.  Differing bits bound the overlap from
+above, so sets far from their hub are known before their n-grams are fetched.
 
 Verification.  Sets that agree on a fragment are not paired with each other, but with one hub of the bucket (the set
 with most agreement overall).  Overlaps are counted fragment by fragment and summed per pair.
@@ -37,6 +43,10 @@ from roomweave.llm.wordhash import U, Words, mix, slices, window_hashes
 
 COUNTED = 8  # fragments in which overlaps are counted
 NEAR = 0.5
+FRAGMENTS_FROM = 85  # percent
+SLOTS = 1 << 18  # counts of n-grams, 2 MB wherever they are sent
+SKETCH = 1 << 16  # most bits of a sketch
+SMALL = 32  # sets in a bucket, up to which those far from the hub are compared by sketches
 
 
 def _sets(batch: pa.RecordBatch, n: int):
@@ -60,6 +70,21 @@ def _name(grams: np.ndarray) -> int | None:
     return int(mix(np.array([mix(grams + U(1)).sum(dtype=U) + U(len(grams))], dtype=U)).view(np.int64)[0])
 
 
+def _sketch(grams: np.ndarray) -> bytes:
+    """Parities of the n-grams by their low bits, 4 to 8 bits an n-gram up to SKETCH in all."""
+    width = min(SKETCH, max(64, 1 << (4 * len(grams) - 1).bit_length()))
+    counts = np.bincount((grams & U(width - 1)).astype(np.int64), minlength=width)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _most_common(n1: int, n2: int, one: bytes, two: bytes) -> int:
+    """An upper bound of the overlap of sets of n1 and n2 n-grams: each differing parity is an n-gram of one alone."""
+    a, b = sorted((np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return min(n1, n2, (n1 + n2 - int(np.bitwise_count(a ^ b).sum())) // 2)
+
+
 class SizeClasses:
     """How sets of a size are cut, so that sets with 100 * intersection >= percent * union agree on a fragment."""
 
@@ -105,20 +130,58 @@ def _batches(schema: list[tuple[str, pa.DataType]], rows) -> pa.RecordBatch:
 
 
 def digests(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id) of rows (doc_id, text); set_id is null for an empty set."""
-    schema = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64())]
+    """(doc_id, n_shingles, set_id, sketch) of rows (doc_id, text); set_id and sketch are null for an empty set."""
+    schema = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("sketch", pa.binary())]
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                made = [(len(s), _name(s), _sketch(s) if len(s) else None) for s in _sets(part, n)]
+                yield _batches(schema, [part.column("doc_id"), *zip(*made)])
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long, sketch binary")
+
+
+def _slots(grams: np.ndarray) -> np.ndarray:
+    return (mix(grams) % U(SLOTS)).astype(np.int64)
+
+
+def frequencies(docs: DataFrame, n: int) -> np.ndarray:
+    """How many sets hold n-grams of each slot, over all documents; a task counts neighbouring copies once."""
+    schema = [("slot", pa.int32()), ("sets", pa.int64())]
 
     def run(batches):
+        counts, seen = np.zeros(SLOTS, dtype=np.int64), set()
         for batch in batches:
             for part in slices(batch, "text"):
-                made = [(len(s), _name(s)) for s in _sets(part, n)]
-                yield _batches(schema, [part.column("doc_id"), [x[0] for x in made], [x[1] for x in made]])
+                new = []
+                for grams in _sets(part, n):
+                    name = _name(grams)
+                    if name is not None and name not in seen:
+                        if len(seen) > 100_000:
+                            seen.clear()
+                        seen.add(name)
+                        new.append(grams)
+                if new:
+                    counts += np.bincount(_slots(np.concatenate(new)), minlength=SLOTS)
+        used = np.flatnonzero(counts)
+        yield _batches(schema, [used, counts[used]])
+
+    made = docs.mapInArrow(run, "slot int, sets long").groupBy("slot").agg(F.sum("sets").alias("sets")).toArrow()  # SLOTS rows at most
+    out = np.zeros(SLOTS, dtype=np.int64)
+    out[made.column("slot").to_numpy()] = made.column("sets").to_numpy()
+    return out
+
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long")
+def _prefix(grams: np.ndarray, percent: int, counts: np.ndarray) -> np.ndarray:
+    """The rarest n-grams of a set, one of which every linked set has among its own rarest."""
+    order = np.argsort(counts[_slots(grams)], kind="stable")  # ties in the order of the n-grams
+    return grams[order[: len(grams) + (-percent * len(grams)) // 100 + 1]]
 
 
 def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(sig, set_id): what each set sends. A task sends a set once for neighbouring copies."""
+    rare = docs.sparkSession.sparkContext.broadcast(frequencies(docs, n)) if percent < FRAGMENTS_FROM else None
 
     def run(batches):
         classes, seen = SizeClasses(percent), {}
@@ -132,7 +195,7 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     if len(seen) > 100_000:
                         seen.clear()
                     seen[name] = True
-                    sigs.append(classes.signatures(grams).view(np.int64))
+                    sigs.append((_prefix(grams, percent, rare.value) if rare else classes.signatures(grams)).view(np.int64))
                     names.append(np.full(len(sigs[-1]), name, dtype=np.int64))
                 if sigs:
                     yield _batches([("sig", pa.int64()), ("set_id", pa.int64())], [np.concatenate(sigs), np.concatenate(names)])
@@ -161,15 +224,32 @@ def fragments(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "set_id long, frag int, grams array<long>")
 
 
-def _overlaps(pairs: DataFrame, frags: DataFrame) -> DataFrame:
-    """pairs (hub, set) with both, n_missing, n_extra and the differing n-grams; partial counts, summed per pair."""
+def _beside(pairs: DataFrame, frags: DataFrame) -> DataFrame:
+    """(hub, set, frag, n, extra, missing): pairs (hub, set) fragment by fragment, with the n-grams in which they differ."""
     mine = frags.join(pairs.select("hub", F.col("set").alias("set_id")), "set_id").select("hub", F.col("set_id").alias("set"), "frag", F.col("grams").alias("mine"))
     hubs = frags.join(pairs.select(F.col("hub").alias("set_id")).distinct(), "set_id").select(F.col("set_id").alias("hub"), "frag", F.col("grams").alias("hubs"))
-    part = mine.join(hubs, ["hub", "frag"]).select(
-        "hub", "set", F.size("mine").alias("n"), F.array_except("mine", "hubs").alias("extra"), F.array_except("hubs", "mine").alias("missing"))
-    return part.groupBy("hub", "set").agg(
-        F.sum(F.col("n") - F.size("extra")).alias("both"), F.sum(F.size("missing")).alias("n_missing"), F.sum(F.size("extra")).alias("n_extra"),
-        F.flatten(F.collect_list(F.concat("missing", "extra"))).alias("differing"))
+    return mine.join(hubs, ["hub", "frag"]).select(
+        "hub", "set", "frag", F.size("mine").alias("n"), F.array_except("mine", "hubs").alias("extra"), F.array_except("hubs", "mine").alias("missing"))
+
+
+def _overlaps(pairs: DataFrame, frags: DataFrame) -> DataFrame:
+    """pairs (hub, set) with both, n_missing and n_extra: partial counts, summed per pair."""
+    return _beside(pairs, frags).groupBy("hub", "set").agg(
+        F.sum(F.col("n") - F.size("extra")).alias("both"), F.sum(F.size("missing")).alias("n_missing"), F.sum(F.size("extra")).alias("n_extra"))
+
+
+def _surely_far(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
+    """pairs (hub, set, company) with far: whether sketches prove a similarity below jaccard."""
+    known = sets.groupBy("set_id").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    sides = [known.select(F.col("set_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")) for side in ("hub", "set")]
+
+    def run(batches):
+        for batch in batches:
+            both = [_most_common(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("n_hub", "n_set", "sketch_hub", "sketch_set")))]
+            sizes = [a + b for a, b in zip(batch.column("n_hub").to_pylist(), batch.column("n_set").to_pylist())]
+            yield pa.record_batch({"hub": batch.column("hub"), "set": batch.column("set"), "company": batch.column("company"), "far": pa.array([x < jaccard * (t - x) for x, t in zip(both, sizes)], pa.bool_())})
+
+    return pairs.join(sides[0], "hub").join(sides[1], "set").mapInArrow(run, "hub long, set long, company long, far boolean")
 
 
 def _rarest_first(rows: DataFrame) -> DataFrame:
@@ -193,6 +273,18 @@ def _rest(items: DataFrame, percent: int) -> DataFrame:
     return found.select("hub", F.least("set1", "set2").alias("set1"), F.greatest("set1", "set2").alias("set2")).distinct()
 
 
+def _met(at: DataFrame) -> DataFrame:
+    """Pairs (hub, set, far1, far2) of sets in the same small bucket, from rows (sig, hub, set, far); the first stands as hub."""
+    one, two = (at.select("sig", F.col("set").alias(f"set{k}"), F.col("far").alias(f"far{k}")) for k in (1, 2))
+    return one.join(two, "sig").where("set1 < set2").select(F.col("set1").alias("hub"), F.col("set2").alias("set"), "far1", "far2")
+
+
+def _like(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (hub, set) that sketches do not tell apart."""
+    once = met.select("hub", "set", F.lit(0).cast("long").alias("company")).distinct()
+    return _surely_far(once, sets, (percent - 1) / 100).where("NOT far").select("hub", "set")  # one off for rounding
+
+
 def linked_sets(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (hub, set) between different sets that join all that are linked; sets: digests(docs)."""
     sent = signatures(docs, n, percent)
@@ -200,38 +292,53 @@ def linked_sets(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataF
     members = checkpointed(sent.join(shared, "sig").distinct())
     sizes = members.groupBy("sig").agg(F.count("*").alias("size"))
     score = members.join(sizes, "sig").groupBy("set_id").agg(F.sum("size").alias("score"))
-    hubs = members.join(score, "set_id").groupBy("sig").agg(F.max(F.struct("score", "set_id")).alias("best")).select("sig", F.col("best.set_id").alias("hub"))
-    pairs = checkpointed(members.join(hubs, "sig").where("set_id <> hub").select("hub", F.col("set_id").alias("set")).distinct())
-
-    involved = pairs.select(F.col("set").alias("set_id")).unionByName(pairs.select(F.col("hub").alias("set_id"))).distinct()
-    holders = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).join(involved, "set_id").groupBy("doc_id").agg(F.collect_set("set_id").alias("wanted"))
+    hubs = members.join(score, "set_id").groupBy("sig").agg(F.max(F.struct("score", "set_id")).alias("best"), F.count("*").alias("size")).select("sig", F.col("best.set_id").alias("hub"), "size")
+    # Sets that link must share a bucket, so two sets beside one hub only matter if both met it in company of others.
+    pairs = members.join(hubs, "sig").where("set_id <> hub").groupBy("hub", F.col("set_id").alias("set")).agg(F.max("size").alias("company"))
+    top, low = 100 + percent, 100 - percent
+    margin = low / 200
+    named = sets.where("set_id IS NOT NULL")
+    pairs = checkpointed(_surely_far(pairs, named, NEAR - margin))
+    at = members.join(hubs.where(f"size BETWEEN 3 AND {SMALL}"), "sig").select("sig", "hub", F.col("set_id").alias("set")).join(pairs.select("hub", "set", "far"), ["hub", "set"])
+    strangers = checkpointed(_like(_met(at).where("far1 OR far2"), named, percent))
+    counting = pairs.where("NOT far").select("hub", "set")
+
+    involved = (counting.select(F.col("set").alias("set_id")).unionByName(counting.select(F.col("hub").alias("set_id")))
+                .unionByName(pairs.where(f"far AND company > {SMALL}").select(F.col("set").alias("set_id")))
+                .unionByName(strangers.select(F.explode(F.array("hub", "set")).alias("set_id"))).distinct())
+    holders = named.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).join(involved, "set_id").groupBy("doc_id").agg(F.collect_set("set_id").alias("wanted"))
     texts = docs.join(holders, "doc_id").groupBy("doc_id").agg(F.collect_set("text").alias("texts"), F.first("wanted").alias("wanted"))
     frags = checkpointed(fragments(texts.select("texts", "wanted"), n))
 
-    top, low = 100 + percent, 100 - percent
-    counted = checkpointed(_overlaps(pairs, frags).selectExpr(
+    sums = _overlaps(counting, frags).unionByName(pairs.where("far").selectExpr("hub", "set", "0L AS both", "1L AS n_missing", "1L AS n_extra"))
+    counted = checkpointed(sums.selectExpr(
         "*", f"100 * both >= {percent} * (both + n_missing + n_extra) AS linked", "both / (both + n_missing + n_extra) AS jaccard",
         f"100 * n_missing + {percent} * n_extra AS cost", f"{low} * (both + n_missing) AS room"))
-    margin = low / 200
-    near = counted.where(f"jaccard >= {NEAR - margin}").selectExpr(
-        "hub", "'near' AS zone", "set", "differing AS items", "cost", "room",
-        f"CASE WHEN NOT linked THEN greatest(1, CAST(ceil((cost - room) / {top}) AS INT)) END AS probe", f"CAST(floor(cost / {top}) AS INT) + 1 AS index")
-    # Far from the hub, the sets' own n-grams are compared, around hubs that several sets are far from.
+    # Only hubs with two sets, not both linked to them, can have left a link out.
+    met = counted.join(pairs.where("company > 2").select("hub", "set", "company", "far"), ["hub", "set"])
+    open_hubs = met.groupBy("hub").agg(F.count("*").alias("sets"), F.count_if(~F.col("linked")).alias("open")).where("sets > 1 AND open > 0").select("hub")
+    around = met.where(f"jaccard >= {NEAR - margin}").join(open_hubs, "hub", "left_semi")
+    differing = _beside(around.select("hub", "set"), frags).groupBy("hub", "set").agg(F.flatten(F.collect_list(F.concat("missing", "extra"))).alias("items"))
+    near = checkpointed(around.join(differing, ["hub", "set"]).selectExpr(
+        "hub", "'near' AS zone", "set", "items", "cost", "room",
+        f"CASE WHEN NOT linked THEN greatest(1, CAST(ceil((cost - room) / {top}) AS INT)) END AS probe", f"CAST(floor(cost / {top}) AS INT) + 1 AS index"))
+    # Far from the hub, sets are compared with each other in small buckets, and by their own n-grams around the hubs of larger ones.
     own = frags.select(F.col("set_id").alias("set"), "grams")
-    lone = counted.where(f"jaccard <= {NEAR + margin} AND NOT linked").select("hub", "set")
+    distant = checkpointed(met.where(f"jaccard <= {NEAR + margin} AND NOT linked").select("hub", "set", "company", "far"))
+    others = _like(_met(at.join(distant.where("NOT far").select("hub", "set"), ["hub", "set"], "left_semi")), named, percent)
+    lone = distant.where(f"company > {SMALL}").select("hub", "set")
     several = lone.groupBy("hub").agg(F.count("*").alias("members")).where("members > 1").select("hub")
     least = F.ceil(percent * F.size("items") / 100).cast("int")
     far = (lone.join(several, "hub", "left_semi").join(own, "set").groupBy("hub", "set").agg(F.flatten(F.collect_list("grams")).alias("items"))
            .select("hub", F.lit("far").alias("zone"), "set", "items", (percent * F.size("items")).alias("cost"), F.lit(0).alias("room"), least.alias("probe"), least.alias("index")))
-    # Only hubs with two sets, not both linked to them, can have left a link out.
-    open_hubs = counted.groupBy("hub").agg(F.count("*").alias("sets"), F.count_if(~F.col("linked")).alias("open")).where("sets > 1 AND open > 0").select("hub")
     # Near the hub, the differences that two sets share give their overlap; far from it, it is counted as before.
     differences = near.select("hub", "set", "items", "cost", "room")
     one = differences.select("hub", F.col("set").alias("set1"), F.col("items").alias("items1"), F.col("cost").alias("cost1"), "room")
     two = differences.select("hub", F.col("set").alias("set2"), F.col("items").alias("items2"), F.col("cost").alias("cost2"))
-    close = (_rest(_rarest_first(near.join(open_hubs, "hub", "left_semi")), percent).join(one, ["hub", "set1"]).join(two, ["hub", "set2"])
+    close = (_rest(_rarest_first(near), percent).join(one, ["hub", "set1"]).join(two, ["hub", "set2"])
              .where(f"{top} * size(array_intersect(items1, items2)) >= cost1 + cost2 - room").select(F.col("set1").alias("hub"), F.col("set2").alias("set")))
-    apart = _overlaps(_rest(_rarest_first(far), percent).select(F.col("set1").alias("hub"), F.col("set2").alias("set")).distinct(), frags)
+    apart = _rest(_rarest_first(far), percent).select(F.col("set1").alias("hub"), F.col("set2").alias("set"))
+    apart = _overlaps(checkpointed(apart.unionByName(strangers).unionByName(others).distinct()), frags)
     more = close.unionByName(apart.where(f"100 * both >= {percent} * (both + n_missing + n_extra)").select("hub", "set"))
     return counted.where("linked").select("hub", "set").unionByName(more.select("hub", "set"))
 
