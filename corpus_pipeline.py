@@ -51,7 +51,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup_stage), ("n-gram Jaccard join", near_duplicates), ("PII", pii_masking), ("packing", packing_stage)]
 
-#: Tokenisation, similarity joins and estimation are beyond SQL. Tests cover the operators; stages have no tests of their own yet.
+#: Tokenisation, similarity joins and estimation are beyond SQL. tests/llm/test_pipeline.py compares stages with plain Python.
 ORACLE_SQL = None
 
 
