@@ -21,7 +21,7 @@ The rest, exactly.  Two sets of a bucket that are not both linked to its hub can
 which they differ from the hub (or, far from the hub, n-grams as such): with M and E the n-grams a set misses of the
 hub's and has beyond them, the pair's overlap is |hub| - |M1| - |M2| + shared differences, so the threshold demands a
 number of shared differences, at least one.  A prefix join over the differences, rarest first, finds those pairs, and
-they are verified in the same way.  So near copies of one text cost one pair each, whatever the group's size, and no
+they are verified in the same way.  Sets of a large bucket that are far from its hub get a second hub of their own first.  So near copies of one text cost one pair each, whatever the group's size, and no
 link between different sets is lost.
 
 Null and empty texts have no n-grams and link with nothing; a text of fewer than n words is one n-gram of all of them.
@@ -273,6 +273,33 @@ def _rest(items: DataFrame, percent: int) -> DataFrame:
     return found.select("hub", F.least("set1", "set2").alias("set1"), F.greatest("set1", "set2").alias("set2")).distinct()
 
 
+def _judged(sums: DataFrame, percent: int) -> DataFrame:
+    """sums of _overlaps with linked, jaccard, and what a set's differences from its hub cost against what links may cost."""
+    return sums.selectExpr(
+        "*", f"100 * both >= {percent} * (both + n_missing + n_extra) AS linked", "both / (both + n_missing + n_extra) AS jaccard",
+        f"100 * n_missing + {percent} * n_extra AS cost", f"{100 - percent} * (both + n_missing) AS room")
+
+
+def _near(met: DataFrame, frags: DataFrame, percent: int) -> DataFrame:
+    """Items of _rarest_first, from rows of _judged: the differences of sets near their hub.
+    Only hubs with two sets, not both linked to them, can have left a link out."""
+    top = 100 + percent
+    open_hubs = met.groupBy("hub").agg(F.count("*").alias("sets"), F.count_if(~F.col("linked")).alias("open")).where("sets > 1 AND open > 0").select("hub")
+    around = met.where(f"jaccard >= {NEAR - (100 - percent) / 200}").join(open_hubs, "hub", "left_semi")
+    differing = _beside(around.select("hub", "set"), frags).groupBy("hub", "set").agg(F.flatten(F.collect_list(F.concat("missing", "extra"))).alias("items"))
+    return around.join(differing, ["hub", "set"]).selectExpr(
+        "hub", "'near' AS zone", "set", "items", "cost", "room",
+        f"CASE WHEN NOT linked THEN greatest(1, CAST(ceil((cost - room) / {top}) AS INT)) END AS probe", f"CAST(floor(cost / {top}) AS INT) + 1 AS index")
+
+
+def _close(near: DataFrame, percent: int) -> DataFrame:
+    """Links (hub, set) between sets near one hub: the differences that two sets share give their overlap."""
+    one, two = (near.select("hub", F.col("set").alias(f"set{k}"), F.col("items").alias(f"items{k}"), F.col("cost").alias(f"cost{k}"), *(["room"] if k == 1 else [])) for k in (1, 2))
+    both = _rest(_rarest_first(near), percent).join(one, ["hub", "set1"]).join(two, ["hub", "set2"])
+    fits = f"{100 + percent} * size(array_intersect(items1, items2)) >= cost1 + cost2 - room"
+    return both.where(fits).select(F.col("set1").alias("hub"), F.col("set2").alias("set"))
+
+
 def _met(at: DataFrame) -> DataFrame:
     """Pairs (hub, set, far1, far2) of sets in the same small bucket, from rows (sig, hub, set, far); the first stands as hub."""
     one, two = (at.select("sig", F.col("set").alias(f"set{k}"), F.col("far").alias(f"far{k}")) for k in (1, 2))
@@ -295,8 +322,7 @@ def linked_sets(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataF
     hubs = members.join(score, "set_id").groupBy("sig").agg(F.max(F.struct("score", "set_id")).alias("best"), F.count("*").alias("size")).select("sig", F.col("best.set_id").alias("hub"), "size")
     # Sets that link must share a bucket, so two sets beside one hub only matter if both met it in company of others.
     pairs = members.join(hubs, "sig").where("set_id <> hub").groupBy("hub", F.col("set_id").alias("set")).agg(F.max("size").alias("company"))
-    top, low = 100 + percent, 100 - percent
-    margin = low / 200
+    margin = (100 - percent) / 200
     named = sets.where("set_id IS NOT NULL")
     pairs = checkpointed(_surely_far(pairs, named, NEAR - margin))
     at = members.join(hubs.where(f"size BETWEEN 3 AND {SMALL}"), "sig").select("sig", "hub", F.col("set_id").alias("set")).join(pairs.select("hub", "set", "far"), ["hub", "set"])
@@ -311,36 +337,30 @@ def linked_sets(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataF
     frags = checkpointed(fragments(texts.select("texts", "wanted"), n))
 
     sums = _overlaps(counting, frags).unionByName(pairs.where("far").selectExpr("hub", "set", "0L AS both", "1L AS n_missing", "1L AS n_extra"))
-    counted = checkpointed(sums.selectExpr(
-        "*", f"100 * both >= {percent} * (both + n_missing + n_extra) AS linked", "both / (both + n_missing + n_extra) AS jaccard",
-        f"100 * n_missing + {percent} * n_extra AS cost", f"{low} * (both + n_missing) AS room"))
-    # Only hubs with two sets, not both linked to them, can have left a link out.
+    counted = checkpointed(_judged(sums, percent))
     met = counted.join(pairs.where("company > 2").select("hub", "set", "company", "far"), ["hub", "set"])
-    open_hubs = met.groupBy("hub").agg(F.count("*").alias("sets"), F.count_if(~F.col("linked")).alias("open")).where("sets > 1 AND open > 0").select("hub")
-    around = met.where(f"jaccard >= {NEAR - margin}").join(open_hubs, "hub", "left_semi")
-    differing = _beside(around.select("hub", "set"), frags).groupBy("hub", "set").agg(F.flatten(F.collect_list(F.concat("missing", "extra"))).alias("items"))
-    near = checkpointed(around.join(differing, ["hub", "set"]).selectExpr(
-        "hub", "'near' AS zone", "set", "items", "cost", "room",
-        f"CASE WHEN NOT linked THEN greatest(1, CAST(ceil((cost - room) / {top}) AS INT)) END AS probe", f"CAST(floor(cost / {top}) AS INT) + 1 AS index"))
-    # Far from the hub, sets are compared with each other in small buckets, and by their own n-grams around the hubs of larger ones.
+    near = checkpointed(_near(met, frags, percent))
+    # Far from the hub, sets are compared with each other in small buckets. Those of larger ones get a second hub, from among
+    # them, and only what is far from that one too is compared by its own n-grams.
     own = frags.select(F.col("set_id").alias("set"), "grams")
     distant = checkpointed(met.where(f"jaccard <= {NEAR + margin} AND NOT linked").select("hub", "set", "company", "far"))
     others = _like(_met(at.join(distant.where("NOT far").select("hub", "set"), ["hub", "set"], "left_semi")), named, percent)
     lone = distant.where(f"company > {SMALL}").select("hub", "set")
+    best = (lone.join(score.withColumnRenamed("set_id", "set"), "set").groupBy("hub").agg(F.max(F.struct("score", "set")).alias("best"), F.count("*").alias("members"))
+            .where("members > 1").select("hub", F.col("best.set").alias("second")))
+    second = lone.join(best, "hub").where("set <> second").select(F.col("second").alias("hub"), "set").distinct()
+    recounted = checkpointed(_judged(_overlaps(checkpointed(second), frags), percent))
+    near_second = checkpointed(_near(recounted, frags, percent))
+    lone = recounted.where(f"jaccard <= {NEAR + margin} AND NOT linked").select("hub", "set")
     several = lone.groupBy("hub").agg(F.count("*").alias("members")).where("members > 1").select("hub")
     least = F.ceil(percent * F.size("items") / 100).cast("int")
     far = (lone.join(several, "hub", "left_semi").join(own, "set").groupBy("hub", "set").agg(F.flatten(F.collect_list("grams")).alias("items"))
            .select("hub", F.lit("far").alias("zone"), "set", "items", (percent * F.size("items")).alias("cost"), F.lit(0).alias("room"), least.alias("probe"), least.alias("index")))
-    # Near the hub, the differences that two sets share give their overlap; far from it, it is counted as before.
-    differences = near.select("hub", "set", "items", "cost", "room")
-    one = differences.select("hub", F.col("set").alias("set1"), F.col("items").alias("items1"), F.col("cost").alias("cost1"), "room")
-    two = differences.select("hub", F.col("set").alias("set2"), F.col("items").alias("items2"), F.col("cost").alias("cost2"))
-    close = (_rest(_rarest_first(near), percent).join(one, ["hub", "set1"]).join(two, ["hub", "set2"])
-             .where(f"{top} * size(array_intersect(items1, items2)) >= cost1 + cost2 - room").select(F.col("set1").alias("hub"), F.col("set2").alias("set")))
     apart = _rest(_rarest_first(far), percent).select(F.col("set1").alias("hub"), F.col("set2").alias("set"))
     apart = _overlaps(checkpointed(apart.unionByName(strangers).unionByName(others).distinct()), frags)
-    more = close.unionByName(apart.where(f"100 * both >= {percent} * (both + n_missing + n_extra)").select("hub", "set"))
-    return counted.where("linked").select("hub", "set").unionByName(more.select("hub", "set"))
+    to_hubs = counted.unionByName(recounted).where("linked").select("hub", "set")
+    more = _close(near, percent).unionByName(_close(near_second, percent))
+    return to_hubs.unionByName(more).unionByName(apart.where(f"100 * both >= {percent} * (both + n_missing + n_extra)").select("hub", "set"))
 
 
 def join_ngrams(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
