@@ -120,6 +120,25 @@ def test_op4(spark, folder, n, percent):
     same(rows(got, "doc_id", "n_shingles", "component_id"), [(i, len(grams(t, n)), component[i]) for i, t in docs])
 
 
+def test_op4_second_hubs(spark, monkeypatch):
+    """A large bucket whose hub is far from two groups of near copies, all with one passage in common."""
+    from roomweave.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "SMALL", 2)
+    words = lambda name, n: [f"{name}{k}" for k in range(n)]
+    passage, docs = words("p", 60), []
+    for group in range(3):
+        for i in range(6):
+            own = words(f"g{group}", 240 if group else 30)
+            own[3 * i] = f"x{group}{i}"
+            docs.append((len(docs), " ".join(passage + own)))
+    docs += [(100 + i, " ".join(passage + words(f"s{i}", 150))) for i in range(8)]
+    for percent in (70, 80, 90):
+        got = ngram_join.join_ngrams(spark.createDataFrame(docs, "doc_id long, text string"), n=5, percent=percent)
+        component = linked(docs, 5, percent)
+        assert {r.doc_id: r.component_id for r in got.collect()} == {i: component[i] for i, _ in docs}
+
+
 def test_op5(spark, folder):
     seen, want, docs = {}, [], texts(spark, folder)
     for i, t in docs:
