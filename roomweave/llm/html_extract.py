@@ -1,14 +1,13 @@
 """Main text of web pages, by templates deduced from pages of the same host.
 
-Each page becomes a stream of tokens: start tags, told apart by the containers around them.  Tokens of a host with the
-same occurrence vector (as often in every page) form an equivalence class; a vector is kept as a fingerprint that
-partial sums can build, so a host with a third of all pages is no hot spot.  Classes that enough pages hold and whose
-containers nest in containers of classes before them make up the host's template; what lies between their tokens are
-the slots.  Slots of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
-go by the names of their containers; on hosts whose pages name no article, slots whose text never changes go too, and
-the container with the most changing text is the article.  A page's slots are then read in page order.
+Each page becomes a stream of tokens: start tags, told apart by the containers around them, and blocks of text, told
+apart by their container and content.  A block is text of the template if half of the pages that hold its container hold it.  All
+other blocks fill slots, and a page's slots are read in page order.  Pages of equal text count once.
 
-Where a host has too few pages for a template, and for pages that name their article, the names decide alone.
+Names label slots: those of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
+comments go, and where a page fills slots in an article or main element, it is these that are read.
+
+Where a host has too few pages for a template, and for pages that fill no slot, the names decide alone.
 
 Null and empty pages give an empty text.  Rows of the same page are each read.  Pages without a host form one host.
 """
@@ -16,16 +15,14 @@ Null and empty pages give an empty text.  Rows of the same page are each read.
 from __future__ import annotations
 
 import re
+from hashlib import blake2b
 from html import unescape
-from zlib import adler32, crc32
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roomweave.llm.storage import checkpointed
-from roomweave.llm.wordhash import U, mix
 
 #: Fixed names of HTML: elements within a line of text, elements without content, elements whose content is no markup.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -37,7 +34,7 @@ BOILERPLATE = frozenset("head nav header footer aside form dialog menu svg butto
 NAMES = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended "
                   "notice notices cookie cookies consent popup modal newsletter subscribe signup login share sharing social comment comments respond disqus replies pagination pager toolbar search".split())
 ARTICLE = frozenset(("article", "main"))
-LEAST_PAGES = 3  # of a host, for a template
+LEAST_PAGES = 3  # that hold a text of the template
 MOST_TEMPLATES = 20_000  # rows broadcast at most; more are joined
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
@@ -117,119 +114,110 @@ def _rejected(path) -> bool:
     return False
 
 
-def _host(url: str | None) -> str:
-    m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", url or "")
-    return m[1].lower() if m else ""
-
-
-def occurrences(pages: DataFrame) -> DataFrame:
-    """(host, token, kind, vector, n_pages, total, chars, lo, hi): partial sums over pages of each token's occurrences.
-
-    kind: 't' for tags, 'x' for the text directly in a container; lo and hi: least and greatest hash of such texts.
-    """
-    names = ("host", "token", "kind", "vector", "n_pages", "total", "chars", "lo", "hi")
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
-    def run(batches):
-        for batch in batches:
-            sums: dict[tuple, list] = {}
-            for key, url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                host, count, said = _host(url), {}, {}
-                for kind, value in tokens(html or ""):
-                    if kind == "open":
-                        count[value] = count.get(value, 0) + 1
-                    elif kind == "text" and not value[1].isspace():
-                        said.setdefault(value[0], []).append(value[1])
-                for path, n in count.items():
-                    mark = int(mix(np.array([(key + n * 0x9E3779B97F4A7C15) & (1 << 64) - 1], dtype=U))[0])
-                    row = sums.setdefault((host, path_name(path), "t"), [0, 0, 0, 0, 1 << 62, -1])
-                    row[0] ^= mark
-                    row[1] += 1
-                    row[2] += n
-                for path, texts in said.items():
-                    row = sums.setdefault((host, path_name(path), "x"), [0, 0, 0, 0, 1 << 62, -1])
-                    made = sum(map(len, texts))
-                    mark = hash_text("\0".join(texts))
-                    row[1] += 1
-                    row[2] += len(texts)
-                    row[3] += made
-                    row[4], row[5] = min(row[4], mark), max(row[5], mark)
-            if sums:
-                columns = list(zip(*((*k, np.uint64(v[0]).astype(np.int64), *v[1:]) for k, v in sums.items())))
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.string() if i < 3 else pa.int64()) for i, c in enumerate(columns)], names=list(names))
-
-    key = F.xxhash64("page_id", "url", "html")
-    found = pages.select(key.alias("key"), "url", "html").mapInArrow(run, "host string, token string, kind string, vector long, n_pages long, total long, chars long, lo long, hi long")
-    return found.groupBy("host", "token", "kind").agg(F.bit_xor("vector").alias("vector"), *(F.sum(c).alias(c) for c in ("n_pages", "total", "chars")), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-
-
-def hash_text(text: str) -> int:
-    data = text.encode()
-    return crc32(data) << 30 ^ adler32(data)
 
-
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, article, fixed): the container that holds a host's articles where no tag says so (or null), and the
-    containers whose text never changes. A class is valid if it holds tokens of most pages and its tokens' containers
-    belong to valid classes."""
-    found = checkpointed(occurrences(pages))  # a few rows a host, used three times
-    n_pages = found.where("kind = 't'").groupBy("host").agg(F.max("n_pages").alias("host_pages"))
-    classes = (found.where("kind = 't'").join(n_pages, "host").where(f"host_pages >= {LEAST_PAGES} AND 2 * n_pages >= host_pages")
-               .groupBy("host", "vector", "n_pages", "total").agg(F.collect_set("token").alias("tokens")))
-    valid = classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("valid"))
-    nested = valid.select("host", F.filter("valid", lambda t: (~t.contains("/")) | F.array_contains("valid", F.regexp_replace(t, "/[^/]*$", ""))).alias("valid"))
-    slots = found.where("kind = 'x'").join(n_pages, "host").join(nested, "host").where(F.array_contains("valid", F.col("token")))
-    constant = F.expr("lo = hi AND n_pages >= 2 AND 2 * n_pages >= host_pages")
-    plain = ~F.col("token").rlike(r"(^|/)(" + "|".join(sorted(BOILERPLATE)) + r")($|[./])")
-    return slots.groupBy("host").agg(
-        F.max_by("token", F.when(plain & ~constant, F.struct("chars", "token"))).alias("article"),
-        F.collect_set(F.when(constant, F.col("token"))).alias("fixed"))
-
-
-def read_page(html: str, article: str | None, fixed) -> str:
-    """The main text of a page."""
-    blocks, current, named = [], [], bool(re.search(r"<(?:article|main)[\s>/]", html, re.I))
-    fixed = frozenset(fixed or ())
+def parts(html: str):
+    """How often each container that is no boilerplate opens, and (path, text) of each block in such a container."""
+    opened, blocks, current, at = {}, [], [], ()
 
     def end():
         text = " ".join(unescape("".join(current)).split())
         if text:
-            blocks.append(text)
+            blocks.append((at, text))
         current.clear()
 
     for kind, value in tokens(html):
         if kind == "text":
             path, text = value
-            if not path or _rejected(path):
-                continue
-            if named:
-                if not any(tag in ARTICLE for tag, _ in path):
-                    continue
-            elif article is not None or fixed:
-                name = path_name(path)
-                if name in fixed or article is not None and name != article and not name.startswith(article + "/"):
-                    continue
-            current.append(text)
+            if path and not _rejected(path):
+                current.append(text)
+                at = path
         else:
             end()
+            if kind == "open" and value[-1][0] in CONTAINERS and not _rejected(value):
+                opened[value] = opened.get(value, 0) + 1
     end()
-    return " ".join(blocks)
+    return opened, blocks
+
+
+def _keys(blocks) -> list[tuple[int, int]]:
+    """(slot, block) of each block, as hashes."""
+    return [(_hash(path_name(path)), _hash(text)) for path, text in blocks]
+
+
+def _hosts(pages: DataFrame) -> DataFrame:
+    host = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)
+    return pages.select("page_id", "url", "html", F.xxhash64(F.lower(host)).alias("host"))
+
+
+def occurrences(pages: DataFrame) -> DataFrame:
+    """(host, slot, block, vector, n_pages) of each token: a block, or a container (block: null). Pages of equal text count once.
+
+    A row a host, slot null, counts its pages.
+    """
+    names = ("host", "slot", "block", "page", "times")
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                opened, blocks = parts(html or "")
+                if not blocks:
+                    continue
+                page, count = _hash("\0".join(text for _, text in blocks)), {(None, None): 1}
+                for path, n in opened.items():
+                    key = _hash(path_name(path)), None
+                    count[key] = count.get(key, 0) + n
+                for key in _keys(blocks):
+                    count[key] = count.get(key, 0) + 1
+                    count.setdefault((key[0], None), 1)
+                rows += [(host, *key, page, n) for key, n in count.items()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*rows)], names=list(names))
+
+    found = pages.select("host", "html").mapInArrow(run, "host long, slot long, block long, page long, times long")
+    once = found.groupBy("host", "slot", "block", "page").agg(F.max("times").alias("times"))
+    return once.groupBy("host", "slot", "block").agg(F.bit_xor(F.xxhash64("page", "times")).alias("vector"), F.count("*").alias("n_pages"))
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, fixed): the texts of a host's templates, each (slot, block)."""
+    found = checkpointed(occurrences(pages).where(f"n_pages >= {LEAST_PAGES}"))  # rarer tokens are in no template
+    containers = found.where("slot IS NOT NULL AND block IS NULL")
+    slots = containers.select("host", "slot", F.col("n_pages").alias("slot_pages"))
+    texts = found.where("block IS NOT NULL").join(slots, ["host", "slot"])
+    return texts.where("2 * n_pages >= slot_pages").groupBy("host").agg(F.collect_list(F.struct("slot", "block")).alias("fixed"))
+
+
+def read_page(html: str, fixed) -> str:
+    """The main text of a page; fixed: the (slot, block) of its host's templates."""
+    _, blocks = parts(html)
+    filled = [x for x, key in zip(blocks, _keys(blocks)) if key not in fixed] if fixed else blocks
+    filled = filled or blocks
+    named = [x for x in filled if any(tag in ARTICLE for tag, _ in x[0])]
+    return " ".join(text for _, text in named or filled)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of pages (page_id, url, html)."""
-    pages = pages.select("page_id", "url", "html")
+    pages = _hosts(pages)
     known = templates(pages)
-    host = F.coalesce(F.lower(F.nullif(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit(""))), F.lit(""))
     rows = known.limit(MOST_TEMPLATES + 1).collect()
     if len(rows) <= MOST_TEMPLATES:  # few hosts: a broadcast of checked size
         known = F.broadcast(pages.sparkSession.createDataFrame(rows, known.schema))
-    joined = pages.withColumn("host", host).join(known, "host", "left").select("page_id", "url", "html", "article", "fixed")
+    joined = pages.join(known, "host", "left").select("page_id", "url", "html", "host", "fixed")
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                made = [read_page(h or "", a, f) for h, a, f in zip(*(part.column(c).to_pylist() for c in ("html", "article", "fixed")))]
+                sets, made = {}, []
+                for html, host, fixed in zip(*(part.column(c).to_pylist() for c in ("html", "host", "fixed"))):
+                    if host not in sets:
+                        sets[host] = {(x["slot"], x["block"]) for x in fixed or ()}
+                    made.append(read_page(html or "", sets[host]))
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(made, type=pa.string())], names=["page_id", "url", "text"])
 
     schema = joined.select("page_id", "url", F.lit("").alias("text")).schema

@@ -277,3 +277,26 @@ def test_op2(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
     want = [(r.page_id, r.url, article(r.html), len(article(r.html))) for r in pages]
     same(rows(q.op2_html_extraction(spark, sf_dir), "page_id", "url", "text", "n_chars"), want)
+
+
+def read(spark, pages):
+    """{page_id: text} of pages [(url, html)], numbered."""
+    from roomweave.llm import html_extract
+
+    table = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_extract.extract(table).collect()}
+
+
+def body(*parts):
+    return "<html><body>" + "".join(parts) + "</body></html>"
+
+
+def test_op2_templates_without_names(spark, sf_dir):
+    """The tables' pages, their article a plain div: the templates find the same text; and text of templates in an article goes."""
+    pages = [(r.url, r.html) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    renamed = [(u, h.replace("<article>", "<div>").replace("</article>", "</div>")) for u, h in pages]
+    assert read(spark, renamed) == {i: article(h) for i, (_, h) in enumerate(pages)}
+    shared = [("http://a.example/", body(f"<article><p>Only here {i}.</p><p>Write to the desk.</p></article><!-- <main> -->")) for i in range(4)]
+    assert read(spark, shared) == {i: f"Only here {i}." for i in range(4)}
+    in_comment = [("http://a.example/", body("<!-- <main> -->", f"<div class=x><p>Said {i}.</p></div><div class=y>Same on all</div>")) for i in range(4)]
+    assert read(spark, in_comment) == {i: f"Said {i}." for i in range(4)}
