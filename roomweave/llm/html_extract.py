@@ -1,11 +1,15 @@
 """Main text of web pages, by templates deduced from pages of the same host.
 
 Each page becomes a stream of tokens: start tags, told apart by the containers around them, and blocks of text, told
-apart by their container and content.  A block is text of the template if half of the pages that hold its container hold it.  All
+apart by their container and content.  Tokens of a host with the same occurrence vector (as often in every page) form
+an equivalence class; a vector is kept as a fingerprint that partial sums can build, so a host with a third of all
+pages is no hot spot.  A block is text of the template if half of the pages that hold its container hold it, or if it
+is in a class with a container that a tenth of the host's pages hold: the template of one of several layouts.  All
 other blocks fill slots, and a page's slots are read in page order.  Pages of equal text count once.
 
 Names label slots: those of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments go, and where a page fills slots in an article or main element, it is these that are read.
+comments go, and where a page fills slots in an article or main element, it is these that are read.  Numbers in class
+and id words are left out of paths.
 
 Where a host has too few pages for a template, and for pages that fill no slot, the names decide alone.
 
@@ -39,6 +43,7 @@ MOST_TEMPLATES = 20_000  # rows broadcast at most; more are joined
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NUMBER = re.compile(r"(?<![a-z])[0-9a-f]*[0-9][0-9a-f]*(?![a-z])|[0-9]+")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|$)[^>]*(?:>|$)", re.I) for tag in RAW}
 
 
@@ -102,7 +107,8 @@ def tokens(html: str):
 
 
 def path_name(path) -> str:
-    return "/".join(tag + "".join(f".{w}" for w in labels) for tag, labels in path)
+    """Numbers, also hexadecimal ones, are left out: they tell pages apart, not containers."""
+    return "/".join(tag + "".join(f".{_NUMBER.sub('#', w)}" for w in labels) for tag, labels in path)
 
 
 def _rejected(path) -> bool:
@@ -185,10 +191,12 @@ def occurrences(pages: DataFrame) -> DataFrame:
 def templates(pages: DataFrame) -> DataFrame:
     """(host, fixed): the texts of a host's templates, each (slot, block)."""
     found = checkpointed(occurrences(pages).where(f"n_pages >= {LEAST_PAGES}"))  # rarer tokens are in no template
+    host_pages = found.where("slot IS NULL").select("host", F.col("n_pages").alias("host_pages"))
     containers = found.where("slot IS NOT NULL AND block IS NULL")
     slots = containers.select("host", "slot", F.col("n_pages").alias("slot_pages"))
-    texts = found.where("block IS NOT NULL").join(slots, ["host", "slot"])
-    return texts.where("2 * n_pages >= slot_pages").groupBy("host").agg(F.collect_list(F.struct("slot", "block")).alias("fixed"))
+    classes = containers.select("host", "vector", "n_pages").distinct().withColumn("layout", F.lit(True))
+    texts = found.where("block IS NOT NULL").join(host_pages, "host").join(slots, ["host", "slot"]).join(classes, ["host", "vector", "n_pages"], "left")
+    return texts.where("2 * n_pages >= slot_pages OR layout AND 10 * n_pages >= host_pages").groupBy("host").agg(F.collect_list(F.struct("slot", "block")).alias("fixed"))
 
 
 def read_page(html: str, fixed) -> str:

@@ -300,3 +300,17 @@ def test_op2_templates_without_names(spark, sf_dir):
     assert read(spark, shared) == {i: f"Only here {i}." for i in range(4)}
     in_comment = [("http://a.example/", body("<!-- <main> -->", f"<div class=x><p>Said {i}.</p></div><div class=y>Same on all</div>")) for i in range(4)]
     assert read(spark, in_comment) == {i: f"Said {i}." for i in range(4)}
+
+
+def test_op2_keeps_all_slots(spark):
+    """Siblings, two layouts of a host, ids of single pages, copies, and pages without a host."""
+    def one(i):
+        return body(f"<div class=post id=post-{i}><section class=intro>Intro {i}.</section><section class=body>Body text {i}.<ul><li>Point {i}</li></ul></section></div><div class=x>On all pages</div>")
+
+    def two(i):
+        return body(f"<table class=old><tr><td>Cell {i}.</td></tr></table><div class=x>On all pages</div><div class=x>Old layout</div>")
+
+    for url in ("http://a.example/1", None):
+        pages = [(url, one(i)) for i in range(8)] + [(url, two(i)) for i in range(8, 12)]
+        assert read(spark, pages) == {i: f"Intro {i}. Body text {i}. Point {i}" if i < 8 else f"Cell {i}." for i in range(12)}
+    assert read(spark, [("http://b.example/", one(7))] * 5) == {i: "Intro 7. Body text 7. Point 7 On all pages" for i in range(5)}
