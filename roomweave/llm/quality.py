@@ -25,6 +25,7 @@ RULES = {
     "length": ("n_words < 20", "n_words >= 50"),
     "word_length": ("word_chars < 2 * n_words OR word_chars > 12 * n_words", "word_chars BETWEEN 3 * n_words AND 10 * n_words"),
     "symbols": ("10 * n_symbols > 3 * n_words", "50 * n_symbols <= n_words"),
+    "symbol_share": ("10 * n_symbols > word_chars", "200 * n_symbols <= word_chars"),
     "bars": ("5 * n_bars > n_words", "50 * n_bars <= n_words"),
     "capitals": ("2 * n_upper > n_letters", "5 * n_upper <= n_letters"),
     "shouting": ("5 * n_shouts > n_words", "50 * n_shouts <= n_words"),
@@ -32,9 +33,10 @@ RULES = {
     "lines": ("n_dup_lines >= 3 AND n_dup_lines * 40 > n_words", "n_dup_lines = 0"),
 }
 
-#: Bounds of the estimates. Rules are strict: one rarely votes against a good document. Bad documents are of many
-#: kinds, and a rule sees one or two of them, so it votes against a bad document less often than not.
-GOOD, BAD = (0.995, 0.9999), (0.15, 0.6)
+#: Bounds of the estimates, only away from 0 and 1, so that no vote alone is certain.
+WITHIN = (0.001, 0.999)
+#: Where the estimation starts: rules are strict, bad documents are of many kinds, and a rule sees one or two of them.
+RIGHT_GOOD, RIGHT_BAD, SHARE = 0.998, 0.3, 0.8
 
 
 def _features(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -104,16 +106,16 @@ def estimate(counts: dict[str, int], rounds: int = 200) -> dict[str, float]:
     patterns = list(counts)
     table = np.array([[{"+": 1, "-": -1, "0": 0}[c] for c in p] for p in patterns])
     weight = np.array([counts[p] for p in patterns], dtype=float)
-    right_good, right_bad, share = np.full(table.shape[1], 0.998), np.full(table.shape[1], 0.3), 0.8
+    right_good, right_bad, share = np.full(table.shape[1], RIGHT_GOOD), np.full(table.shape[1], RIGHT_BAD), SHARE
     for _ in range(rounds):
         # P(vote | good): against with 1 - right_good; P(vote | bad): against with right_bad.
         good = np.log(share) + np.where(table > 0, np.log(right_good), np.where(table < 0, np.log(1 - right_good), 0)).sum(1)
         bad = np.log(1 - share) + np.where(table > 0, np.log(1 - right_bad), np.where(table < 0, np.log(right_bad), 0)).sum(1)
         posterior = 1 / (1 + np.exp(np.clip(bad - good, -500, 500)))
         g, b = weight * posterior, weight * (1 - posterior)
-        share = float(np.clip(g.sum() / weight.sum(), 0.5, 0.99))
-        right_good = np.clip(((table > 0) * g[:, None]).sum(0) / np.maximum(((table != 0) * g[:, None]).sum(0), 1e-9), *GOOD)
-        right_bad = np.clip(((table < 0) * b[:, None]).sum(0) / np.maximum(((table != 0) * b[:, None]).sum(0), 1e-9), *BAD)
+        share = float(np.clip(g.sum() / weight.sum(), *WITHIN))
+        right_good = np.clip(((table > 0) * g[:, None]).sum(0) / np.maximum(((table != 0) * g[:, None]).sum(0), 1e-9), *WITHIN)
+        right_bad = np.clip(((table < 0) * b[:, None]).sum(0) / np.maximum(((table != 0) * b[:, None]).sum(0), 1e-9), *WITHIN)
     return dict(zip(patterns, posterior.tolist()))
 
 

@@ -314,3 +314,15 @@ def test_op2_keeps_all_slots(spark):
         pages = [(url, one(i)) for i in range(8)] + [(url, two(i)) for i in range(8, 12)]
         assert read(spark, pages) == {i: f"Intro {i}. Body text {i}. Point {i}" if i < 8 else f"Cell {i}." for i in range(12)}
     assert read(spark, [("http://b.example/", one(7))] * 5) == {i: "Intro 7. Body text 7. Point 7 On all pages" for i in range(5)}
+
+
+def test_op9_noisy_rule():
+    """Where one rule also votes against many clean documents, these stay; documents that several rules reject go."""
+    from roomweave.llm import quality
+
+    rules = len(quality.RULES)
+    clean, junk = "+" * rules, "++--" + "+" * (rules - 4)
+    for k in range(rules):
+        noisy = "+" * k + "-" + "+" * (rules - k - 1)
+        found = quality.estimate({clean: 7800, junk: 330, "++---" + "+" * (rules - 5): 300, "+++++---" + "+" * (rules - 8): 160, noisy: 1000})
+        assert found[clean] > 0.9 and found[noisy] > 0.5 and found[junk] < 0.1
