@@ -9,10 +9,11 @@ from __future__ import annotations
 from hashlib import md5
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roomweave.llm import line_dedup, ngram_join, packing, pii, quality
-from roomweave.llm.storage import set_checkpoint_dir
+from roomweave.llm.storage import checkpointed, set_checkpoint_dir
 
 
 def _with_text(columns: list[str], text) -> list:
@@ -31,10 +32,20 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents with linked sets of five-word shingles, the one of smallest id stays."""
-    groups = ngram_join.join_ngrams(docs, n=5, percent=80)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of each group of documents with linked sets of five-word shingles, one row of the smallest id stays.
+
+    Rows without an id link with nothing and stay. An id with different texts can be the smallest of several groups and
+    then has a row in each; of several rows of this id in a group, that of smallest set_id and then of smallest text stays.
+    """
+    n = 5
+    groups = checkpointed(ngram_join.join_ngrams(docs, n=n, percent=80).where("doc_id IS NOT NULL"))
+    ids = groups.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.max("component_id").alias("component_id"))
+    single = docs.join(ids.where("n_rows = 1 AND doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
+    several = ngram_join.with_set_ids(docs.join(ids.where("n_rows > 1").select("doc_id"), "doc_id", "left_semi"), n)
+    least = groups.where("doc_id = component_id").groupBy("doc_id", "group_id").agg(F.min("set_id").alias("least")).select(F.col("doc_id").alias("id"), "least")
+    one = W.partitionBy("row.doc_id", "set_id").orderBy(F.col("row.text"), F.to_json("row"))
+    chosen = several.join(least, F.expr("row.doc_id = id AND set_id <=> least"), "left_semi").withColumn("rank", F.row_number().over(one)).where("rank = 1").select("row.*")
+    return docs.where("doc_id IS NULL").unionByName(single.select(*docs.columns)).unionByName(chosen.select(*docs.columns))
 
 
 def pii_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

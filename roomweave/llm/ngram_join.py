@@ -142,6 +142,19 @@ def digests(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long, sketch binary")
 
 
+def with_set_ids(docs: DataFrame, n: int, text: str = "text") -> DataFrame:
+    """All columns of docs in a struct ``row``, and set_id; null for an empty set."""
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    schema = rows.select("row", F.lit(None).cast("long").alias("set_id")).schema
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([_name(s) for s in _sets(part, n)], type=pa.int64())], names=["row", "set_id"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def _slots(grams: np.ndarray) -> np.ndarray:
     return (mix(grams) % U(SLOTS)).astype(np.int64)
 
@@ -364,12 +377,13 @@ def linked_sets(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataF
 
 
 def join_ngrams(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_id, component_id) of each row: links hold where 100 * intersection >= percent * union,
-    for 50 <= percent < 100; component_id is the smallest doc_id that links reach, itself included."""
+    """(doc_id, n_shingles, set_id, group_id, component_id) of each row: links hold where 100 * intersection >= percent * union,
+    for 50 <= percent < 100; group_id names the sets that links join; component_id is the smallest doc_id that they reach,
+    itself included, and can be that of several groups where an id has different texts."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     named_docs = docs.where("doc_id IS NOT NULL")
     sets = checkpointed(digests(docs, n).withColumn("set_id", F.when(F.col("doc_id").isNotNull(), F.col("set_id"))))
     named = components(linked_sets(named_docs, sets, n, percent), "hub", "set").select(F.col("node").alias("set_id"), F.col("component").alias("named"))
     rows = sets.join(named, "set_id", "left").withColumn("named", F.coalesce("named", "set_id"))
     least = rows.where("named IS NOT NULL").groupBy("named").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "named", "left").select("doc_id", "n_shingles", "set_id", F.coalesce("least", "doc_id").alias("component_id"))
+    return rows.join(least, "named", "left").select("doc_id", "n_shingles", "set_id", F.col("named").alias("group_id"), F.coalesce("least", "doc_id").alias("component_id"))

@@ -89,3 +89,15 @@ def test_run(spark, folder, docs):
     whole = out.groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("d")).where("n <> d")
     assert whole.count() == 0
     assert out.select("doc_id").join(docs, "doc_id", "left_anti").count() == 0
+
+
+def test_near_duplicates_of_odd_ids(spark):
+    """Rows without an id stay; an id with texts in different groups keeps one row in each group that it leads."""
+    words = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    a, b, c = words("a"), words("b"), words("c")
+    rows = [(None, a), (None, a), (None, None), (1, a), (2, a + " end"), (2, b), (3, b), (4, c), (4, c + " end"), (4, b), (5, ""), (5, c), (6, None), (6, None), (7, a), (7, words("d"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = pairs(cp.near_duplicates(spark, docs, ""))
+    four = [r for r in got if r[0] == 4]
+    assert len(four) == 1 and four[0][1] in (c, c + " end")
+    assert [r for r in got if r[0] != 4] == ordered([(None, a), (None, a), (None, None), (1, a), (2, b), (5, ""), (6, None), (7, words("d"))])
