@@ -356,7 +356,7 @@ def linked_sets(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataF
     # Far from the hub, sets are compared with each other in small buckets. Those of larger ones get a second hub, from among
     # them, and only what is far from that one too is compared by its own n-grams.
     own = frags.select(F.col("set_id").alias("set"), "grams")
-    distant = checkpointed(met.where(f"jaccard <= {NEAR + margin} AND NOT linked").select("hub", "set", "company", "far"))
+    distant = checkpointed(met.where(f"jaccard <= {NEAR + margin}").select("hub", "set", "company", "far"))
     others = _like(_met(at.join(distant.where("NOT far").select("hub", "set"), ["hub", "set"], "left_semi")), named, percent)
     lone = distant.where(f"company > {SMALL}").select("hub", "set")
     best = (lone.join(score.withColumnRenamed("set_id", "set"), "set").groupBy("hub").agg(F.max(F.struct("score", "set")).alias("best"), F.count("*").alias("members"))
@@ -364,7 +364,7 @@ def linked_sets(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataF
     second = lone.join(best, "hub").where("set <> second").select(F.col("second").alias("hub"), "set").distinct()
     recounted = checkpointed(_judged(_overlaps(checkpointed(second), frags), percent))
     near_second = checkpointed(_near(recounted, frags, percent))
-    lone = recounted.where(f"jaccard <= {NEAR + margin} AND NOT linked").select("hub", "set")
+    lone = recounted.where(f"jaccard <= {NEAR + margin}").select("hub", "set")
     several = lone.groupBy("hub").agg(F.count("*").alias("members")).where("members > 1").select("hub")
     least = F.ceil(percent * F.size("items") / 100).cast("int")
     far = (lone.join(several, "hub", "left_semi").join(own, "set").groupBy("hub", "set").agg(F.flatten(F.collect_list("grams")).alias("items"))

@@ -326,3 +326,16 @@ def test_op9_noisy_rule():
         noisy = "+" * k + "-" + "+" * (rules - k - 1)
         found = quality.estimate({clean: 7800, junk: 330, "++---" + "+" * (rules - 5): 300, "+++++---" + "+" * (rules - 8): 160, noisy: 1000})
         assert found[clean] > 0.9 and found[noisy] > 0.5 and found[junk] < 0.1
+
+
+def test_op4_low_percent(spark):
+    """At 60 percent: a set linked to its hub also links to one that is neither near the hub nor far by its sketch."""
+    from roomweave.llm import ngram_join
+
+    words = lambda name, n: [f"{name}{k}" for k in range(n)]
+    a, b, c = words("a", 28), words("b", 37), words("c", 35)
+    docs = [(i, " ".join([*a, *b, c[i]])) for i in range(35)] + [(100, " ".join(a + b + c)), (101, " ".join(a + c))]
+    got = ngram_join.join_ngrams(spark.createDataFrame(docs, "doc_id long, text string"), n=1, percent=60)
+    component = linked(docs, 1, 60)
+    assert component[101] == 0
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: component[i] for i, _ in docs}
