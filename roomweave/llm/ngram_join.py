@@ -3,26 +3,26 @@
 A document's n-grams are 64-bit hashes, and hash order is the global n-gram order.  Fragments are ranges of that
 order.  Documents with equal sets are one node, named by a fingerprint of the set, so copies multiply nothing.
 
-Candidates.  Linked sets differ in few n-grams (at most d for the smaller set's size class); cut into more than d
-fragments, they agree on one.  Each set sends a fingerprint of each non-empty fragment, once for its size class and
-once more where a smaller partner may lie in the class below.  A set with too few filled fragments for this argument
-also goes to a bucket of such sets.  Below FRAGMENTS_FROM percent such fragments would hold a handful of n-grams, and
-sets with a common passage would agree on many; there, sets send their prefix instead: linked sets of s n-grams share
-one of the first s - ceil(s * percent / 100) + 1 in any common order, and n-grams go from rare to frequent by a table
-of SLOTS counts over all documents.  Collisions in the table change the order, not the links.
-
-Sets carry sketches, a bit for the parity of the n-grams of each hash range.  Differing bits bound the overlap from
-above, so sets far from their hub are known before their n-grams are fetched.
-
-Verification.  Sets that agree on a fragment are not paired with each other, but with one hub of the bucket (the set
+Candidates.  A linked set shares at least percent of its own n-grams with its partner, so at least as many of its
+n-grams are held by other sets too.  Each fragment counts, for every set, the n-grams in it that others hold; the
+counts are summed per set, and sets below the threshold go.  What is left is few sets unless many are alike.  Tasks
+send each n-gram of a fragment once a run of sets, in packed form, however many sets of the run hold it; fragments are
+as many as keep one within a task's memory.
+
+The rest send their prefix: linked sets of s n-grams share one of the first s - ceil(s * percent / 100) + 1 in any
+common order, and n-grams go from rare to frequent among the sets that are left.
+
+Verification.  Sets that agree on an n-gram are not paired with each other, but with one hub of the bucket (the set
 with most agreement overall).  Overlaps are counted fragment by fragment and summed per pair.
 
-The rest, exactly.  Two sets of a bucket that are not both linked to its hub can only link if they share n-grams in
-which they differ from the hub (or, far from the hub, n-grams as such): with M and E the n-grams a set misses of the
-hub's and has beyond them, the pair's overlap is |hub| - |M1| - |M2| + shared differences, so the threshold demands a
-number of shared differences, at least one.  A prefix join over the differences, rarest first, finds those pairs, and
-they are verified in the same way.  Sets of a large bucket that are far from its hub get a second hub of their own first.  So near copies of one text cost one pair each, whatever the group's size, and no
-link between different sets is lost.
+The rest, exactly.  By the triangle inequality of the Jaccard distance, linked sets are both near their hub or both
+far from it.  Near the hub, they can only link if they share n-grams in which they differ from it: with M and E the
+n-grams a set misses of the hub's and has beyond them, the pair's overlap is |hub| - |M1| - |M2| + shared differences,
+so the threshold demands a number of shared differences, at least one.  A prefix join over the differences, rarest
+first, finds those pairs.  Sets far from the hub of a bucket that holds several such are the next round's sets: they
+are counted, ordered and given hubs anew, among themselves.  What ROUNDS rounds leave is joined by its prefixes and
+verified in the same way.  So near copies of one text cost one pair each, whatever the group's size, and no link
+between different sets is lost.
 
 Null and empty texts have no n-grams and link with nothing; a text of fewer than n words is one n-gram of all of them.
 Rows without an id link with nothing and get no component.  Rows of equal id and text are one; equal ids with different
@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,12 +42,14 @@ from roomweave.llm.components import components
 from roomweave.llm.storage import checkpointed
 from roomweave.llm.wordhash import U, Words, mix, slices, window_hashes
 
-COUNTED = 8  # fragments in which overlaps are counted
+COUNTED = 8  # fragments in which overlaps of pairs are counted
 NEAR = 0.5
-FRAGMENTS_FROM = 85  # percent
-SLOTS = 1 << 18  # counts of n-grams, 2 MB wherever they are sent
-SKETCH = 1 << 16  # most bits of a sketch
-SMALL = 32  # sets in a bucket, up to which those far from the hub are compared by sketches
+ROUNDS = 3
+FRAGMENT = 1 << 20  # n-grams in a fragment of all sets, as long as there are at most MANY fragments
+MANY = 1 << 14  # beyond, fragments and what they hold both grow with the root of the input
+RUN_GRAMS, RUN_SETS = 1 << 21, 60_000  # a run of sets that a task sends at once
+OF_MANY = 0xFFFF  # stands for the holder of an n-gram that several sets of a run hold
+KEY = 5  # bytes of an n-gram within its fragment; equal ones of different n-grams only leave a set in too long
 
 
 def _sets(batch: pa.RecordBatch, n: int):
@@ -70,76 +73,20 @@ def _name(grams: np.ndarray) -> int | None:
     return int(mix(np.array([mix(grams + U(1)).sum(dtype=U) + U(len(grams))], dtype=U)).view(np.int64)[0])
 
 
-def _sketch(grams: np.ndarray) -> bytes:
-    """Parities of the n-grams by their low bits, 4 to 8 bits an n-gram up to SKETCH in all."""
-    width = min(SKETCH, max(64, 1 << (4 * len(grams) - 1).bit_length()))
-    counts = np.bincount((grams & U(width - 1)).astype(np.int64), minlength=width)
-    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
-
-
-def _most_common(n1: int, n2: int, one: bytes, two: bytes) -> int:
-    """An upper bound of the overlap of sets of n1 and n2 n-grams: each differing parity is an n-gram of one alone."""
-    a, b = sorted((np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)), key=len)
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return min(n1, n2, (n1 + n2 - int(np.bitwise_count(a ^ b).sum())) // 2)
-
-
-class SizeClasses:
-    """How sets of a size are cut, so that sets with 100 * intersection >= percent * union agree on a fragment."""
-
-    RATIO, SPARE = 1.5, 2
-
-    def __init__(self, percent: int):
-        self.percent = percent
-        self.starts = [max(1, -(-percent // (100 - percent)))]
-
-    def _grow(self, size: int) -> None:
-        while self.starts[-1] <= size:
-            self.starts.append(int(self.starts[-1] * self.RATIO) + 1)
-
-    def of(self, size: int) -> list[int]:
-        """The classes in which a set of this size takes part."""
-        self._grow(size)
-        own = int(np.searchsorted(self.starts, size, "right")) - 1
-        if own < 0:  # so small that only equal sets link
-            return []
-        below = own > 0 and self.percent * size <= 100 * (self.starts[own] - 1)
-        return [own, own - 1] if below else [own]
-
-    def most_differences(self, k: int) -> int:
-        self._grow(self.starts[-1] if k + 1 >= len(self.starts) else 0)
-        return (self.starts[k + 1] - 1) * (100 - self.percent) // self.percent
-
-    def signatures(self, grams: np.ndarray) -> np.ndarray:
-        out, mixed = [], mix(grams)
-        for k in self.of(len(grams)):
-            most = self.most_differences(k)
-            n = most + 1 + self.SPARE
-            part = ((grams >> U(32)) * U(n)) >> U(32)
-            new = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            where = mix(part[new] + U((k + 1) << 32))
-            out.append(mix(np.add.reduceat(mixed, new) ^ where))
-            if len(new) <= most:
-                out.append(mix(np.array([(k + 1) << 48], dtype=U)))
-        return np.concatenate(out) if out else grams[:0]
-
-
 def _batches(schema: list[tuple[str, pa.DataType]], rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, (_, t) in zip(rows, schema)], names=[n for n, _ in schema])
 
 
 def digests(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id, sketch) of rows (doc_id, text); set_id and sketch are null for an empty set."""
-    schema = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("sketch", pa.binary())]
+    """(doc_id, n_shingles, set_id) of rows (doc_id, text); set_id is null for an empty set."""
+    schema = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64())]
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                made = [(len(s), _name(s), _sketch(s) if len(s) else None) for s in _sets(part, n)]
-                yield _batches(schema, [part.column("doc_id"), *zip(*made)])
+                yield _batches(schema, [part.column("doc_id"), *zip(*((len(s), _name(s)) for s in _sets(part, n)))])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long")
 
 
 def with_set_ids(docs: DataFrame, n: int, text: str = "text") -> DataFrame:
@@ -155,70 +102,104 @@ def with_set_ids(docs: DataFrame, n: int, text: str = "text") -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _slots(grams: np.ndarray) -> np.ndarray:
-    return (mix(grams) % U(SLOTS)).astype(np.int64)
-
-
-def frequencies(docs: DataFrame, n: int) -> np.ndarray:
-    """How many sets hold n-grams of each slot, over all documents; a task counts neighbouring copies once."""
-    schema = [("slot", pa.int32()), ("sets", pa.int64())]
-
-    def run(batches):
-        counts, seen = np.zeros(SLOTS, dtype=np.int64), set()
-        for batch in batches:
-            for part in slices(batch, "text"):
-                new = []
-                for grams in _sets(part, n):
-                    name = _name(grams)
-                    if name is not None and name not in seen:
-                        if len(seen) > 100_000:
-                            seen.clear()
-                        seen.add(name)
-                        new.append(grams)
-                if new:
-                    counts += np.bincount(_slots(np.concatenate(new)), minlength=SLOTS)
-        used = np.flatnonzero(counts)
-        yield _batches(schema, [used, counts[used]])
-
-    made = docs.mapInArrow(run, "slot int, sets long").groupBy("slot").agg(F.sum("sets").alias("sets")).toArrow()  # SLOTS rows at most
-    out = np.zeros(SLOTS, dtype=np.int64)
-    out[made.column("slot").to_numpy()] = made.column("sets").to_numpy()
-    return out
-
-
-def _prefix(grams: np.ndarray, percent: int, counts: np.ndarray) -> np.ndarray:
-    """The rarest n-grams of a set, one of which every linked set has among its own rarest."""
-    order = np.argsort(counts[_slots(grams)], kind="stable")  # ties in the order of the n-grams
-    return grams[order[: len(grams) + (-percent * len(grams)) // 100 + 1]]
-
-
-def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(sig, set_id): what each set sends. A task sends a set once for neighbouring copies."""
-    rare = docs.sparkSession.sparkContext.broadcast(frequencies(docs, n)) if percent < FRAGMENTS_FROM else None
-
-    def run(batches):
-        classes, seen = SizeClasses(percent), {}
+def _n_fragments(n_grams: int) -> int:
+    wanted = max(COUNTED, n_grams // FRAGMENT)
+    return wanted if wanted <= MANY else int((MANY * wanted) ** 0.5)
+
+
+def _send(sets: list[np.ndarray], n_fragments: int):
+    """(fragment, keys, holders) of a run of sets for each fragment, and how many n-grams of each set the run holds twice."""
+    sizes = np.array([len(s) for s in sets])
+    grams, holder = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(grams)
+    grams, holder = grams[order], holder[order]
+    new = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+    times = np.diff(np.r_[new, len(grams)])
+    twice = np.bincount(holder[np.repeat(times > 1, times)], minlength=len(sets))
+    grams, holder = grams[new], np.where(times > 1, OF_MANY, holder[new]).astype("<u2")
+    cuts = np.searchsorted(((grams >> U(32)) * U(n_fragments)) >> U(32), np.arange(n_fragments + 1).astype(U))
+    keys = np.ascontiguousarray(grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY])
+    return [(f, keys[a:b].tobytes(), holder[a:b].tobytes()) for f, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b], twice
+
+
+def _held_by_others(runs: list[int], keys: list[bytes], holders: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, place, count): of each set, how many n-grams of a fragment are in another run too."""
+    packed = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, KEY)
+    wide = np.zeros((len(packed), 8), np.uint8)
+    wide[:, :KEY] = packed
+    grams, holder = wide.view("<u8").ravel(), np.frombuffer(b"".join(holders), "<u2").astype(np.int64)
+    run = np.repeat(np.arange(len(runs)), [len(h) // 2 for h in holders])
+    order = np.argsort(grams)
+    grams = grams[order]
+    again = np.r_[False, grams[1:] == grams[:-1]]
+    shared = order[again | np.r_[again[1:], False]] if len(order) else order
+    found, count = np.unique((run * (OF_MANY + 1) + holder)[shared][holder[shared] < OF_MANY], return_counts=True)
+    return np.array(runs, dtype=np.int64)[found // (OF_MANY + 1)], found % (OF_MANY + 1), count
+
+
+def alike(docs: DataFrame, n: int, percent: int, n_grams: int) -> DataFrame:
+    """The set_id of sets of which other sets hold at least percent of the n-grams, counted by fragments."""
+    n_fragments = _n_fragments(n_grams)
+    sent = [("fragment", pa.int64()), ("run", pa.int64()), ("keys", pa.binary()), ("holders", pa.binary()), ("names", pa.binary()), ("sizes", pa.binary()), ("twice", pa.binary())]
+
+    def send(batches):
+        task, n_runs, seen, sets, names = TaskContext.get().partitionId(), 0, set(), [], []
+
+        def flush():
+            nonlocal n_runs, sets, names
+            run = (task << 32) + n_runs
+            rows, twice = _send(sets, n_fragments)
+            rows = [(f, run, keys, holders, None, None, None) for f, keys, holders in rows]
+            columns = np.array(names, "<i8"), np.array([len(s) for s in sets], "<i8"), twice.astype("<i8")
+            rows.append((-1 - run, run, None, None, *(c.tobytes() for c in columns)))  # a group of its own: what the places in the run stand for
+            n_runs, sets, names = n_runs + 1, [], []
+            return _batches(sent, list(zip(*rows)))
+
+        total = 0
         for batch in batches:
             for part in slices(batch, "text"):
-                sigs, names = [], []
                 for grams in _sets(part, n):
                     name = _name(grams)
                     if name is None or name in seen:
                         continue
                     if len(seen) > 100_000:
                         seen.clear()
-                    seen[name] = True
-                    sigs.append((_prefix(grams, percent, rare.value) if rare else classes.signatures(grams)).view(np.int64))
-                    names.append(np.full(len(sigs[-1]), name, dtype=np.int64))
-                if sigs:
-                    yield _batches([("sig", pa.int64()), ("set_id", pa.int64())], [np.concatenate(sigs), np.concatenate(names)])
-
-    return docs.mapInArrow(run, "sig long, set_id long")
+                    seen.add(name)
+                    sets.append(grams)
+                    names.append(name)
+                    total += len(grams)
+                    if total >= RUN_GRAMS or len(sets) >= RUN_SETS:
+                        yield flush()
+                        total = 0
+        if sets:
+            yield flush()
+
+    def count(table: pa.Table) -> pa.Table:
+        if table.column("names")[0].as_py() is not None:
+            return table.select(["run", "names", "sizes", "twice"]).append_column("places", pa.nulls(1, pa.binary())).append_column("counts", pa.nulls(1, pa.binary()))
+        run, place, k = _held_by_others(*(table.column(c).to_pylist() for c in ("run", "keys", "holders")))
+        cuts = np.flatnonzero(np.r_[True, run[1:] != run[:-1], True]) if len(run) else np.zeros(1, int)
+        rows = [(run[a], None, None, None, place[a:b].astype("<u2").tobytes(), k[a:b].astype("<i4").tobytes()) for a, b in zip(cuts, cuts[1:])]
+        return pa.Table.from_batches([_batches(partial, list(zip(*rows)) if rows else [[]] * len(partial))])
+
+    def add(table: pa.Table) -> pa.Table:
+        parts = table.to_pylist()
+        names, sizes, total = (np.frombuffer(next(r for r in parts if r["names"] is not None)[c], "<i8") for c in ("names", "sizes", "twice"))
+        total = total.copy()
+        for r in parts:
+            if r["places"] is not None:
+                total[np.frombuffer(r["places"], "<u2")] += np.frombuffer(r["counts"], "<i4")
+        return pa.table({"set_id": names[100 * total >= percent * sizes]})
+
+    partial = [("run", pa.int64()), *((c, pa.binary()) for c in ("names", "sizes", "twice", "places", "counts"))]
+    spoken = docs.mapInArrow(send, "fragment long, run long, keys binary, holders binary, names binary, sizes binary, twice binary")
+    counted = spoken.groupBy("fragment").applyInArrow(count, "run long, names binary, sizes binary, twice binary, places binary, counts binary")
+    return counted.groupBy("run").applyInArrow(add, "set_id long").distinct()
 
 
 def fragments(docs: DataFrame, n: int) -> DataFrame:
-    """(set_id, frag, grams): wanted sets in COUNTED ranges of the n-gram order, from rows (texts, wanted)."""
-    schema = [("set_id", pa.int64()), ("frag", pa.int32()), ("grams", pa.list_(pa.int64()))]
+    """(set_id, n, frag, grams): wanted sets in COUNTED ranges of the n-gram order, from rows (texts, wanted)."""
+    schema = [("set_id", pa.int64()), ("n", pa.int64()), ("frag", pa.int32()), ("grams", pa.list_(pa.int64()))]
 
     def run(batches):
         for batch in batches:
@@ -230,39 +211,25 @@ def fragments(docs: DataFrame, n: int) -> DataFrame:
                         continue
                     left.remove(name)
                     cuts = np.searchsorted((grams >> U(32)) * U(COUNTED) >> U(32), np.arange(COUNTED + 1).astype(U))
-                    rows += [(name, k, grams[cuts[k] : cuts[k + 1]].view(np.int64)) for k in range(COUNTED)]
+                    rows += [(name, len(grams), k, grams[cuts[k] : cuts[k + 1]].view(np.int64)) for k in range(COUNTED)]
                 if rows:
                     yield _batches(schema, list(zip(*rows)))
 
-    return docs.mapInArrow(run, "set_id long, frag int, grams array<long>")
+    return docs.mapInArrow(run, "set_id long, n long, frag int, grams array<long>")
 
 
 def _beside(pairs: DataFrame, frags: DataFrame) -> DataFrame:
-    """(hub, set, frag, n, extra, missing): pairs (hub, set) fragment by fragment, with the n-grams in which they differ."""
+    """(hub, set, frag, held, extra, missing): pairs (hub, set) fragment by fragment, with the n-grams in which they differ."""
     mine = frags.join(pairs.select("hub", F.col("set").alias("set_id")), "set_id").select("hub", F.col("set_id").alias("set"), "frag", F.col("grams").alias("mine"))
     hubs = frags.join(pairs.select(F.col("hub").alias("set_id")).distinct(), "set_id").select(F.col("set_id").alias("hub"), "frag", F.col("grams").alias("hubs"))
     return mine.join(hubs, ["hub", "frag"]).select(
-        "hub", "set", "frag", F.size("mine").alias("n"), F.array_except("mine", "hubs").alias("extra"), F.array_except("hubs", "mine").alias("missing"))
+        "hub", "set", "frag", F.size("mine").alias("held"), F.array_except("mine", "hubs").alias("extra"), F.array_except("hubs", "mine").alias("missing"))
 
 
 def _overlaps(pairs: DataFrame, frags: DataFrame) -> DataFrame:
     """pairs (hub, set) with both, n_missing and n_extra: partial counts, summed per pair."""
     return _beside(pairs, frags).groupBy("hub", "set").agg(
-        F.sum(F.col("n") - F.size("extra")).alias("both"), F.sum(F.size("missing")).alias("n_missing"), F.sum(F.size("extra")).alias("n_extra"))
-
-
-def _surely_far(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
-    """pairs (hub, set, company) with far: whether sketches prove a similarity below jaccard."""
-    known = sets.groupBy("set_id").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    sides = [known.select(F.col("set_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")) for side in ("hub", "set")]
-
-    def run(batches):
-        for batch in batches:
-            both = [_most_common(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("n_hub", "n_set", "sketch_hub", "sketch_set")))]
-            sizes = [a + b for a, b in zip(batch.column("n_hub").to_pylist(), batch.column("n_set").to_pylist())]
-            yield pa.record_batch({"hub": batch.column("hub"), "set": batch.column("set"), "company": batch.column("company"), "far": pa.array([x < jaccard * (t - x) for x, t in zip(both, sizes)], pa.bool_())})
-
-    return pairs.join(sides[0], "hub").join(sides[1], "set").mapInArrow(run, "hub long, set long, company long, far boolean")
+        F.sum(F.col("held") - F.size("extra")).alias("both"), F.sum(F.size("missing")).alias("n_missing"), F.sum(F.size("extra")).alias("n_extra"))
 
 
 def _rarest_first(rows: DataFrame) -> DataFrame:
@@ -313,67 +280,51 @@ def _close(near: DataFrame, percent: int) -> DataFrame:
     return both.where(fits).select(F.col("set1").alias("hub"), F.col("set2").alias("set"))
 
 
-def _met(at: DataFrame) -> DataFrame:
-    """Pairs (hub, set, far1, far2) of sets in the same small bucket, from rows (sig, hub, set, far); the first stands as hub."""
-    one, two = (at.select("sig", F.col("set").alias(f"set{k}"), F.col("far").alias(f"far{k}")) for k in (1, 2))
-    return one.join(two, "sig").where("set1 < set2").select(F.col("set1").alias("hub"), F.col("set2").alias("set"), "far1", "far2")
+def _placed(frags: DataFrame, percent: int) -> DataFrame:
+    """(set, item, pos, n): n-grams that several of the sets hold, with their place in their set from rare to frequent; only
+    those up to which one of a linked set's must come."""
+    items = frags.select(F.col("set_id").alias("set"), "n", F.explode("grams").alias("item"))
+    freq = items.groupBy("item").agg(F.count("*").alias("freq")).where("freq > 1")
+    own = W.partitionBy("set")
+    shared = items.join(freq, "item").withColumns({"rank": F.row_number().over(own.orderBy("freq", "item")), "shared": F.count("*").over(own)})
+    return shared.selectExpr("set", "item", "n - shared + rank AS pos", "n").where(f"100 * (pos - 1) <= {100 - percent} * n")
 
 
-def _like(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (hub, set) that sketches do not tell apart."""
-    once = met.select("hub", "set", F.lit(0).cast("long").alias("company")).distinct()
-    return _surely_far(once, sets, (percent - 1) / 100).where("NOT far").select("hub", "set")  # one off for rounding
+def _linked(sums: DataFrame, percent: int) -> DataFrame:
+    return sums.where(f"100 * both >= {percent} * (both + n_missing + n_extra)").select("hub", "set")
 
 
 def linked_sets(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (hub, set) between different sets that join all that are linked; sets: digests(docs)."""
-    sent = signatures(docs, n, percent)
-    shared = sent.groupBy("sig").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo < hi").select("sig")
-    members = checkpointed(sent.join(shared, "sig").distinct())
-    sizes = members.groupBy("sig").agg(F.count("*").alias("size"))
-    score = members.join(sizes, "sig").groupBy("set_id").agg(F.sum("size").alias("score"))
-    hubs = members.join(score, "set_id").groupBy("sig").agg(F.max(F.struct("score", "set_id")).alias("best"), F.count("*").alias("size")).select("sig", F.col("best.set_id").alias("hub"), "size")
-    # Sets that link must share a bucket, so two sets beside one hub only matter if both met it in company of others.
-    pairs = members.join(hubs, "sig").where("set_id <> hub").groupBy("hub", F.col("set_id").alias("set")).agg(F.max("size").alias("company"))
-    margin = (100 - percent) / 200
     named = sets.where("set_id IS NOT NULL")
-    pairs = checkpointed(_surely_far(pairs, named, NEAR - margin))
-    at = members.join(hubs.where(f"size BETWEEN 3 AND {SMALL}"), "sig").select("sig", "hub", F.col("set_id").alias("set")).join(pairs.select("hub", "set", "far"), ["hub", "set"])
-    strangers = checkpointed(_like(_met(at).where("far1 OR far2"), named, percent))
-    counting = pairs.where("NOT far").select("hub", "set")
-
-    involved = (counting.select(F.col("set").alias("set_id")).unionByName(counting.select(F.col("hub").alias("set_id")))
-                .unionByName(pairs.where(f"far AND company > {SMALL}").select(F.col("set").alias("set_id")))
-                .unionByName(strangers.select(F.explode(F.array("hub", "set")).alias("set_id"))).distinct())
-    holders = named.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).join(involved, "set_id").groupBy("doc_id").agg(F.collect_set("set_id").alias("wanted"))
+    n_grams = named.agg(F.sum("n_shingles")).first()[0] or 0
+    some = checkpointed(alike(docs, n, percent, n_grams))
+    holders = named.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).join(some, "set_id").groupBy("doc_id").agg(F.collect_set("set_id").alias("wanted"))
     texts = docs.join(holders, "doc_id").groupBy("doc_id").agg(F.collect_set("text").alias("texts"), F.first("wanted").alias("wanted"))
     frags = checkpointed(fragments(texts.select("texts", "wanted"), n))
 
-    sums = _overlaps(counting, frags).unionByName(pairs.where("far").selectExpr("hub", "set", "0L AS both", "1L AS n_missing", "1L AS n_extra"))
-    counted = checkpointed(_judged(sums, percent))
-    met = counted.join(pairs.where("company > 2").select("hub", "set", "company", "far"), ["hub", "set"])
-    near = checkpointed(_near(met, frags, percent))
-    # Far from the hub, sets are compared with each other in small buckets. Those of larger ones get a second hub, from among
-    # them, and only what is far from that one too is compared by its own n-grams.
-    own = frags.select(F.col("set_id").alias("set"), "grams")
-    distant = checkpointed(met.where(f"jaccard <= {NEAR + margin}").select("hub", "set", "company", "far"))
-    others = _like(_met(at.join(distant.where("NOT far").select("hub", "set"), ["hub", "set"], "left_semi")), named, percent)
-    lone = distant.where(f"company > {SMALL}").select("hub", "set")
-    best = (lone.join(score.withColumnRenamed("set_id", "set"), "set").groupBy("hub").agg(F.max(F.struct("score", "set")).alias("best"), F.count("*").alias("members"))
-            .where("members > 1").select("hub", F.col("best.set").alias("second")))
-    second = lone.join(best, "hub").where("set <> second").select(F.col("second").alias("hub"), "set").distinct()
-    recounted = checkpointed(_judged(_overlaps(checkpointed(second), frags), percent))
-    near_second = checkpointed(_near(recounted, frags, percent))
-    lone = recounted.where(f"jaccard <= {NEAR + margin}").select("hub", "set")
-    several = lone.groupBy("hub").agg(F.count("*").alias("members")).where("members > 1").select("hub")
-    least = F.ceil(percent * F.size("items") / 100).cast("int")
-    far = (lone.join(several, "hub", "left_semi").join(own, "set").groupBy("hub", "set").agg(F.flatten(F.collect_list("grams")).alias("items"))
-           .select("hub", F.lit("far").alias("zone"), "set", "items", (percent * F.size("items")).alias("cost"), F.lit(0).alias("room"), least.alias("probe"), least.alias("index")))
-    apart = _rest(_rarest_first(far), percent).select(F.col("set1").alias("hub"), F.col("set2").alias("set"))
-    apart = _overlaps(checkpointed(apart.unionByName(strangers).unionByName(others).distinct()), frags)
-    to_hubs = counted.unionByName(recounted).where("linked").select("hub", "set")
-    more = _close(near, percent).unionByName(_close(near_second, percent))
-    return to_hubs.unionByName(more).unionByName(apart.where(f"100 * both >= {percent} * (both + n_missing + n_extra)").select("hub", "set"))
+    margin, links, left = (100 - percent) / 200, some.limit(0).selectExpr("set_id AS hub", "set_id AS set"), frags
+    for _ in range(ROUNDS):
+        members = checkpointed(_placed(left, percent).select(F.col("item").alias("sig"), "set"))
+        members = members.join(members.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1"), "sig")
+        score = members.groupBy("set").agg(F.sum("size").alias("score"))
+        hubs = members.join(score, "set").groupBy("sig").agg(F.max(F.struct("score", "set")).alias("best")).select("sig", F.col("best.set").alias("hub"))
+        met = checkpointed(members.join(hubs, "sig").where("set <> hub").select("sig", "size", "hub", "set"))
+        # Sets that link must share a bucket, so two sets beside one hub only matter if both met it in company of others.
+        pairs = met.groupBy("hub", "set").agg(F.max("size").alias("company"))
+        counted = checkpointed(_judged(_overlaps(pairs.select("hub", "set"), frags), percent).join(pairs, ["hub", "set"]))
+        near = checkpointed(_near(counted.where("company > 2").drop("company"), frags, percent))
+        links = links.unionByName(counted.where("linked").select("hub", "set")).unionByName(_close(near, percent))
+        far = met.where("size > 2").join(counted.where(f"jaccard <= {NEAR + margin}").select("hub", "set"), ["hub", "set"])
+        several = far.groupBy("sig").agg(F.count("*").alias("members")).where("members > 1").select("sig")
+        lone = checkpointed(far.join(several, "sig", "left_semi").select(F.col("set").alias("set_id")).distinct())
+        if lone.isEmpty():
+            return links
+        left = frags.join(lone, "set_id")
+    least = f"CAST(ceil({percent} * n / 100) AS INT)"
+    items = _placed(left, percent).selectExpr("0L AS hub", "'far' AS zone", "set", "item", "pos", "n", f"{percent} * n AS cost", "0 AS room", f"{least} AS probe", f"{least} AS index")
+    apart = checkpointed(_rest(items, percent).select(F.col("set1").alias("hub"), F.col("set2").alias("set")))
+    return links.unionByName(_linked(_overlaps(apart, frags), percent))
 
 
 def join_ngrams(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

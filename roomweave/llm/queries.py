@@ -40,7 +40,8 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
 
     base = F.filter("spans", lambda s: s.kind.isin(*pii.BASE))
-    return found.select("doc_id", *map(count, pii.BASE), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(count, pii.BASE), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+                        F.array_join(F.transform("spans", lambda s: s.score.cast("string")), ",").alias("scores"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

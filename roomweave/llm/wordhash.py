@@ -1,8 +1,10 @@
 """Vectorised 64-bit hashes of words and word windows of an Arrow string column.
 
 Words are maximal runs of bytes outside 0x20 and 0x09-0x0D, so UTF-8 text needs no decoding.  A word's hash is a
-polynomial over its bytes modulo 2**64, taken as a difference of prefix sums and then scrambled; it is the same in
-every process.  Two different word sequences share a hash with a probability of about 2**-64 a pair.
+polynomial over its bytes modulo the prime 2**61 - 1, taken as a difference of prefix sums and then scrambled; it is
+the same in every process.  Two different words of n bytes share a hash for at most n of the 2**61 bases.  Windows of a
+few words sum their words' scrambled hashes modulo 2**64; two windows of 13 words or fewer share a hash with a
+probability of 2**-51 a pair or less.
 """
 
 from __future__ import annotations
@@ -11,10 +13,12 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-BASE, INVERSE = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+PRIME = (1 << 61) - 1
+BASE = 0x1E3779B97F4A7C15
 STEP, STEP_INVERSE = U(0xD1342543DE82EF95), U(pow(0xD1342543DE82EF95, -1, 1 << 64))
 SPAN = 1 << 20  # bytes hashed at a time
 _powers: dict[int, np.ndarray] = {}
+_residues: dict[int, np.ndarray] = {}
 
 
 def _power(base: np.uint64, n: int) -> np.ndarray:
@@ -28,6 +32,28 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & U(PRIME)) + (x >> U(61))
+    return np.where(x >= U(PRIME), x - U(PRIME), x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, from halves of 31 bits: 2**62 is 2 there, and 2**61 is 1."""
+    low = U((1 << 31) - 1)
+    a0, a1, b0, b1 = a & low, a >> U(31), b & low, b >> U(31)
+    middle = a1 * b0 + a0 * b1
+    return _reduced(U(2) * (a1 * b1) + (middle >> U(30)) + ((middle & U((1 << 30) - 1)) << U(31)) + a0 * b0)
+
+
+def _residue(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n - 1) modulo PRIME."""
+    have = _residues.get(base, np.ones(1, dtype=U))
+    while len(have) < n:
+        have = np.concatenate([have, _times(have, np.full(len(have), pow(base, len(have), PRIME), dtype=U))])
+    _residues[base] = have
+    return have[:n]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values, so that every bit depends on all bits."""
     x = x ^ (x >> U(30))
@@ -58,6 +84,25 @@ def lower_ascii(raw: np.ndarray) -> np.ndarray:
     return np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
 
 
+def _span_sums(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sum of (byte + 1) * BASE**place modulo PRIME of each span, places from the first byte; of at most SPAN bytes in all."""
+    power, values = _residue(BASE, len(raw)), raw.astype(U) + U(1)
+    low, high = np.zeros(len(raw) + 1, dtype=U), np.zeros(len(raw) + 1, dtype=U)
+    np.cumsum(values * (power & U(0xFFFFFFFF)), out=low[1:])
+    np.cumsum(values * (power >> U(32)), out=high[1:])
+    low, high = low[ends] - low[starts], high[ends] - high[starts]
+    return _reduced((high >> U(29)) + ((high & U((1 << 29) - 1)) << U(32)) + low)
+
+
+def _long_sum(raw: np.ndarray) -> int:
+    """The same of one span of any length."""
+    total = 0
+    for at in range(0, len(raw), SPAN):
+        part = raw[at : at + SPAN]
+        total += int(_span_sums(part, np.array([0]), np.array([len(part)]))[0]) * pow(BASE, at, PRIME)
+    return total % PRIME
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of each span [start, end); spans are ascending and do not overlap."""
     out = np.empty(len(starts), dtype=U)
@@ -65,10 +110,11 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + SPAN, "right")))
         lo, hi = int(starts[i]), int(ends[j - 1])
-        sums = np.zeros(hi - lo + 1, dtype=U)
-        np.cumsum((raw[lo:hi].astype(U) + U(1)) * _power(BASE, hi - lo), out=sums[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = mix((sums[e] - sums[s]) * _power(INVERSE, hi - lo + 1)[s] + (e - s).astype(U))
+        if hi - lo > SPAN:  # one long span
+            sums = np.array([_long_sum(raw[lo:hi])], dtype=U)
+        else:
+            sums = _times(_span_sums(raw[lo:hi], starts[i:j] - lo, ends[i:j] - lo), _residue(pow(BASE, -1, PRIME), hi - lo + 1)[starts[i:j] - lo])
+        out[i:j] = mix(sums + (ends[i:j] - starts[i:j]).astype(U))
         i = j
     return out
 
@@ -122,7 +168,7 @@ def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """The batch in runs of rows with at most about ``most`` bytes of text; a longer text is a run of its own."""
     array = batch.column(column)
     _, offsets, _ = array.buffers()

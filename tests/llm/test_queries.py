@@ -89,6 +89,24 @@ def test_op3(spark, folder):
     same(rows(got, "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"), want)
 
 
+def test_op3_context(spark):
+    """Words nearby decide over spans of the added kinds, both ways; account numbers also in groups of four."""
+    from roomweave.llm import pii
+
+    rows = [(1, "My SSN is 123-45-6789 ok"), (2, "code 123-45-6789 ok"), (3, "SSN 000-45-6789"), (4, "pay GB82 WEST 1234 5698 7654 32 or GB82WEST12345698765432 not GB83WEST12345698765432"), (5, "placeholder GB82WEST12345698765432")]
+    got = {r.row.doc_id: [(s.kind, s.start, s.end, s.score) for s in r.spans] for r in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [("ssn", 10, 21, 0.65)], 2: [], 3: [], 4: [("iban", 4, 31, 0.7), ("iban", 35, 57, 0.7)], 5: []}
+
+
+def test_op3_masks(spark):
+    """Also thousands of spans, spans that overlap, and characters outside the basic plane."""
+    from roomweave.llm import pii
+
+    rows = [(1, "mail \U0001f600 a@b.cc and " * 4_000), (2, "x +49 30 1234567 y"), (3, "+1 4111 1111 1111 1111"), (4, None), (5, "")]
+    got = {r.row.doc_id: r.masked for r in pii.with_masked(pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got == {1: "mail \U0001f600 [EMAIL] and " * 4_000, 2: "x [PHONE] y", 3: "+1 4111 1111 1111 1111", 4: "", 5: ""}
+
+
 def grams(t, n):
     w = WORD.findall(t.translate(LOWER))
     return frozenset(tuple(w[j : j + n]) for j in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
@@ -120,11 +138,12 @@ def test_op4(spark, folder, n, percent):
     same(rows(got, "doc_id", "n_shingles", "component_id"), [(i, len(grams(t, n)), component[i]) for i, t in docs])
 
 
-def test_op4_second_hubs(spark, monkeypatch):
-    """A large bucket whose hub is far from two groups of near copies, all with one passage in common."""
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_op4_rounds(spark, monkeypatch, rounds):
+    """Buckets whose hubs are far from groups of near copies, all with one passage in common; also by prefixes alone."""
     from roomweave.llm import ngram_join
 
-    monkeypatch.setattr(ngram_join, "SMALL", 2)
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
     words = lambda name, n: [f"{name}{k}" for k in range(n)]
     passage, docs = words("p", 60), []
     for group in range(3):
@@ -133,12 +152,43 @@ def test_op4_second_hubs(spark, monkeypatch):
             own[3 * i] = f"x{group}{i}"
             docs.append((len(docs), " ".join(passage + own)))
     docs += [(100 + i, " ".join(passage + words(f"s{i}", 150))) for i in range(8)]
-    for percent in (70, 80, 90):
+    for percent in (60, 80, 90):
         got = ngram_join.join_ngrams(spark.createDataFrame(docs, "doc_id long, text string"), n=5, percent=percent)
         component = linked(docs, 5, percent)
         assert {r.doc_id: r.component_id for r in got.collect()} == {i: component[i] for i, _ in docs}
 
 
+def thue_morse(n):
+    """Two words of n letters that polynomials modulo powers of two do not tell apart."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_hashes(spark):
+    import pyarrow as pa
+
+    from roomweave.llm import wordhash
+
+    for n in (1024, 2048, 4096, (1 << 21) + 3):
+        one, two = thue_morse(n)
+        h = wordhash.Words(pa.array([f"{one} x {two}", two, f" {one}"])).hashes
+        assert h[0] != h[2] and h[2] == h[3] and h[0] == h[4]
+    words = [f"w{i}" * (i % 5 + 1) for i in range(20_000)]
+    h = wordhash.Words(pa.array([" ".join(words), " ".join(reversed(words))])).hashes
+    assert len(set(h[:20_000].tolist())) == 20_000 and (h[:20_000] == h[20_000:][::-1]).all()
+
+
+def test_words_alike(spark, tmp_path):
+    """Different words of equal polynomials modulo 2**64 neither link nor repeat."""
+    one, two = thue_morse(2048)
+    around = " ".join(f"w{k}" for k in range(30))
+    docs = [(1, f"{one} {around} {one}"), (2, f"{two} other words {two}"), (3, " ".join([one] + [f"z{k}" for k in range(14)])), (4, " ".join([two] + [f"z{k}" for k in range(12)])), (5, "\n".join([one, two]))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.component_id for r in q.op4_ngram_join(spark, str(tmp_path)).orderBy("doc_id").collect()] == [1, 2, 3, 4, 5]
+    assert [r.n_removed for r in q.op5_substring_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()] == [0, 0, 0, 0, 0]
+    assert [r.n_dup_lines for r in q.op9_quality(spark, str(tmp_path)).orderBy("doc_id").collect()] == [0] * 5
+
+
 def test_op5(spark, folder):
     seen, want, docs = {}, [], texts(spark, folder)
     for i, t in docs:
