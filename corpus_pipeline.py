@@ -50,7 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets are replaced by their kind."""
-    found = pii.find_spans(docs).withColumn("masked", pii.masked(F.col("text"), F.col("spans")))
+    found = pii.with_masked(pii.find_spans(docs))
     return found.select(*_with_text(docs.columns, F.col("masked")))
 
 
