@@ -31,6 +31,8 @@ texts are linked as their texts are.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -44,7 +46,7 @@ from roomweave.llm.wordhash import U, Words, mix, slices, window_hashes
 
 COUNTED = 8  # fragments in which overlaps of pairs are counted
 NEAR = 0.5
-ROUNDS = 3
+ROUNDS = 2
 FRAGMENT = 1 << 20  # n-grams in a fragment of all sets, as long as there are at most MANY fragments
 MANY = 1 << 14  # beyond, fragments and what they hold both grow with the root of the input
 RUN_GRAMS, RUN_SETS = 1 << 21, 60_000  # a run of sets that a task sends at once
@@ -303,7 +305,7 @@ def linked_sets(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataF
     texts = docs.join(holders, "doc_id").groupBy("doc_id").agg(F.collect_set("text").alias("texts"), F.first("wanted").alias("wanted"))
     frags = checkpointed(fragments(texts.select("texts", "wanted"), n))
 
-    margin, links, left = (100 - percent) / 200, some.limit(0).selectExpr("set_id AS hub", "set_id AS set"), frags
+    margin, rounds, left, apart = (100 - percent) / 200, [], frags, None
     for _ in range(ROUNDS):
         members = checkpointed(_placed(left, percent).select(F.col("item").alias("sig"), "set"))
         members = members.join(members.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1"), "sig")
@@ -312,19 +314,23 @@ def linked_sets(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataF
         met = checkpointed(members.join(hubs, "sig").where("set <> hub").select("sig", "size", "hub", "set"))
         # Sets that link must share a bucket, so two sets beside one hub only matter if both met it in company of others.
         pairs = met.groupBy("hub", "set").agg(F.max("size").alias("company"))
-        counted = checkpointed(_judged(_overlaps(pairs.select("hub", "set"), frags), percent).join(pairs, ["hub", "set"]))
-        near = checkpointed(_near(counted.where("company > 2").drop("company"), frags, percent))
-        links = links.unionByName(counted.where("linked").select("hub", "set")).unionByName(_close(near, percent))
-        far = met.where("size > 2").join(counted.where(f"jaccard <= {NEAR + margin}").select("hub", "set"), ["hub", "set"])
+        rounds.append(checkpointed(_judged(_overlaps(pairs.select("hub", "set"), frags), percent).join(pairs, ["hub", "set"])))
+        far = met.where("size > 2").join(rounds[-1].where(f"jaccard <= {NEAR + margin}").select("hub", "set"), ["hub", "set"])
         several = far.groupBy("sig").agg(F.count("*").alias("members")).where("members > 1").select("sig")
         lone = checkpointed(far.join(several, "sig", "left_semi").select(F.col("set").alias("set_id")).distinct())
         if lone.isEmpty():
-            return links
+            break
         left = frags.join(lone, "set_id")
-    least = f"CAST(ceil({percent} * n / 100) AS INT)"
-    items = _placed(left, percent).selectExpr("0L AS hub", "'far' AS zone", "set", "item", "pos", "n", f"{percent} * n AS cost", "0 AS room", f"{least} AS probe", f"{least} AS index")
-    apart = checkpointed(_rest(items, percent).select(F.col("set1").alias("hub"), F.col("set2").alias("set")))
-    return links.unionByName(_linked(_overlaps(apart, frags), percent))
+    else:
+        least = f"CAST(ceil({percent} * n / 100) AS INT)"
+        items = _placed(left, percent).selectExpr("0L AS hub", "'far' AS zone", "set", "item", "pos", "n", f"{percent} * n AS cost", "0 AS room", f"{least} AS probe", f"{least} AS index")
+        apart = checkpointed(_rest(items, percent).select(F.col("set1").alias("hub"), F.col("set2").alias("set")))
+    links = some.limit(0).selectExpr("set_id AS hub", "set_id AS set")
+    if rounds:
+        counted = reduce(DataFrame.unionByName, rounds)
+        near = checkpointed(_near(counted.where("company > 2").drop("company").dropDuplicates(["hub", "set"]), frags, percent))
+        links = links.unionByName(counted.where("linked").select("hub", "set")).unionByName(_close(near, percent))
+    return links if apart is None else links.unionByName(_linked(_overlaps(apart, frags), percent))
 
 
 def join_ngrams(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
