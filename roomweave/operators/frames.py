@@ -6,17 +6,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from roomweave.functions.geometry import lerp, pixel
+from roomweave.functions.geometry import bucket, lerp, pixel, slerp
+from roomweave.storage import set_checkpoint_dir
 
 
-def project(points: DataFrame, cameras: DataFrame, near: float = 0.05) -> DataFrame:
+CAMERAS = 4096  # in an array
+
+
+def _seen_by(x: Column, y: Column, z: Column) -> list[Column]:
+    """A place in the axes of the camera beside it."""
+    r = lambda i: F.col("r")[i]
+    return [r(3 * k) * x + r(3 * k + 1) * y + r(3 * k + 2) * z + F.col(f"t{c}") for k, c in enumerate("xyz")]
+
+
+def project(points: DataFrame, cameras: DataFrame, near: float = 0.05, block: float = 0.5) -> DataFrame:
     """(frame, pid, u, v): points before each camera and in its image.
 
-    Cameras (frame, r array of 9, tx, ty, tz, fx, fy, cx, cy, width, height) meet every point; filters follow at once.
+    Cameras (frame, r array of 9, tx, ty, tz, fx, fy, cx, cy, width, height) meet occupied blocks of space, of which only
+    those stay whose sphere reaches into the camera's view; the points of these blocks follow by an equi-join.
     """
-    r = lambda i: F.col("r")[i]
-    axes = [r(3 * k) * F.col("x") + r(3 * k + 1) * F.col("y") + r(3 * k + 2) * F.col("z") + F.col(f"t{c}") for k, c in enumerate("xyz")]
-    seen = points.crossJoin(cameras).withColumns({"cam_x": axes[0], "cam_y": axes[1], "cam_z": axes[2]}).where(F.col("cam_z") > near)
+    places = [bucket(F.col(c), block).alias(f"b{c}") for c in "xyz"]
+    held = points.select("*", *places)
+    x, y, z = _seen_by(*((F.col(f"b{c}") + 0.5) * block for c in "xyz"))
+    radius = block * 0.8661  # half the diagonal
+    reaches = F.col("sz") + radius > near
+    for side, focal, centre, size in (("sx", "fx", "cx", "width"), ("sy", "fy", "cy", "height")):
+        for sign, edge in ((1, F.col(centre) + 0.5), (-1, F.col(size) - 0.5 - F.col(centre))):
+            reaches = reaches & (sign * F.col(focal) * F.col(side) + edge * F.col("sz") >= -radius * F.sqrt(F.col(focal) * F.col(focal) + edge * edge))
+    views = held.select("bx", "by", "bz").distinct().crossJoin(cameras).withColumns({"sx": x, "sy": y, "sz": z}).where(reaches).drop("sx", "sy", "sz")
+    axes = _seen_by(F.col("x"), F.col("y"), F.col("z"))
+    seen = held.join(views, ["bx", "by", "bz"]).withColumns({"cam_x": axes[0], "cam_y": axes[1], "cam_z": axes[2]}).where(F.col("cam_z") > near)
     placed = seen.withColumns({"u": pixel(F.col("cam_x"), F.col("cam_z"), F.col("fx"), F.col("cx")), "v": pixel(F.col("cam_y"), F.col("cam_z"), F.col("fy"), F.col("cy"))})
     return placed.where("u >= 0 AND u < width AND v >= 0 AND v < height").select("frame", "pid", "u", "v")
 
@@ -61,21 +80,23 @@ def object_stats(points: DataFrame, key: str = "label") -> DataFrame:
                                    sides.alias("volume"), F.count("*").alias("points"), F.countDistinct("frame_num").alias("frames"))
 
 
-def as_of(rows: DataFrame, track: str, order: str, key: Column, values: list[str]) -> DataFrame:
+def as_of(rows: DataFrame, track: str, order: str, key: Column, values: list[str], turn: list[str] = ()) -> DataFrame:
     """rows with values interpolated between the key rows before and after on their track; beyond the ends, the end's.
+    turn: the four columns of a unit quaternion, interpolated along the shorter arc.
 
     how: exact, between, or clamped. Windows over each track; a track's rows meet in one task, as its order demands.
     """
     w = W.partitionBy(track).orderBy(order)
     back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
-    point = F.when(key, F.struct(F.col(order).alias("at"), *(F.col(v).alias(v) for v in values)))
+    point = F.when(key, F.struct(F.col(order).alias("at"), *(F.col(v).alias(v) for v in [*values, *turn])))
     near = rows.withColumns({"_key": key, "_a": F.last(point, True).over(back), "_b": F.first(point, True).over(ahead)})
     a, b = F.coalesce("_a", "_b"), F.coalesce("_b", "_a")
     near = near.withColumns({"_from": a, "_to": b}).where("_from IS NOT NULL")
     t = F.coalesce(F.try_divide((F.col(order) - F.col("_from.at")).cast("double"), (F.col("_to.at") - F.col("_from.at")).cast("double")), F.lit(0.0))
     how = F.when(F.col("_key"), "exact").when(F.col("_a").isNull() | F.col("_b").isNull(), "clamped").otherwise("between")
     t = F.when(how == "clamped", 0.0).otherwise(t)
-    return near.select(track, order, how.alias("how"), *(lerp(F.col(f"_from.{v}"), F.col(f"_to.{v}"), t).alias(v) for v in values))
+    turned = slerp([F.col(f"_from.{v}") for v in turn], [F.col(f"_to.{v}") for v in turn], t) if turn else []
+    return near.select(track, order, how.alias("how"), *(lerp(F.col(f"_from.{v}"), F.col(f"_to.{v}"), t).alias(v) for v in values), *(c.alias(v) for c, v in zip(turned, turn)))
 
 
 def best_detections(rows: DataFrame) -> DataFrame:
@@ -84,14 +105,24 @@ def best_detections(rows: DataFrame) -> DataFrame:
 
 
 def nearest_camera(zones: DataFrame, cameras: DataFrame) -> DataFrame:
-    """(zone, camera, dist): the closest camera, of equals the first. Cameras of a scene are few."""
-    d = F.sqrt(sum(((F.col(c) - F.col(f"c{c}")) * (F.col(c) - F.col(f"c{c}")) for c in "xyz"), F.lit(0.0)))
-    return zones.crossJoin(cameras).select("zone", F.struct(d.alias("d"), F.col("camera")).alias("m")).groupBy("zone").agg(F.min("m").alias("m")).select("zone", "m.camera", F.col("m.d").alias("dist"))
+    """(zone, camera, dist): the closest camera, of equals the first.
+
+    Cameras go to tasks in arrays of at most CAMERAS; a zone is a row for each array, and one row after a minimum.
+    """
+    groups = cameras.withColumn("part", F.pmod(F.xxhash64("camera"), F.lit(max(1, -(-cameras.count() // CAMERAS))))).groupBy("part").agg(F.collect_list(F.struct("camera", "cx", "cy", "cz")).alias("cameras"))
+    d = lambda c: F.sqrt(sum(((F.col(a) - c[f"c{a}"]) * (F.col(a) - c[f"c{a}"]) for a in "xyz"), F.lit(0.0)))
+    best = F.array_min(F.transform("cameras", lambda c: F.struct(d(c).alias("d"), c.camera.alias("camera"))))
+    near = zones.crossJoin(groups.drop("part")).select("zone", best.alias("m"))
+    return near.groupBy("zone").agg(F.min("m").alias("m")).select("zone", "m.camera", F.col("m.d").alias("dist"))
 
 
 def numbered(rows: DataFrame, order: list, name: str = "rn") -> DataFrame:
-    """Rows numbered from 0 in a total order, without one task for all: ranges of the order are counted, then numbered."""
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    """Rows numbered from 0 in a total order, without one task for all: ranges of the order are counted, then numbered.
+
+    The ranges are checkpointed, so that they are the same where they are counted and where they are numbered.
+    """
+    set_checkpoint_dir(rows.sparkSession)
+    parts = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
     w = W.partitionBy("_part").orderBy(*order)
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)))  # a row a partition
@@ -112,7 +143,7 @@ def hash_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
 def drop_blurred(rows: DataFrame, score: str, order: str, percent: float) -> DataFrame:
     """Rows without the given share of least score (cut off; negative scores stay), renamed in order."""
     n = int(rows.where(F.col(score) >= 0).count() * percent / 100)
-    worst = rows.where(F.col(score) >= 0).orderBy(score, order).limit(n).select(order)
+    worst = numbered(rows.where(F.col(score) >= 0).select(score, order), [score, order]).where(F.col("rn") < n).select(order)
     return numbered(rows.join(worst, order, "left_anti"), [order], "new_index").withColumn("new_name", F.format_string("frame_%04d", F.col("new_index")))
 
 

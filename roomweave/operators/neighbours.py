@@ -32,16 +32,17 @@ def keep_dense(points: DataFrame, radius: float, least: int) -> DataFrame:
     return points.join(dense, "pid")
 
 
-def nearest(points: DataFrame, k: int, first_radius: float, most_rounds: int = 12) -> DataFrame:
+def nearest(points: DataFrame, k: int, first_radius: float) -> DataFrame:
     """(pid, other, dist, rank): the k nearest others of each point, ties by pid.
 
-    A point is settled once k others lie within the radius; the rest are tried again with twice the radius.
+    A point is settled once k others lie within the radius; the rest are tried again with twice the radius, which ends at
+    the latest when it reaches from end to end.
     """
     set_checkpoint_dir(points.sparkSession)
     settled, open_points, radius = None, points, first_radius
     total = points.count()
     k = min(k, total - 1)
-    for _ in range(most_rounds):
+    while True:
         cubes = [bucket(F.col(c), radius).alias(f"c{c}") for c in AXES]
         held = points.select(F.col("pid").alias("other"), *(F.col(c).alias(f"o{c}") for c in AXES), *cubes)
         around = open_points.select("pid", *AXES, *cubes)
@@ -49,7 +50,7 @@ def nearest(points: DataFrame, k: int, first_radius: float, most_rounds: int = 1
             around = around.withColumn(f"c{c}", F.explode(F.sequence(F.col(f"c{c}") - 1, F.col(f"c{c}") + 1)))
         dist = distance(tuple(F.col(c) for c in AXES), tuple(F.col(f"o{c}") for c in AXES))
         near = around.join(held, [f"c{c}" for c in AXES]).where("pid <> other").select("pid", "other", dist.alias("dist")).where(F.col("dist") <= radius)
-        ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("pid").orderBy("dist", "other"))).where(F.col("rank") <= k)
+        ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("pid").orderBy("dist", "other"))).where(F.col("rank") <= k).checkpoint()
         whole = ranked.groupBy("pid").agg(F.count("*").alias("found")).where(F.col("found") == k).select("pid")
         done = ranked.join(whole, "pid", "left_semi")
         settled = done if settled is None else settled.unionByName(done)
@@ -57,4 +58,3 @@ def nearest(points: DataFrame, k: int, first_radius: float, most_rounds: int = 1
         if open_points.isEmpty():
             return settled
         radius *= 2
-    raise RuntimeError("points too far apart for first_radius")

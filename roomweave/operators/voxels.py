@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roomweave.functions.geometry import cell, provenance
+from roomweave.operators.frames import numbered
 from roomweave.storage import set_checkpoint_dir
 
 IJK = ["i", "j", "k"]
+BLOCK = 16  # cells a side, where boxes meet cells
+FARTHEST = 500_000  # cells from the origin, so that three places make one number
 
 
 def grid(points: DataFrame, size: float, padding: float = 0.1) -> DataFrame:
@@ -76,16 +79,23 @@ def tag_points(points: DataFrame, conf: DataFrame, shape: DataFrame, size: float
 
 
 def box_confidence(boxes: DataFrame, conf: DataFrame, shape: DataFrame, size: float) -> DataFrame:
-    """(label, confidence): the mean over all cells of each object's box; boxes (label, lo_x .. hi_z) list their cells."""
+    """(label, confidence, provenance): the mean over all cells of each object's box, rounded to four places; bands are of
+    the mean before. A box (label, lo_x .. hi_z) reaches from the cell of its lower end to the one after its upper end's;
+    one outside the grid has 0. Boxes list blocks of BLOCK cells a side, in which they meet the cells.
+    """
     placed = boxes.crossJoin(F.broadcast(shape))
     for c in "xyz":
-        placed = (placed.withColumn(f"a{c}", F.greatest(F.lit(0), cell(F.col(f"lo_{c}"), F.col(f"o{c}"), size)))
-                  .withColumn(f"b{c}", F.least(F.col(f"n{c}"), cell(F.col(f"hi_{c}"), F.col(f"o{c}"), size) + 1)))
+        ends = {f"a{c}": F.floor((F.col(f"lo_{c}") - F.col(f"o{c}")) / size), f"b{c}": F.ceil((F.col(f"hi_{c}") - F.col(f"o{c}")) / size) + 1}
+        placed = placed.withColumns({n: F.least(F.col(f"n{c}"), F.greatest(F.lit(0), e)).cast("int") for n, e in ends.items()})
     held = placed.where("ax < bx AND ay < by AND az < bz")
     total = held.select("label", ((F.col("bx") - F.col("ax")).cast("long") * (F.col("by") - F.col("ay")) * (F.col("bz") - F.col("az"))).alias("cells"))
+    blocks, cells = held, conf.withColumns({f"b_{n}": F.floor(F.col(n) / BLOCK) for n in IJK})
+    for n, c in zip(IJK, "xyz"):
+        blocks = blocks.withColumn(f"b_{n}", F.explode(F.sequence(F.floor(F.col(f"a{c}") / BLOCK), F.floor((F.col(f"b{c}") - 1) / BLOCK))))
     within = F.expr("i >= ax AND i < bx AND j >= ay AND j < by AND k >= az AND k < bz")
-    sums = conf.join(held, within).groupBy("label").agg(F.sum("confidence").alias("sum"))
-    return total.join(sums, "label", "left").select("label", (F.coalesce("sum", F.lit(0.0)) / F.col("cells")).alias("confidence"))
+    sums = cells.join(blocks, [f"b_{n}" for n in IJK]).where(within).groupBy("label").agg(F.sum("confidence").alias("sum"))
+    mean = F.coalesce(F.try_divide(F.coalesce("sum", F.lit(0.0)), F.col("cells")), F.lit(0.0))
+    return boxes.select("label").join(total, "label", "left").join(sums, "label", "left").select("label", F.round(mean, 4).alias("confidence"), provenance(mean).alias("provenance"))
 
 
 def first_in_cell(points: DataFrame, size: float) -> DataFrame:
@@ -98,10 +108,12 @@ def face_components(cells: DataFrame, most_rounds: int = 500) -> DataFrame:
     """(i, j, k, zone): components of cells that share faces; zone is the least number of a cell.
 
     Each round takes the least label of a cell and its neighbours, and then that of the cell the label names, so
-    labels jump; rounds are checkpointed.
+    labels jump; rounds are checkpointed. Cells lie within FARTHEST of the origin on each axis.
     """
     set_checkpoint_dir(cells.sparkSession)
     number = F.expr("(CAST(i AS BIGINT) * 1000003 + j) * 1000003 + k")
+    if not cells.where(" OR ".join(f"abs({n}) >= {FARTHEST}" for n in IJK)).isEmpty():
+        raise ValueError(f"cells lie {FARTHEST} or more from the origin")
     own = cells.select(*IJK).distinct().withColumn("cell", number)
     steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a, b, c in ((1, 0, 0), (0, 1, 0), (0, 0, 1))))
     beside = own.withColumn("s", F.explode(steps)).select("cell", F.expr("(CAST(i + s.a AS BIGINT) * 1000003 + j + s.b) * 1000003 + k + s.c").alias("other"))
@@ -118,3 +130,12 @@ def face_components(cells: DataFrame, most_rounds: int = 500) -> DataFrame:
             return own.join(labels, "cell").select(*IJK, "zone")
         changed = now
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def zone_report(cells: DataFrame, size: float, least: int = 200, origin: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
+    """(zone_id, zone, size_voxels, x, y, z, volume_m3) of components of face_components with at least so many cells: the
+    centre in the world, and the rank by size, of equals by zone. Zones are ranked by ranges, not in one task."""
+    sizes = cells.groupBy("zone").agg(F.count("*").alias("size_voxels"), *(F.avg(n).alias(f"c{n}") for n in IJK)).where(F.col("size_voxels") >= least)
+    centre = [((F.col(f"c{n}") + 0.5) * size + o).alias(c) for n, c, o in zip(IJK, "xyz", origin)]
+    ranked = numbered(sizes.withColumn("_size", -F.col("size_voxels")), ["_size", "zone"], "zone_id")
+    return ranked.select("zone_id", "zone", "size_voxels", *centre, (F.col("size_voxels") * size**3).alias("volume_m3"))

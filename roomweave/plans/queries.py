@@ -1,7 +1,7 @@
 """The registered queries: operators over spatial views of the tables, each with SQL that gives the same rows.
 
 Views: pts (a point a vector), evpts (a point an event, with a label, frame and confidence), objs (an object a
-class), cams (a camera for each of the first eight users).  Numbers are rounded to six places on both sides.
+class), cams (a camera for each user).  Numbers are rounded to six places on both sides.
 """
 
 from __future__ import annotations
@@ -38,8 +38,7 @@ def evpts(spark: SparkSession, d: str) -> DataFrame:
 
 def cams(spark: SparkSession, d: str) -> DataFrame:
     e = evpts(spark, d).where("frame_num IS NOT NULL")
-    first = e.select("frame_num").distinct().orderBy("frame_num").limit(8)
-    return e.join(F.broadcast(first), "frame_num").groupBy("frame_num").agg(*(F.round(F.avg(c), 6).alias(c) for c in "xyz")).withColumnRenamed("frame_num", "camera")
+    return e.groupBy("frame_num").agg(*(F.round(F.avg(c), 6).alias(c) for c in "xyz")).withColumnRenamed("frame_num", "camera")
 
 
 def objs(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +50,7 @@ def objs(spark: SparkSession, d: str) -> DataFrame:
 PTS = "pts AS (SELECT vec_id AS pid, embedding[1]::DOUBLE * 10 AS x, embedding[2]::DOUBLE * 10 AS y, embedding[3]::DOUBLE * 10 AS z, label + 1 AS class_idx FROM embeddings)"
 EVPTS = ("evpts AS (SELECT event_id AS pid, value / 100.0::DOUBLE AS x, (user_id % 20) * 0.1::DOUBLE AS y, minute(ts) / 20.0::DOUBLE AS z, event_type AS label, user_id AS frame_num, "
          "value / 500.0::DOUBLE AS conf, ts FROM events)")
-CAMS = "cams AS (SELECT frame_num AS camera, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z FROM evpts WHERE frame_num IN (SELECT DISTINCT frame_num FROM evpts ORDER BY 1 LIMIT 8) GROUP BY 1)"
+CAMS = "cams AS (SELECT frame_num AS camera, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z FROM evpts WHERE frame_num IS NOT NULL GROUP BY 1)"
 _NAMES = "[" + ", ".join(f"'{c}'" for c in CLASSES) + "]"
 OBJS = (f"objs AS (SELECT ord, {_NAMES}[ord] AS label, x, y, z, x - 0.1::DOUBLE * sx AS lo_x, y - 0.1::DOUBLE * sy AS lo_y, z - 0.1::DOUBLE * sz AS lo_z, x + 0.1::DOUBLE * sx AS hi_x, y + 0.1::DOUBLE * sy AS hi_y, z + 0.1::DOUBLE * sz AS hi_z "
         "FROM (SELECT class_idx AS ord, avg(x * 4) AS x, avg(y * 4) AS y, avg(z * 4) AS z, stddev_pop(x * 4) AS sx, stddev_pop(y * 4) AS sy, stddev_pop(z * 4) AS sz FROM pts GROUP BY 1))")
@@ -104,11 +103,11 @@ EDGES = f"""WITH {PTS}, {OBJS}, pair AS (SELECT a.label AS al, b.label AS bl, {_
 walls AS (SELECT a.label AS al, b.label AS bl, {_PAIR} AS d, row_number() OVER (PARTITION BY a.ord ORDER BY {_PAIR}, b.ord) AS rn FROM objs a JOIN objs b ON a.ord <> b.ord WHERE a.label NOT IN {_WALLS} AND b.label IN {_WALLS} AND {_PAIR} <= 0.8::DOUBLE),
 three AS (SELECT a.label AS al, b.label AS bl, c.label AS cl, c.x - b.x AS ux, c.z - b.z AS uz, a.x - b.x AS vx, a.z - b.z AS vz, ({_PAIR} + {_PAIR.replace('b.', 'c.')}) / 2 AS d FROM objs b JOIN objs c ON b.ord < c.ord JOIN objs a ON a.ord <> b.ord AND a.ord <> c.ord),
 placed AS (SELECT *, CASE WHEN ux * ux + uz * uz >= 1e-9::DOUBLE THEN (vx * ux + vz * uz) / nullif(ux * ux + uz * uz, 0) END AS t FROM three),
-edges AS (SELECT CASE up WHEN 1 THEN al ELSE bl END AS source, CASE up WHEN 1 THEN bl ELSE al END AS target, NULL::VARCHAR AS target_2, 'on_top_of' AS relation, round(d, 4) AS distance_m FROM pair WHERE up IS NOT NULL
-UNION ALL SELECT least(al, bl), greatest(al, bl), NULL, 'next_to', round(d, 4) FROM pair WHERE up IS NULL AND d < 0.8::DOUBLE
-UNION ALL SELECT label, label, NULL, 'near_wall', 0.0::DOUBLE FROM objs WHERE label IN {_WALLS}
-UNION ALL SELECT al, bl, NULL, 'near_wall', round(d, 4) FROM walls WHERE rn = 1
-UNION ALL SELECT al, bl, cl, 'between', round(d, 4) FROM placed WHERE t BETWEEN 0 AND 1 AND sqrt((vx - t * ux) * (vx - t * ux) + (vz - t * uz) * (vz - t * uz)) <= 0.3::DOUBLE)"""
+edges AS (SELECT CASE up WHEN 1 THEN al ELSE bl END AS source, CASE up WHEN 1 THEN bl ELSE al END AS target, NULL::VARCHAR AS target_1, NULL::VARCHAR AS target_2, 'on_top_of' AS relation, NULL::VARCHAR AS nearest_wall_obj, round(d, 4) AS distance_m FROM pair WHERE up IS NOT NULL
+UNION ALL SELECT least(al, bl), greatest(al, bl), NULL, NULL, 'next_to', NULL, round(d, 4) FROM pair WHERE up IS NULL AND d < 0.8::DOUBLE
+UNION ALL SELECT label, 'wall', NULL, NULL, 'near_wall', lower(label), 0.0::DOUBLE FROM objs WHERE label IN {_WALLS}
+UNION ALL SELECT al, 'wall', NULL, NULL, 'near_wall', bl, round(d, 4) FROM walls WHERE rn = 1
+UNION ALL SELECT al, NULL, bl, cl, 'between', NULL, round(d, 4) FROM placed WHERE t BETWEEN 0 AND 1 AND sqrt((vx - t * ux) * (vx - t * ux) + (vz - t * uz) * (vz - t * uz)) <= 0.3::DOUBLE)"""
 
 
 @query(EDGES + " SELECT * FROM edges")
@@ -163,13 +162,13 @@ def point_provenance(spark, d):
 
 
 @query(ALL + f""", boxes AS (SELECT label, min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS e, min(z) AS f, max(z) AS g FROM evpts GROUP BY 1),
-lims AS (SELECT label, greatest(0, trunc((a - ox) / {SIZE})::INT) AS ax, least(nx, trunc((b - ox) / {SIZE})::INT + 1) AS bx, greatest(0, trunc((c - oy) / {SIZE})::INT) AS ay, least(ny, trunc((e - oy) / {SIZE})::INT + 1) AS by_,
-greatest(0, trunc((f - oz) / {SIZE})::INT) AS az, least(nz, trunc((g - oz) / {SIZE})::INT + 1) AS bz FROM boxes, grid)
-SELECT label, round(sum(coalesce(confidence, 0)) / any_value((bx - ax)::BIGINT * (by_ - ay) * (bz - az)), 6) AS confidence FROM lims LEFT JOIN conf ON i >= ax AND i < bx AND j >= ay AND j < by_ AND k >= az AND k < bz GROUP BY label""")
+lims AS (SELECT label, {", ".join(f"least({n}, greatest(0, floor(({lo} - {o}) / {SIZE})::INT)) AS a{c}, least({n}, greatest(0, ceil(({hi} - {o}) / {SIZE})::INT + 1)) AS b{c}_" for c, lo, hi, o, n in (("x", "a", "b", "ox", "nx"), ("y", "c", "e", "oy", "ny"), ("z", "f", "g", "oz", "nz")))} FROM boxes, grid),
+m AS (SELECT label, coalesce(sum(confidence), 0) / any_value((bx_ - ax)::BIGINT * (by_ - ay) * (bz_ - az)) AS mean FROM lims LEFT JOIN conf ON i >= ax AND i < bx_ AND j >= ay AND j < by_ AND k >= az AND k < bz_ GROUP BY label)
+SELECT label, round(mean, 4) AS confidence, CASE WHEN mean > 0.7::DOUBLE THEN 'observed' WHEN mean >= 0.3::DOUBLE THEN 'sparse' ELSE 'inferred' END AS provenance FROM m""")
 def object_confidence(spark, d):
     points, shape, conf = _confidence(spark, d)
     boxes = points.groupBy("label").agg(*(F.min(c).alias(f"lo_{c}") for c in "xyz"), *(F.max(c).alias(f"hi_{c}") for c in "xyz"))
-    return voxels.box_confidence(boxes, conf, shape, SIZE).select("label", r6("confidence"))
+    return voxels.box_confidence(boxes, conf, shape, SIZE)
 
 
 @query(ALL + "SELECT i, k, round(max(confidence), 6) AS confidence FROM conf GROUP BY 1, 2")
@@ -189,11 +188,11 @@ def voxel_downsample(spark, d):
     return voxels.first_in_cell(evpts(spark, d), SIZE).select("i", "j", "k", "pid", r6("x"), r6("y"), r6("z"))
 
 
-@query(f"""WITH RECURSIVE {EVPTS}, c AS (SELECT DISTINCT floor(x / 0.5)::BIGINT AS i, floor(y / 0.5)::BIGINT AS j, floor(z / 0.5)::BIGINT AS k FROM evpts WHERE pid % 7 < 2 AND conf < 0.3::DOUBLE), n AS (SELECT *, (i * 1000003 + j) * 1000003 + k AS cell FROM c),
+@query(f"""WITH RECURSIVE {EVPTS}, c AS (SELECT DISTINCT floor(x / 0.5)::BIGINT AS i, floor(y / 0.5)::BIGINT AS j, floor(z / 0.5)::BIGINT AS k FROM evpts WHERE conf < 0.3::DOUBLE), n AS (SELECT *, (i * 1000003 + j) * 1000003 + k AS cell FROM c),
 e AS (SELECT a.cell AS a, b.cell AS b FROM n a JOIN n b ON abs(a.i - b.i) + abs(a.j - b.j) + abs(a.k - b.k) = 1), r(a, b) AS (SELECT cell, cell FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT i, j, k, zone FROM n JOIN (SELECT a AS cell, min(b) AS zone FROM r GROUP BY 1) USING (cell)""")
 def dead_zones(spark, d):
-    low = evpts(spark, d).where("pid % 7 < 2 AND conf < 0.3")
+    low = evpts(spark, d).where("conf < 0.3")
     cells = low.select(*(F.floor(F.col(c) / 0.5).cast("long").alias(n) for n, c in zip("ijk", "xyz"))).distinct()
     return voxels.face_components(cells)
 
@@ -294,7 +293,7 @@ def best_detections(spark, d):
 @query(f"WITH {EVPTS}, {CAMS}, n AS (SELECT a.pid AS zone, b.camera, {_PAIR} AS dist, row_number() OVER (PARTITION BY a.pid ORDER BY {_PAIR}, b.camera) AS rn FROM evpts a, cams b) SELECT zone, camera, round(dist, 6) AS dist FROM n WHERE rn = 1")
 def nearest_camera(spark, d):
     centres = cams(spark, d).select("camera", *(F.col(c).alias(f"c{c}") for c in "xyz"))
-    return frames.nearest_camera(evpts(spark, d).select(F.col("pid").alias("zone"), *"xyz"), F.broadcast(centres)).select("zone", "camera", r6("dist"))
+    return frames.nearest_camera(evpts(spark, d).select(F.col("pid").alias("zone"), *"xyz"), centres).select("zone", "camera", r6("dist"))
 
 
 _PROJECT = f"""WITH {EVPTS}, {CAMS}, c3 AS (SELECT camera AS frame, e.pid, e.x - c.x AS cx, e.y - c.y AS cy, e.z - c.z AS cz FROM evpts e, cams c WHERE e.z - c.z > 0.05::DOUBLE),
@@ -304,7 +303,7 @@ uv AS (SELECT frame, pid, round_even(cx / cz * 500 + 320, 0)::INT AS u, round_ev
 def _projected(spark, d):
     one = F.array(*(F.lit(float(v)) for v in (1, 0, 0, 0, 1, 0, 0, 0, 1)))
     cameras = cams(spark, d).select(F.col("camera").alias("frame"), one.alias("r"), *((-F.col(c)).alias(f"t{c}") for c in "xyz"), *(F.lit(v).alias(n) for n, v in (("fx", 500.0), ("fy", 500.0), ("cx", 320.0), ("cy", 240.0), ("width", 640), ("height", 480))))
-    return frames.project(evpts(spark, d).select("pid", *"xyz"), F.broadcast(cameras))
+    return frames.project(evpts(spark, d).select("pid", *"xyz"), cameras)
 
 
 @query(_PROJECT + " SELECT frame, pid, u, v FROM seen")
@@ -403,3 +402,70 @@ def batch_plan(spark, d):
     n = _table(spark, d, "customer").agg(F.count("*").alias("n"))
     starts = n.select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.col("n") - 1), F.lit(48).cast("long"))).alias("first"))
     return starts.where("first = 0 OR first + 16 < n").select("first", F.least(F.col("first") + 64, F.col("n")).alias("past"), F.when(F.col("first") == 0, 0).otherwise(16).alias("overlap"))
+
+
+def _nodes(spark, d):
+    """Objects as documents hold them: the mean confidence and number of frames of the events of their place in the list."""
+    o = objs(spark, d)
+    held = [F.array(*(F.col(f"{p}{c}") for c in "xyz")).alias(n) for p, n in (("", "centroid_3d"), ("lo_", "bbox_min"), ("hi_", "bbox_max"))]
+    volume = (F.col("hi_x") - F.col("lo_x")) * (F.col("hi_y") - F.col("lo_y")) * (F.col("hi_z") - F.col("lo_z"))
+    e = evpts(spark, d).groupBy((F.pmod("pid", F.lit(10)) + 1).cast("int").alias("ord")).agg(F.avg("conf").alias("reconstruction_confidence"), F.countDistinct("frame_num").cast("int").alias("frames_seen"))
+    objects = o.join(e, "ord", "left").withColumn("provenance", F.when(F.col("ord") % 4 != 0, geo.provenance(F.col("reconstruction_confidence"))))
+    return scene.make_nodes(objects.select("ord", "label", *held, volume.alias("volume_m3"), "reconstruction_confidence", "provenance", "frames_seen"))
+
+
+NODES = f"""WITH {PTS}, {OBJS}, {EVPTS}, seen AS (SELECT (pid % 10 + 1)::INT AS o, avg(conf) AS c, count(DISTINCT frame_num)::INT AS f FROM evpts GROUP BY 1),
+nodes AS (SELECT ord, label, round_even(x, 4) AS x, round_even(y, 4) AS y, round_even(z, 4) AS z, round_even(lo_x, 4) AS lo_x, round_even(lo_y, 4) AS lo_y, round_even(lo_z, 4) AS lo_z, round_even(hi_x, 4) AS hi_x, round_even(hi_y, 4) AS hi_y, round_even(hi_z, 4) AS hi_z,
+ round_even((hi_x - lo_x) * (hi_y - lo_y) * (hi_z - lo_z), 6) AS volume_m3, round_even(coalesce(c, 0), 4) AS reconstruction_confidence,
+ CASE WHEN ord % 4 = 0 OR c IS NULL THEN 'inferred' WHEN c > 0.7::DOUBLE THEN 'observed' WHEN c >= 0.3::DOUBLE THEN 'sparse' ELSE 'inferred' END AS provenance, coalesce(f, 0) AS frames_seen FROM objs LEFT JOIN seen ON o = ord) """
+
+
+@query(NODES + "SELECT * FROM nodes")
+def C1_nodes(spark, d):
+    n = _nodes(spark, d)
+    return scene.flat(n).join(n.select("ord", "volume_m3", "reconstruction_confidence", "provenance", "frames_seen"), "ord")
+
+
+@query(NODES + "SELECT round(max(hi_x) - min(lo_x), 3) AS dx, round(max(hi_y) - min(lo_y), 3) AS dy, round(max(hi_z) - min(lo_z), 3) AS dz, count(*) AS num_objects, count(*) FILTER (provenance = 'sparse') AS num_sparse_objects, count(*) FILTER (provenance = 'inferred') AS num_inferred_objects, 34.0::DOUBLE AS navigability_coverage_pct FROM nodes")
+def F17_room_summary(spark, d):
+    dims = F.col("room_dimensions_m")
+    return scene.summary(_nodes(spark, d), 34.04).select(*(dims[k].alias(f"d{c}") for k, c in enumerate("xyz")), "num_objects", "num_sparse_objects", "num_inferred_objects", "navigability_coverage_pct")
+
+
+@query(NODES + "SELECT ord, label, reconstruction_confidence, provenance FROM nodes WHERE reconstruction_confidence < 0.45::DOUBLE")
+def N4_low_confidence(spark, d):
+    return scene.low_confidence(_nodes(spark, d), 0.45)
+
+
+@query(NODES + ", o AS (SELECT x AS ox, y AS oy, z AS oz FROM nodes WHERE label = 'door') SELECT label, round(sqrt((x - ox) * (x - ox) + (y - oy) * (y - oy) + (z - oz) * (z - oz)), 4) AS distance_m, round(degrees(atan2(z - oz, x - ox)), 2) AS bearing, reconstruction_confidence, provenance FROM nodes, o WHERE label <> 'door'")
+def N4_room_layout(spark, d):
+    return scene.room_layout(_nodes(spark, d), "door")
+
+
+@query(NODES + "SELECT ord, label, repeat('\u2588', floor(reconstruction_confidence * 10)::INT) || repeat('\u2591', 10 - floor(reconstruction_confidence * 10)::INT) AS bar, reconstruction_confidence, provenance FROM nodes")
+def N6_banner(spark, d):
+    return scene.banner(_nodes(spark, d))
+
+
+@query(None)
+def N5_where_is(spark, d):
+    n = _nodes(spark, d)
+    return scene.where_is(n, scene.edges(scene.flat(n)), "laptop")
+
+
+@query(None)
+def J9_scene_document(spark, d):
+    n = _nodes(spark, d)
+    return scene.document(n, scene.edges(scene.flat(n)), scene.summary(n, 34.04))
+
+
+_ZONES = f"""low AS (SELECT DISTINCT floor(x / 0.5)::BIGINT AS i, floor(y / 0.5)::BIGINT AS j, floor(z / 0.5)::BIGINT AS k FROM evpts WHERE conf < 0.3::DOUBLE), n AS (SELECT *, (i * 1000003 + j) * 1000003 + k AS cell FROM low),
+e AS (SELECT a.cell AS a, b.cell AS b FROM n a JOIN n b ON abs(a.i - b.i) + abs(a.j - b.j) + abs(a.k - b.k) = 1), r(a, b) AS (SELECT cell, cell FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), z AS (SELECT a AS cell, min(b) AS zone FROM r GROUP BY 1)"""
+
+
+@query(f"WITH RECURSIVE {EVPTS}, {_ZONES}, s AS (SELECT zone, count(*) AS size_voxels, avg(i) AS ci, avg(j) AS cj, avg(k) AS ck FROM n JOIN z USING (cell) GROUP BY 1 HAVING count(*) >= 3)\n"
+       "SELECT row_number() OVER (ORDER BY size_voxels DESC, zone) - 1 AS zone_id, zone, size_voxels, round((ci + 0.5) * 0.5, 6) AS x, round((cj + 0.5) * 0.5, 6) AS y, round((ck + 0.5) * 0.5, 6) AS z, round(size_voxels * 0.125, 6) AS volume_m3 FROM s")
+def F21_zone_report(spark, d):
+    cells = evpts(spark, d).where("conf < 0.3").select(*(F.floor(F.col(c) / 0.5).cast("long").alias(n) for n, c in zip("ijk", "xyz"))).distinct()
+    zones = voxels.zone_report(voxels.face_components(cells), 0.5, least=3)
+    return zones.select("zone_id", "zone", "size_voxels", *(r6(c) for c in "xyz"), r6("volume_m3"))

@@ -1,4 +1,4 @@
-"""The folder of checkpoints: the one that the session names, or a local one where it names none."""
+"""The folder of checkpoints: the one that the session names, or a local one where it names none and runs on one machine."""
 
 from __future__ import annotations
 
@@ -10,4 +10,7 @@ from pyspark.sql import SparkSession
 def set_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
