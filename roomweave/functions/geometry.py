@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 SH_C0 = 0.28209479177387814  # fixed value: zeroth spherical-harmonics basis
 
 
-def sigmoid(x: Column) -> Column:
+def sigmoid(x: Column, most: float | None = None) -> Column:
+    """most: x is cut to plus or minus this first."""
+    x = x if most is None else F.least(F.lit(most), F.greatest(F.lit(-most), x))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
 

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from roomweave.functions import camera
 from roomweave.functions import geometry as geo
-from roomweave.operators import frames, neighbours, scene, voxels
+from roomweave.operators import crops, frames, masks, neighbours, paths, scene, voxels
 
 SIZE = 0.25
 CLASSES = ["bed", "chair", "desk", "laptop", "lamp", "fan", "bin", "shelf", "door", "window"]
@@ -469,3 +470,145 @@ def F21_zone_report(spark, d):
     cells = evpts(spark, d).where("conf < 0.3").select(*(F.floor(F.col(c) / 0.5).cast("long").alias(n) for n, c in zip("ijk", "xyz"))).distinct()
     zones = voxels.zone_report(voxels.face_components(cells), 0.5, least=3)
     return zones.select("zone_id", "zone", "size_voxels", *(r6(c) for c in "xyz"), r6("volume_m3"))
+
+
+# Attributes of splats: points stand for them, their classes have the colours of COLOURS.
+COLOURS = ["#FFB6C1", "#4682B4", "#20B2AA", "#6495ED", "#FFD700", "#FF6347", "#2F6F6F", "#CD853F", "#DEB887", "#87CEEB"]
+_HEX = "[" + ", ".join(f"'{c}'" for c in COLOURS) + "]"
+
+
+@query(f"WITH {PTS}, c AS (SELECT *, {_HEX}[class_idx] AS hex FROM pts) SELECT pid, " + ", ".join(f"('0x' || substr(hex, {2 * k + 2}, 2))::INT AS {n}" for k, n in enumerate("rgb")) + " FROM c")
+def C22_class_colours(spark, d):
+    colour = F.element_at(F.array(*map(F.lit, COLOURS)), F.col("class_idx"))
+    return pts(spark, d).select("pid", *(c.alias(n) for c, n in zip(camera.hex_bytes(colour), "rgb")))
+
+
+@query(f"WITH {PTS} SELECT pid, " + ", ".join(f"round(CASE WHEN class_idx <= 5 THEN 0.82::DOUBLE * {c} + 0.18::DOUBLE * ((class_idx * 20) / 255.0::DOUBLE - 0.5::DOUBLE) / {geo.SH_C0}::DOUBLE ELSE {c} END, 6) AS {c}" for c in "xyz") + " FROM pts")
+def C7_class_tint(spark, d):
+    p = pts(spark, d)
+    tinted = camera.tinted([F.col(c) for c in "xyz"], [F.col("class_idx") * 20] * 3, F.col("class_idx") <= 5)
+    return p.select("pid", *(F.round(c, 6).alias(n) for c, n in zip(tinted, "xyz")))
+
+
+@query("SELECT event_id AS pid, CASE WHEN user_id % 3 = 0 THEN (user_id % 256)::INT ELSE trunc((user_id % 256) * 0.3::DOUBLE)::INT END AS grey FROM events")
+def C8_dim_unlabelled(spark, d):
+    grey = (F.col("user_id") % 256).cast("int")
+    return _table(spark, d, "events").select(F.col("event_id").alias("pid"), camera.dimmed(grey, F.col("user_id") % 3 == 0).alias("grey"))
+
+
+@query(f"WITH {PTS} SELECT pid, round(1 / (1 + exp(-greatest(-2.0::DOUBLE, least(2.0::DOUBLE, x)))), 6) AS opacity, round(exp(y), 6) AS scale FROM pts")
+def C4_C5_clipped_sigmoid_and_scale(spark, d):
+    return pts(spark, d).select("pid", F.round(geo.sigmoid(F.col("x"), 2.0), 6).alias("opacity"), F.round(F.exp("y"), 6).alias("scale"))
+
+
+@query(f"WITH {PTS}, q AS (SELECT *, sqrt(x * x + y * y + z * z + 1) AS n FROM pts) SELECT pid, " + ", ".join(f"trunc(least(255, greatest(0, ({v} / n + 1) * 0.5::DOUBLE * 255)))::INT AS q{k}" for k, v in enumerate(("1", "x", "y", "z"))) + " FROM q")
+def C10_packed_quaternions(spark, d):
+    q = camera.quaternion_bytes([F.lit(1.0), *(F.col(c) for c in "xyz")])
+    return pts(spark, d).select("pid", *(c.alias(f"q{k}") for k, c in enumerate(q)))
+
+
+@query(f"WITH {PTS}, q AS (SELECT pid, 1 / sqrt(x * x + y * y + z * z + 1) AS w, x / sqrt(x * x + y * y + z * z + 1) AS a, y / sqrt(x * x + y * y + z * z + 1) AS b, z / sqrt(x * x + y * y + z * z + 1) AS c FROM pts) SELECT pid, round(w, 6) AS w, round(a, 6) AS x, round(b, 6) AS y, round(c, 6) AS z FROM q")
+def C11_C12_quaternion_round_trip(spark, d):
+    """A quaternion to a matrix and back, by whichever of its parts is largest; w is positive here."""
+    back = camera.matrix_quaternion(geo.quaternion_matrix(F.lit(1.0), *(F.col(c) for c in "xyz")))
+    return pts(spark, d).select("pid", *(F.round(F.when(back[0] < 0, -c).otherwise(c), 6).alias(n) for c, n in zip(back, "wxyz")))
+
+
+@query(f"WITH {EVPTS} SELECT pid FROM evpts WHERE x BETWEEN -5 AND 5 AND y BETWEEN -5.5 AND 4.5 AND z BETWEEN -5 AND 2.5")
+def D4_box_clip(spark, d):
+    return crops.in_box(evpts(spark, d), {"x": (-5.0, 5.0), "y": (-5.5, 4.5), "z": (-5.0, 2.5)}).select("pid")
+
+
+_CORE = f"WITH {PTS}, core AS (SELECT * FROM pts WHERE 1 / (1 + exp(-x)) > 0.5::DOUBLE), q AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.02) AS lo_{c}, quantile_cont({c}, 0.98) AS hi_{c}" for c in "xyz") + " FROM core)"
+
+
+@query(_CORE + " SELECT pid FROM pts, q WHERE " + " AND ".join(f"{c} BETWEEN lo_{c} - 0.3::DOUBLE * (hi_{c} - lo_{c}) AND hi_{c} + 0.3::DOUBLE * (hi_{c} - lo_{c})" for c in "xyz"))
+def D5_percentile_crop_of_core(spark, d):
+    return crops.percentile_crop(pts(spark, d), geo.sigmoid(F.col("x")) > 0.5).select("pid")
+
+
+@query(f"WITH {EVPTS}, p AS (SELECT pid, (pid % 97)::INT AS v, (pid % 131)::INT AS u FROM evpts) SELECT pid FROM p WHERE v >= 3 AND v < 94 AND u >= 3 AND u < 128 AND v % 2 = 0 AND u % 2 = 0")
+def D12_border_and_stride(spark, d):
+    p = evpts(spark, d).select("pid", (F.col("pid") % 97).alias("v"), (F.col("pid") % 131).alias("u"))
+    return crops.inner_pixels(p, 97, 131).select("pid")
+
+
+@query(f"WITH {PTS}, c AS (SELECT class_idx, median(x) AS mx, median(y) AS my, median(z) AS mz FROM pts GROUP BY 1) SELECT pid FROM pts JOIN c USING (class_idx) WHERE sqrt((x - mx) * (x - mx) + (y - my) * (y - my) + (z - mz) * (z - mz)) < CASE class_idx WHEN 1 THEN 2.5::DOUBLE WHEN 8 THEN 2.0::DOUBLE ELSE 1.5::DOUBLE END")
+def D14_radius_gate(spark, d):
+    p = pts(spark, d)
+    return crops.near_centroid(p, crops.class_centroids(p, least=1), {1: 2.5, 8: 2.0}).select("pid")
+
+
+@query(f"WITH {EVPTS}, s AS (SELECT * FROM evpts WHERE conf >= 0.15::DOUBLE), c AS (SELECT frame_num, quantile_cont(z, 0.95) AS p95 FROM s GROUP BY 1) SELECT pid FROM s JOIN c USING (frame_num) WHERE z <= 1.5::DOUBLE * p95")
+def D10_D11_depth_floor_and_cap(spark, d):
+    return crops.depth_filter(evpts(spark, d), "frame_num", "conf", "z").select("pid")
+
+
+@query(f"WITH {PTS}, o AS (SELECT * FROM pts WHERE 1 / (1 + exp(-x)) > 0.5::DOUBLE) SELECT pid FROM o WHERE y <= (SELECT quantile_cont(y, 0.1) FROM o)")
+def D15_floor_sample(spark, d):
+    return crops.floor_sample(pts(spark, d), geo.sigmoid(F.col("x")) > 0.5, share=0.1).select("pid")
+
+
+@query(f"WITH {EVPTS}, n AS (SELECT count(*) AS n FROM evpts), r AS (SELECT pid, row_number() OVER (ORDER BY pid) - 1 AS rn FROM evpts) SELECT DISTINCT pid, rn FROM r, n, generate_series(0, 49) AS g(k) WHERE rn = round_even(k * (n - 1) / 49.0::DOUBLE, 0)::BIGINT")
+def G5_keyframes(spark, d):
+    rows = frames.numbered(evpts(spark, d).select("pid"), ["pid"])
+    return paths.keyframes(rows, rows.count(), 50)
+
+
+@query(f"WITH {EVPTS}, n AS (SELECT count(*) AS n FROM evpts), r AS (SELECT x, y, row_number() OVER (ORDER BY pid) - 1 AS rn FROM evpts), k AS (SELECT DISTINCT rn, x, y FROM r, n, generate_series(0, 19) AS g(k) WHERE rn = round_even(k * (n - 1) / 19.0::DOUBLE, 0)::BIGINT), "
+       "l AS (SELECT *, lead(x) OVER (ORDER BY rn) AS x2, lead(y) OVER (ORDER BY rn) AS y2 FROM k) SELECT rn, s::INT AS step, round(x + (x2 - x) * s / 5.0::DOUBLE, 6) AS x, round(y + (y2 - y) * s / 5.0::DOUBLE, 6) AS y FROM l, generate_series(0, 4) AS t(s) WHERE x2 IS NOT NULL")
+def G6_path_segments(spark, d):
+    rows = frames.numbered(evpts(spark, d).select("pid", "x", "y"), ["pid"])
+    keys = paths.keyframes(rows, rows.count(), 20)
+    return paths.segments(keys, "rn", ["x", "y"], 20, 95).select("rn", "step", r6("x"), r6("y"))
+
+
+@query(f"WITH {EVPTS}, {CAMS}, m AS (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM cams) SELECT round(max(sqrt((x - mx) * (x - mx) + (y - my) * (y - my) + (z - mz) * (z - mz))), 6) AS scene_scale, round(any_value(mx), 6) AS x, round(any_value(my), 6) AS y, round(any_value(mz), 6) AS z FROM cams, m")
+def F22_F23_scene_scale(spark, d):
+    c = cams(spark, d)
+    mean = c.agg(*(F.avg(a).alias(f"m{a}") for a in "xyz"))
+    far = geo.distance(tuple(F.col(a) for a in "xyz"), tuple(F.col(f"m{a}") for a in "xyz"))
+    return c.crossJoin(F.broadcast(mean)).agg(F.round(F.max(far), 6).alias("scene_scale"), *(F.round(F.first(f"m{a}"), 6).alias(a) for a in "xyz"))
+
+
+@query(f"WITH {EVPTS}, f AS (SELECT label, count(DISTINCT frame_num) AS found FROM evpts GROUP BY 1), n AS (SELECT count(DISTINCT frame_num) AS n FROM evpts) SELECT label, found, round(100.0::DOUBLE * found / n, 1) AS pct FROM f, n")
+def F20_label_coverage(spark, d):
+    e = evpts(spark, d)
+    total = e.agg(F.countDistinct("frame_num").alias("n"))
+    return e.groupBy("label").agg(F.countDistinct("frame_num").alias("found")).crossJoin(F.broadcast(total)).select("label", "found", F.round(100.0 * F.col("found") / F.col("n"), 1).alias("pct"))
+
+
+@query(f"WITH {EVPTS}, t AS (SELECT frame_num, row_number() OVER (PARTITION BY frame_num ORDER BY ts, pid) - 1 AS rn, count(*) OVER (PARTITION BY frame_num) AS n FROM evpts) SELECT count(*) FILTER (rn % 5 = 0) AS exact, count(*) FILTER (rn % 5 > 0 AND rn < (n - 1) // 5 * 5) AS \"between\", count(*) FILTER (rn % 5 > 0 AND rn > (n - 1) // 5 * 5) AS clamped FROM t")
+def F30_pose_counts(spark, d):
+    how = frames.as_of(_track(spark, d), "frame_num", "rn", F.col("rn") % 5 == 0, ["x"])
+    return how.agg(*(F.count_if(F.col("how") == h).alias(h) for h in ("exact", "between", "clamped")))
+
+
+@query(f"WITH {EVPTS} SELECT count(*) AS raw, count(*) FILTER (conf >= 0.15::DOUBLE) AS sure, count(*) FILTER (conf >= 0.15::DOUBLE AND z <= 2) AS near, (SELECT count(*) FROM (SELECT DISTINCT floor(x / {SIZE}) AS i, floor(y / {SIZE}) AS j, floor(z / {SIZE}) AS k FROM evpts WHERE conf >= 0.15::DOUBLE AND z <= 2)) AS cells FROM evpts")
+def F31_survivors_by_stage(spark, d):
+    e, sure = evpts(spark, d), (F.col("conf") >= 0.15)
+    counts = e.agg(F.count("*").alias("raw"), F.count_if(sure).alias("sure"), F.count_if(sure & (F.col("z") <= 2)).alias("near"))
+    return counts.crossJoin(voxels.first_in_cell(e.where(sure & (F.col("z") <= 2)), SIZE).agg(F.count("*").alias("cells")))
+
+
+@query(f"WITH {EVPTS} SELECT pid, least(590, greatest(50, (pid * 37 % 900)::INT)) AS u, CASE WHEN pid % 5 = 0 THEN 240 ELSE least(430, greatest(50, (pid * 53 % 700)::INT)) END AS v FROM evpts")
+def C25_clamped_pixels(spark, d):
+    u, v = (F.col("pid") * 37 % 900).cast("int"), F.when(F.col("pid") % 5 != 0, (F.col("pid") * 53 % 700).cast("int"))
+    return evpts(spark, d).select("pid", camera.clamped_pixel(u, F.lit(640)).alias("u"), camera.clamped_pixel(v, F.lit(480)).alias("v"))
+
+
+@query(_PROJECT + """, b AS (SELECT s.frame, e.label, min(u) + 40 AS x, min(v) + 40 AS y, (max(u) - min(u)) // 2 AS w, (max(v) - min(v)) // 2 AS h, max(conf) AS conf, min(e.pid) AS ord FROM seen s JOIN evpts e USING (pid) GROUP BY 1, 2),
+k AS (SELECT label, dense_rank() OVER (ORDER BY label)::INT AS c FROM (SELECT DISTINCT label FROM evpts)), lim AS (SELECT frame, c, conf, ord, greatest(0, least(640, x)) AS x0, greatest(0, least(640, x + w)) AS x1, greatest(0, least(480, y)) AS y0, greatest(0, least(480, y + h)) AS y1 FROM b JOIN k USING (label)),
+hit AS (SELECT s.frame, s.pid, c, row_number() OVER (PARTITION BY s.frame, s.pid ORDER BY (x1 - x0) * (y1 - y0), conf DESC, ord DESC) AS rn FROM seen s JOIN lim USING (frame) WHERE conf >= 0.25::DOUBLE AND (x1 - x0) * (y1 - y0) <= 0.3::DOUBLE * 307200 AND u >= x0 AND u < x1 AND v >= y0 AND v < y1),
+n AS (SELECT pid, c, count(*) AS n FROM hit WHERE rn = 1 GROUP BY 1, 2), w AS (SELECT *, sum(n) OVER (PARTITION BY pid)::BIGINT AS total, row_number() OVER (PARTITION BY pid ORDER BY n DESC, c) AS rn FROM n) SELECT pid, c AS class_idx, n AS votes, total FROM w WHERE rn = 1 AND total >= 2""")
+def E5_painted_votes(spark, d):
+    """Masks painted on images, points looked up in them, and the class with most votes of each point."""
+    seen = _projected(spark, d)
+    e = evpts(spark, d)
+    kinds = e.select("label").distinct().withColumn("class_idx", F.row_number().over(W.orderBy("label")))  # a row a label
+    boxes = seen.join(e.select("pid", "label", "conf"), "pid").groupBy("frame", "label").agg(
+        (F.min("u") + 40).alias("x"), (F.min("v") + 40).alias("y"), F.floor((F.max("u") - F.min("u")) / 2).alias("w"), F.floor((F.max("v") - F.min("v")) / 2).alias("h"), F.max("conf").alias("conf"), F.min("pid").alias("ord"))
+    none = F.lit(None).cast("int")
+    entries = boxes.join(F.broadcast(kinds), "label").select("frame", "ord", "class_idx", *(F.col(c).cast("double").alias(c) for c in "xywh"), "conf", none.alias("mask_height"), none.alias("mask_width"), F.lit(None).cast("string").alias("counts"))
+    found = masks.look_up(seen, masks.label_runs(entries, 480, 640, 0.25, 0.3))
+    return frames.vote(found.select("pid", "class_idx"), 2)

@@ -1 +1 @@
-
+"""Structured Streaming over growing point tables."""
