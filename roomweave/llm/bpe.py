@@ -10,6 +10,8 @@ of the whole.  The window doubles until it holds such places, or all of a half.
 
 Joining is associative, with the empty text as neutral element, so any tree gives the same ids.  Decoding joins the
 bytes of halves.  Null texts count as empty and give no tokens; strings that look like special tokens are plain text.
+Each row is encoded, also repeated ones and rows of equal or null id; other columns stay, but for one of the new name,
+which is replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF = 1 << 14
+LEAF = 512  # characters, or ids, up to which the library takes a part whole
 FIRST_WINDOW = 64
 ROWS = 64  # rows of an output batch
 _BETWEEN = re.compile(r"(?<=\S)[ \n\t]")
@@ -76,14 +78,16 @@ def decode_tree(decode, ids: list[int], leaf: int = LEAF) -> bytes:
 
 def _mapped(df: DataFrame, column: str, new: str, work) -> DataFrame:
     """df with another column ``new``, which work() makes of the values of ``column``, a few rows at a time."""
-    schema = df.select("*", F.lit(b"").alias(new)).schema
+    df = df if new == column else df.drop(new)
+    kept = [c for c in df.columns if c != new]
+    schema = df.select(*kept, F.lit(b"").alias(new)).schema
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 made = work(part.column(column).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, type=pa.binary())], names=[*part.schema.names, new])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(made, type=pa.binary())], names=[*kept, new])
 
     return df.mapInArrow(run, schema)
 

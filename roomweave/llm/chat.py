@@ -7,7 +7,8 @@ Training text: each turn is "### ", its role, ":\n", its text, "</turn>\n".  Wit
 before every backslash, "###" and "</turn>", and in a role also before ":", so texts cannot end or open a turn;
 reading back drops one backslash of each.  The mask holds the places of the texts of assistant turns, without marks.
 
-Null roles and texts count as empty.  A conversation without turns is the empty text.
+Null roles and texts count as empty.  A conversation without turns is the empty text.  Other columns stay, but for those
+of the new names, which are replaced.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ MAPPINGS = {
     "question_answer": ({"answer", "question"}, {"context"}, [("user", "context", "question"), ("assistant", "answer")]),
     "data_prompt": ({"data.completion", "data.prompt"}, set(), [("user", "data.prompt"), ("assistant", "data.completion")]),
 }
+#: Roles of the layout with "from"; the others hold roles as they are to be.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 LISTS = {"messages", "conversations"}
 
@@ -81,7 +83,7 @@ def _turns(record, spec: list[tuple]) -> list[dict]:
         if head in LISTS:
             for item in _at(record, head) or []:
                 role = _text(_at(item, paths[0]))
-                out.append({"role": ROLES.get(role, role), "text": _text(_at(item, paths[1]))})
+                out.append({"role": ROLES.get(role, role) if paths[0] == "from" else role, "text": _text(_at(item, paths[1]))})
         elif any(_at(record, p) is not None for p in paths) or head != "system":
             out.append({"role": head, "text": "\n\n".join(x for x in (_text(_at(record, p)) for p in paths) if x)})
     return out
@@ -89,7 +91,9 @@ def _turns(record, spec: list[tuple]) -> list[dict]:
 
 def _mapped(df: DataFrame, column: str, new: list[tuple[str, pa.DataType, str]], work) -> DataFrame:
     """df with the columns ``new``, which work() makes of each value of ``column``."""
-    schema = df.select("*", *(F.lit(None).cast(ddl).alias(name) for name, _, ddl in new)).schema
+    df = df.drop(*(name for name, _, _ in new if name != column))
+    kept = [c for c in df.columns if c not in {name for name, _, _ in new}]
+    schema = df.select(*kept, *(F.lit(None).cast(ddl).alias(name) for name, _, ddl in new)).schema
 
     def run(batches):
         for batch in batches:
@@ -97,7 +101,7 @@ def _mapped(df: DataFrame, column: str, new: list[tuple[str, pa.DataType, str]],
                 part = batch.slice(at, 256)
                 made = list(zip(*map(work, part.column(column).to_pylist())))
                 arrays = [pa.array(v, type=t) for v, (_, t, _) in zip(made, new)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*part.schema.names, *(n for n, _, _ in new)])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *arrays], names=[*kept, *(n for n, _, _ in new)])
 
     return df.mapInArrow(run, schema)
 

@@ -66,6 +66,63 @@ def test_op1(spark, folder):
     same(rows(q.op1_bpe(spark, folder), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"), want)
 
 
+def test_op1_tree():
+    """Trees of very small leaves give what the library gives, for texts of many kinds of characters."""
+    import random
+
+    import public_tokenizers
+
+    from roomweave.llm import bpe
+
+    e, chance = bpe.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken")), random.Random(5)
+    for _ in range(3_000):
+        text = "".join(chance.choice("aab  \n\t.,'sé日😀\u00a0\u20281\r") for _ in range(chance.randrange(60)))
+        ids = bpe.encode_tree(e.encode_ordinary, text, chance.randrange(1, 9))
+        assert ids == e.encode_ordinary(text) and bpe.decode_tree(e.decode_bytes, ids, chance.randrange(1, 9)) == text.encode()
+
+
+def test_op1_op10_same_names(spark):
+    """Columns of the new names are replaced, others stay; an empty table stays empty."""
+    import public_tokenizers
+
+    from roomweave.llm import bpe, chat
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    one = spark.createDataFrame([(1, "a b", "old", 7)], "doc_id long, text string, ids string, layout int")
+    row = bpe.decode(bpe.encode(one, path), path).first()
+    assert bytes(row.decoded) == b"a b" and row.layout == 7 and bpe.encode(one.limit(0), path).count() == 0
+    made = chat.read_back(chat.format_turns(chat.to_turns(one.withColumn("record", F.lit('{"prompt": "p", "completion": "c"}')).withColumn("turns", F.lit(1)))))
+    row = made.first()
+    assert row.loss_text == "c" and row.ids == "old" and chat.to_turns(one.limit(0), "text").count() == 0
+
+
+def test_op10_layouts(spark):
+    from roomweave.llm import chat
+
+    turns = {
+        '{"messages": [{"role": "human", "content": "x"}, {"role": "gpt", "content": "y"}]}': [("human", "x"), ("gpt", "y")],
+        '{"id": "7", "system": "s", "conversations": [{"from": "human", "value": "x"}, {"from": "gpt", "value": null}]}': [("system", "s"), ("user", "x"), ("assistant", "")],
+        '{"prompt": "x", "response": "y"}': [("user", "x"), ("assistant", "y")],
+        '{"instruction": "x", "input": "", "output": "y"}': [("user", "x"), ("assistant", "y")],
+        '{"instruction": "x", "input": "i", "output": "y"}': [("user", "x\n\ni"), ("assistant", "y")],
+        '{"question": "x", "context": "c", "answer": "y"}': [("user", "c\n\nx"), ("assistant", "y")],
+        '{"data": {"prompt": "x", "completion": "y"}}': [("user", "x"), ("assistant", "y")],
+        '{"messages": []}': [], '{"a": 1}': None, "{": None, "": None,
+    }
+    got = {r.record: r for r in chat.to_turns(spark.createDataFrame([(r,) for r in turns], "record string")).collect()}
+    assert {k: None if r.turns is None else [tuple(t) for t in r.turns] for k, r in got.items()} == turns
+    assert got['{"a": 1}'].layout and got["{"].layout is None
+
+
+def test_op7_sql(spark, folder):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet{'/*.parquet' if folder.startswith('/tmp') else ''}')")
+    want = con.execute(q.oracle_sql()["op7_line_dedup"]).fetchall()
+    same(rows(q.op7_line_dedup(spark, folder), "doc_id", "n_lines", "n_dropped", "kept_sha256"), want)
+
+
 SPANS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
