@@ -446,3 +446,16 @@ def test_op4_low_percent(spark):
     component = linked(docs, 1, 60)
     assert component[101] == 0
     assert {r.doc_id: r.component_id for r in got.collect()} == {i: component[i] for i, _ in docs}
+
+
+def test_op2_odd_pages(spark, tmp_path):
+    """Null and empty pages, repeated rows, pages without a host and without names, a column of a clashing name, an empty table."""
+    page = "<html><body><div class='top'>Site name</div><div class='b'><p>Own text {0} &amp; more</p></div><div class='end'>All rights</div></body></html>"
+    rows = [(i, f"https://h.example/{i}", page.format(i), "x") for i in range(6)] + [(5, "https://h.example/5", page.format(5), "x"), (7, "https://h.example/7", None, "x"), (8, None, "", "x"), (9, None, "<p>alone</p>", "x")]
+    schema = "page_id long, url string, html string, host string"
+    spark.createDataFrame(rows, schema).repartition(2).write.parquet(f"{tmp_path}/a/pages.parquet")
+    got = sorted((r.page_id, r.text, r.n_chars) for r in q.op2_html_extraction(spark, f"{tmp_path}/a").collect())
+    want = [(i, f"Own text {i} & more") for i in (0, 1, 2, 3, 4, 5, 5)] + [(7, ""), (8, "")]
+    assert got[:9] == [(i, t, len(t)) for i, t in want] and len(got) == 10
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/b/pages.parquet")
+    assert q.op2_html_extraction(spark, f"{tmp_path}/b").count() == 0
