@@ -102,3 +102,15 @@ def quaternion_bytes(q: Vector) -> Vector:
 def clamped_pixel(u: Column, size: Column, border: int = 50) -> Column:
     """A pixel at least so far from the border; the middle of the image where there is none."""
     return F.when(u.isNotNull(), F.least(size - border, F.greatest(F.lit(border), u))).otherwise(F.floor(size / 2).cast("int"))
+
+
+def seen_at(p: Vector, r: Vector, t: Vector, fx: Column, fy: Column, cx: Column, cy: Column) -> Vector:
+    """(u, v, depth) of a place in the world before a camera, not rounded; u and v are null at depth 0."""
+    x, y, z = (dot(r[3 * i : 3 * i + 3], p) + t[i] for i in range(3))
+    return [F.try_divide(x, z) * fx + cx, F.try_divide(y, z) * fy + cy, z]
+
+
+def unprojected(u: Column, v: Column, depth: Column, r: Vector, t: Vector, fx: Column, fy: Column, cx: Column, cy: Column) -> Vector:
+    """The place in the world of a pixel at a depth: the inverse of seen_at."""
+    p = [(u - cx) / fx * depth - t[0], (v - cy) / fy * depth - t[1], depth - t[2]]
+    return [dot(r[i::3], p) for i in range(3)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,3 +64,23 @@ def near_centroid(points: DataFrame, centroids: DataFrame, radii: dict[int, floa
     middles = centroids.select(key, *(F.col(c).alias(f"_{c}") for c in AXES))
     far = distance(tuple(F.col(c) for c in AXES), tuple(F.col(f"_{c}") for c in AXES))
     return points.join(middles, key, "left").where(F.col("_x").isNull() | (far < radius)).select(*points.columns)
+
+
+def plane_fit(points: DataFrame) -> DataFrame:
+    """One row (n, centre, normal, tilt_deg): the plane through points, by the axis along which they spread least, its normal
+    turned to negative y; tilt is its angle from there. Covariances are aggregates; fewer than three points give nulls."""
+    pairs = [(a, b) for k, a in enumerate(AXES) for b in AXES[k:]]
+    sums = points.agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in AXES), *(F.covar_pop(a, b).alias(a + b) for a, b in pairs))
+
+    def run(frames):
+        for f in frames:
+            for row in f.itertuples():
+                if row.n < 3:
+                    yield pd.DataFrame({"n": [row.n], "centre": [None], "normal": [None], "tilt_deg": [None]})
+                    continue
+                cov = np.array([[getattr(row, "".join(sorted(a + b))) for b in AXES] for a in AXES])
+                normal = np.linalg.eigh(cov)[1][:, 0]
+                normal = -normal if normal[1] > 0 else normal
+                yield pd.DataFrame({"n": [row.n], "centre": [[row.x, row.y, row.z]], "normal": [normal.tolist()], "tilt_deg": [float(np.degrees(np.arccos(np.clip(-normal[1], -1, 1))))]})
+
+    return sums.mapInPandas(run, "n long, centre array<double>, normal array<double>, tilt_deg double")

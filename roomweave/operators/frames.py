@@ -129,6 +129,11 @@ def numbered(rows: DataFrame, order: list, name: str = "rn") -> DataFrame:
     return parts.withColumn("_rn", F.row_number().over(w)).join(F.broadcast(before), "_part").withColumn(name, F.col("_rn") - 1 + F.coalesce("_before", F.lit(0))).drop("_part", "_rn", "_n", "_before")
 
 
+def order_map(rows: DataFrame, names: list, order: list) -> DataFrame:
+    """rows with orig_idx, their place by name, and sorted_idx, their place in another total order: a permutation and its inverse."""
+    return numbered(numbered(rows, names, "orig_idx"), order, "sorted_idx")
+
+
 def stride_sample(rows: DataFrame, order: list, most: int) -> DataFrame:
     """Every n-th row, n = rows / most cut off (1 at least), at most ``most`` of them."""
     step = max(1, rows.count() // most)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from roomweave.functions.camera import look_at
+from roomweave.functions.camera import centre, dot, look_at, unit
 from roomweave.functions.geometry import lerp, slerp
 
 
@@ -40,3 +40,20 @@ def orbit(spark: SparkSession, middle: tuple[float, float, float], radius: float
     eye = [m[0] + radius * F.cos(angle), m[1] + rise * (-1 if up[1] < 0 else 1), m[2] + radius * F.sin(angle)]
     r, t = look_at(eye, m, [F.lit(c) for c in up])
     return spark.range(n).select(F.col("id").cast("int").alias("frame"), F.array(*r).alias("r"), F.array(*t).alias("t"))
+
+
+def normalisation(cameras: DataFrame) -> DataFrame:
+    """One row (r, centre, scale) from world-to-camera poses (r, t): scale * r * (p - centre) has the mean up of the cameras along y,
+    their mean place at the origin, and no coordinate of a camera beyond 1. Two passes of aggregates over the cameras."""
+    r, t = [F.col("r")[i] for i in range(9)], [F.col("t")[i] for i in range(3)]
+    held = cameras.select(*(c.alias(f"c{k}") for k, c in enumerate(centre(r, t))), *((-r[3 + k]).alias(f"u{k}") for k in range(3)))
+    mean = held.agg(*(F.avg(f"{n}{k}").alias(f"m{n}{k}") for n in "cu" for k in range(3)))
+    mean = mean.select(F.array(*unit([F.col(f"mu{k}") for k in range(3)])).alias("up"), F.array(*(F.col(f"mc{k}") for k in range(3))).alias("centre"))
+    x, y, z = (F.col("up")[k] for k in range(3))
+    turn = [1 - x * x / (1 + y), -x, -x * z / (1 + y), x, y, z, -x * z / (1 + y), -z, 1 - z * z / (1 + y)]  # the shortest from up to y
+    over = F.array(*(F.lit(v) for v in (1.0, 0.0, 0.0, 0.0, -1.0, 0.0, 0.0, 0.0, -1.0)))  # up is down: half around x
+    mean = mean.select(F.when(y > -1 + 1e-9, F.array(*turn)).otherwise(over).alias("r"), "centre")
+    apart = [F.col(f"c{k}") - F.col("centre")[k] for k in range(3)]
+    far = F.greatest(*(F.abs(dot([F.col("r")[3 * i + j] for j in range(3)], apart)) for i in range(3)))
+    both = held.crossJoin(F.broadcast(mean))  # one row
+    return both.groupBy("r", "centre").agg(F.try_divide(F.lit(1.0), F.max(far)).alias("scale"))

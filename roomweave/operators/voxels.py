@@ -139,3 +139,10 @@ def zone_report(cells: DataFrame, size: float, least: int = 200, origin: tuple[f
     centre = [((F.col(f"c{n}") + 0.5) * size + o).alias(c) for n, c, o in zip(IJK, "xyz", origin)]
     ranked = numbered(sizes.withColumn("_size", -F.col("size_voxels")), ["_size", "zone"], "zone_id")
     return ranked.select("zone_id", "zone", "size_voxels", *centre, (F.col("size_voxels") * size**3).alias("volume_m3"))
+
+
+def centroids(shape: DataFrame, size: float) -> DataFrame:
+    """(i, j, k, x, y, z): the middle of each cell of the grid; layers of cells are dealt out before they are listed."""
+    layers = shape.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nx") - 1))).repartition("i")
+    cells = layers.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("ny") - 1))).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nz") - 1)))
+    return cells.select(*"ijk", *((F.col(f"o{c}") + (F.col(n) + 0.5) * size).alias(c) for n, c in zip("ijk", "xyz")))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from roomweave.functions import camera
 from roomweave.functions import geometry as geo
-from roomweave.operators import crops, frames, masks, neighbours, paths, scene, voxels
+from roomweave.operators import alignment, crops, frames, images, masks, neighbours, paths, scene, voxels
 
 SIZE = 0.25
 CLASSES = ["bed", "chair", "desk", "laptop", "lamp", "fan", "bin", "shelf", "door", "window"]
@@ -612,3 +612,87 @@ def E5_painted_votes(spark, d):
     entries = boxes.join(F.broadcast(kinds), "label").select("frame", "ord", "class_idx", *(F.col(c).cast("double").alias(c) for c in "xywh"), "conf", none.alias("mask_height"), none.alias("mask_width"), F.lit(None).cast("string").alias("counts"))
     found = masks.look_up(seen, masks.label_runs(entries, 480, 640, 0.25, 0.3))
     return frames.vote(found.select("pid", "class_idx"), 2)
+
+
+@query(f"WITH {EVPTS}, {GRID} SELECT i::INT AS i, j::INT AS j, k::INT AS k, round(ox + (i + 0.5::DOUBLE) * {SIZE}, 6) AS x, round(oy + (j + 0.5::DOUBLE) * {SIZE}, 6) AS y, round(oz + (k + 0.5::DOUBLE) * {SIZE}, 6) AS z\n"
+       "FROM grid, generate_series(0, nx - 1) AS a(i), generate_series(0, ny - 1) AS b(j), generate_series(0, nz - 1) AS c(k)")
+def J3_voxel_centroids(spark, d):
+    return voxels.centroids(_grid(spark, d)[1], SIZE).select("i", "j", "k", r6("x"), r6("y"), r6("z"))
+
+
+# One camera for all events: its rotation takes (x, y, z) to (x, z, -y), its translation is (0.5, -0.25, 4).
+_R = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, -1.0, 0.0]
+_T = [0.5, -0.25, 4.0]
+_K = [500.0, 500.0, 320.0, 240.0]
+
+
+@query(f"WITH {EVPTS}, p AS (SELECT pid, (pid % 640 - 320) / 500.0::DOUBLE * (conf + 0.5::DOUBLE) - 0.5::DOUBLE AS a, (pid % 480 - 240) / 500.0::DOUBLE * (conf + 0.5::DOUBLE) + 0.25::DOUBLE AS b, conf + 0.5::DOUBLE - 4 AS c FROM evpts)\n"
+       "SELECT pid, round(a, 6) AS x, round(-c, 6) AS y, round(b, 6) AS z FROM p")
+def J12_unprojection(spark, d):
+    r, t, k = (list(map(F.lit, v)) for v in (_R, _T, _K))
+    place = camera.unprojected(F.col("pid") % 640, F.col("pid") % 480, F.col("conf") + 0.5, r, t, *k)
+    return evpts(spark, d).select("pid", *(F.round(c, 6).alias(n) for c, n in zip(place, "xyz")))
+
+
+@query(f"WITH {EVPTS} SELECT pid, round((x + 0.5::DOUBLE) / (4 - y) * 500 + 320, 6) AS u, round((z - 0.25::DOUBLE) / (4 - y) * 500 + 240, 6) AS v, round(4 - y, 6) AS depth FROM evpts")
+def C26_sparse_depth(spark, d):
+    r, t, k = (list(map(F.lit, v)) for v in (_R, _T, _K))
+    seen = camera.seen_at([F.col(c) for c in "xyz"], r, t, *k)
+    return evpts(spark, d).select("pid", *(F.round(c, 6).alias(n) for c, n in zip(seen, ("u", "v", "depth"))))
+
+
+@query("WITH e AS (SELECT vec_id, embedding AS e, i::INT AS i, (i // 8)::INT AS y, (i % 8)::INT AS x FROM embeddings, generate_series(0, 63) AS g(i)),\n"
+       "l AS (SELECT vec_id, e[abs(y - 1) * 8 + x + 1]::DOUBLE + e[(7 - abs(6 - y)) * 8 + x + 1]::DOUBLE + e[y * 8 + abs(x - 1) + 1]::DOUBLE + e[y * 8 + 7 - abs(6 - x) + 1]::DOUBLE - 4 * e[i + 1]::DOUBLE AS l FROM e)\n"
+       "SELECT vec_id AS pid, round(var_pop(l), 6) AS sharpness FROM l GROUP BY 1")
+def J13_sharpness(spark, d):
+    """Vectors seen as grey images of 8 x 8."""
+    image = F.col("embedding").cast("array<double>")
+    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("pid"), F.round(images.sharpness(image, 8, 8), 6).alias("sharpness"))
+
+
+def _greys(spark, d):
+    return _table(spark, d, "events").where("user_id IS NOT NULL").select(F.col("user_id").alias("frame"), (F.col("value") / 2).alias("grey"))
+
+
+_SHARES = ("WITH c AS (SELECT user_id AS frame, least(63, floor(value / 2 / 4))::INT AS bin, count(*) AS n FROM events WHERE user_id IS NOT NULL AND value / 2 BETWEEN 0 AND 256 GROUP BY 1, 2),\n"
+           "s AS (SELECT frame, bin, n / sum(n) OVER (PARTITION BY frame)::DOUBLE AS share FROM c)")
+
+
+@query(_SHARES + " SELECT frame, bin, round(share, 6) AS share FROM s")
+def F25_histograms(spark, d):
+    return images.histograms(_greys(spark, d)).select("frame", "bin", r6("share"))
+
+
+@query(_SHARES + ", m AS (SELECT bin, sum(share) / (SELECT count(DISTINCT frame) FROM s) AS mean FROM s GROUP BY 1), f AS (SELECT DISTINCT frame FROM s)\n"
+       "SELECT f.frame, round(sqrt(sum((coalesce(share, 0) - mean) * (coalesce(share, 0) - mean))), 6) AS dist FROM f CROSS JOIN m LEFT JOIN s ON s.frame = f.frame AND s.bin = m.bin GROUP BY 1")
+def F25_distance_from_mean(spark, d):
+    return images.from_mean(images.histograms(_greys(spark, d))).select("frame", r6("dist"))
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS orig_idx, row_number() OVER (ORDER BY value, event_id) - 1 AS sorted_idx FROM events WHERE value IS NOT NULL")
+def C28_frame_order(spark, d):
+    events = _table(spark, d, "events").where("value IS NOT NULL").select("event_id", "value")
+    return frames.order_map(events, ["event_id"], ["value", "event_id"]).select("event_id", "orig_idx", "sorted_idx")
+
+
+@query(None)
+def F24_plane_fit(spark, d):
+    return crops.plane_fit(crops.floor_sample(pts(spark, d), geo.sigmoid(F.col("x")) > 0.5, share=0.1))
+
+
+@query(None)
+def J10_world_normalisation(spark, d):
+    eye = [F.col(c) for c in "xyz"]
+    r, t = camera.look_at(eye, [F.lit(0.0)] * 3, [F.lit(0.0), F.lit(-1.0), F.lit(0.0)])
+    return paths.normalisation(cams(spark, d).select(F.array(*r).alias("r"), F.array(*t).alias("t")))
+
+
+@query(None)
+def E22_F32_batch_alignment(spark, d):
+    """The events of a user are frames, of which a batch shares four with the one before, in a frame of its own."""
+    w = W.partitionBy("frame_num").orderBy("ts", "pid")
+    rows = evpts(spark, d).where("frame_num IS NOT NULL").withColumn("rn", F.row_number().over(w) - 1).withColumn("batch", F.floor(F.col("rn") / 8).cast("int")).withColumnRenamed("frame_num", "track")
+    moved = {"px": F.col("x"), "py": F.col("y"), "pz": F.col("z"), "nx": 2 * F.col("z") + F.col("batch"), "ny": F.col("x"), "nz": F.col("y") + F.col("conf")}
+    pairs = alignment.pair_similarities(rows.where("batch > 0 AND rn % 8 < 4").select("track", "batch", *(c.alias(n) for n, c in moved.items())))
+    chained = alignment.registered(pairs, rows.where("rn = 0").select("track", "batch"))
+    return chained.join(pairs.select("track", "batch", "n", "error"), ["track", "batch"], "left")
