@@ -459,3 +459,57 @@ def test_op2_odd_pages(spark, tmp_path):
     assert got[:9] == [(i, t, len(t)) for i, t in want] and len(got) == 10
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/b/pages.parquet")
     assert q.op2_html_extraction(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_op12(spark, folder):
+    runs = Counter()
+    for i, t in texts(spark, folder):
+        for w in re.findall("[A-Za-z\u00C0-\u00FF]+", t):
+            w = w.translate(LOWER)
+            h = 1 if i is None else zlib.crc32(f"{i}:{w}".encode())
+            runs[w[: h % len(w)] + w[h % len(w) + 1 :] if h % 97 == 0 else w] += 1
+    same(rows(q.op12_spelling(spark, folder), "word", "form", "root", "n", "n_near", "form_n"), variants({w: n for w, n in runs.items() if len(w) >= 5 and n >= 3}))
+
+
+def variants(count, ratio=2):
+    """By the words that lack one code point: those that share one in the same place, and those that are one."""
+    holes = defaultdict(set)
+    for w in count:
+        holes[w, -1].add(w)
+        for k in range(len(w)):
+            holes[w[:k] + w[k + 1 :], k].add(w)
+    near = defaultdict(set)
+    for (rest, k), some in holes.items():
+        for w in some:
+            near[w] |= some | (holes.get((rest, -1), set()) if k >= 0 else set())
+            for v in some if k < 0 else holes.get((rest, -1), ()):
+                near[v] |= some
+    form = {}
+    for w in count:
+        best = min(near[w] - {w}, key=lambda v: (-count[v], v), default=None)
+        form[w] = best if best and count[best] >= ratio * count[w] else None
+    out = []
+    for w, n in count.items():
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, n, len(near[w] - {w}), count[form[w]] if form[w] else None))
+    return out
+
+
+def test_op12_words(spark):
+    """Edits of every kind on words of few letters, chains of forms, ties, repeated rows, other columns, nulls; any number of parts."""
+    import random
+
+    from roomweave.llm import spelling
+
+    chance = random.Random(3)
+    count = Counter("".join(chance.choice("abé😀x"[: 2 + k % 4]) for _ in range(chance.randrange(3, 8))) for k in range(400))
+    count |= {"chain": 100, "chainn": 40, "chainnn": 20, "chainnnn": 3, "tied1": 9, "tied2": 9, "tied": 4}
+    table = spark.createDataFrame([(w, n - 1, "s") for w, n in count.items()] + [(w, 1, "t") for w in count] + [(None, 5, "s"), ("gone", None, "s")], "word string, n long, sig string")
+    for parts in (2, 3, 7):
+        got = rows(spelling.group_variants(table, parts=parts), "word", "form", "root", "n", "n_near", "form_n")
+        assert sorted(map(str, got)) == sorted(map(str, variants(count)))
+    assert spelling.group_variants(table.limit(0)).count() == 0
+    pairs = spelling.near_pairs(table.where("n IS NOT NULL AND word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")))
+    assert pairs.count() == pairs.select("a", "b").distinct().count()
