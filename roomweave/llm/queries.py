@@ -8,7 +8,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomweave.llm import ann, bpe, chat, html_extract, line_dedup, ngram_join, packing, pii, quality, spelling, substring_dedup
+from roomweave.llm import ann, bpe, chat, decontaminate, html_extract, line_dedup, ngram_join, packing, pii, quality, spelling, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +90,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                        _hex("loss_text").alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"), "layout")
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_passages(docs, _table(spark, sf_dir, "benchmark"), words=10)
+    return found.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spelling.runs(_table(spark, sf_dir, "documents"))
     # One run in 97 loses a code point, chosen by its checksum.
@@ -100,12 +106,12 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_html_extraction, op3_pii, op4_ngram_join, op5_substring_dedup, op6_packing, op7_line_dedup, op8_nearest, op9_quality, op10_chat, op12_spelling)}
+    return {f.__name__: f for f in (op1_bpe, op2_html_extraction, op3_pii, op4_ngram_join, op5_substring_dedup, op6_packing, op7_line_dedup, op8_nearest, op9_quality, op10_chat, op11_decontamination, op12_spelling)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the result in time; the others are tested against brute force in tests/llm."""
-    return {"op7_line_dedup": OP7}
+    return {"op7_line_dedup": OP7, "op11_decontamination": OP11}
 
 
 OP7 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
@@ -114,3 +120,14 @@ k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(
 h AS (SELECT key, min(doc_id) AS first FROM k WHERE doc_id IS NOT NULL AND length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
 m AS (SELECT r, doc_id, line, pos, coalesce(doc_id <> first, false) AS gone FROM k LEFT JOIN h USING (key))
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY r"""
+
+_WORDS11 = f"regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w"
+OP11 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS11} FROM documents),
+i AS (SELECT item_id, w, least(len(w), 10) AS m FROM (SELECT item_id, {_WORDS11} FROM benchmark) WHERE len(w) > 0),
+p AS (SELECT DISTINCT item_id, m, array_to_string(w[s:s + m - 1], ' ') AS win FROM (SELECT item_id, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM i)),
+dw AS (SELECT r, s, m, array_to_string(w[s:s + m - 1], ' ') AS win FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM d, (SELECT DISTINCT m FROM p) WHERE len(w) >= m)),
+hit AS (SELECT DISTINCT r, s, m, item_id FROM dw JOIN p USING (m, win)),
+n AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT r, unnest(range(s, s + m)) AS k FROM hit) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hit WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)"""

@@ -25,6 +25,9 @@ HARD = [
     (25, " ".join(["dup"] * 200)), (26, "  lead\ttrail  \r\n  \x0b\x0c " * 30), (27, "日本語のテキスト" * 300), (None, SHARED), (None, None),
 ]
 
+TESTS = [(1, SHARED, "r"), (2, SHARED.upper().replace(" ", " -- "), "r"), (10, " ".join(LONG.split()[5_000:5_012]), "r"), (11, "one", "r"), (11, "two", "r"), (3, "two words", "r"), (4, "two wordsx", "r"), (5, None, "r"),
+         (6, " ,;: ", "r"), (None, "tail line", "r"), (7, "x" * 20_000, "r"), (8, "dup " * 12, "r"), (9, "日本語のテキスト" * 300, "r"), (12, "c\u00a0b", "r"), (13, "b \u2003c", "r"), (1, "c", "r")]
+
 
 @pytest.fixture(scope="module", params=["tables", "hard", "empty"])
 def folder(request, spark, sf_dir, tmp_path_factory):
@@ -33,6 +36,8 @@ def folder(request, spark, sf_dir, tmp_path_factory):
     rows = [(i, t, "en", "s", 0, "k", 1, "r") for i, t in HARD] if request.param == "hard" else []
     path = str(tmp_path_factory.mktemp("hard"))
     spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{path}/documents.parquet")
+    items = TESTS if request.param == "hard" else []
+    spark.createDataFrame(items, "item_id long, text string, row string").repartition(2).write.parquet(f"{path}/benchmark.parquet")
     return path
 
 
@@ -461,6 +466,68 @@ def test_op2_odd_pages(spark, tmp_path):
     assert q.op2_html_extraction(spark, f"{tmp_path}/b").count() == 0
 
 
+def words11(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+
+
+def hits11(docs, tests, size=10):
+    """(id, words, hit words, items) of each document, from a dictionary of windows."""
+    held = defaultdict(set)
+    for i, t in tests:
+        w = words11(t)
+        m = min(size, len(w))
+        for k in range(len(w) - m + 1 if m else 0):
+            held[tuple(w[k : k + m])].add(i)
+    out = []
+    for i, t in docs:
+        w, hit, items = words11(t), set(), set()
+        for m in {len(p) for p in held}:
+            for k in range(len(w) - m + 1):
+                if tuple(w[k : k + m]) in held:
+                    hit |= set(range(k, k + m))
+                    items |= held[tuple(w[k : k + m])]
+        out.append((i, len(w), len(hit), sorted(str(x) for x in items if x is not None)))
+    return out
+
+
+def test_op11(spark, folder):
+    tests = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    want = [(i, n, h, len(x), sha(",".join(x)), h > 0) for i, n, h, x in hits11(texts(spark, folder), tests)]
+    same(rows(q.op11_decontamination(spark, folder), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"), want)
+
+
+def test_op11_sql(spark, folder):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet{'/*.parquet' if folder.startswith('/tmp') else ''}')")
+    want = con.execute(q.oracle_sql()["op11_decontamination"]).fetchall()
+    same(rows(q.op11_decontamination(spark, folder), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"), want)
+
+
+def test_op11_shards(spark):
+    """Few words, short and long windows, patterns within patterns; shards, each broadcast in turn, give the same; clashing columns stay."""
+    import random
+
+    from roomweave.llm import decontaminate
+
+    chance = random.Random(11)
+    say = lambda n: " ".join(chance.choice(["a", "ab", "b", "é", "aa", "stretched" * 12]) for _ in range(n))
+    docs, tests = [(k, say(chance.randrange(200))) for k in range(60)], [(k, say(chance.randrange(9))) for k in range(50)]
+    table = spark.createDataFrame([(i, t, 7, "x") for i, t in docs], "doc_id long, text string, n_words int, spans string")
+    items = spark.createDataFrame(tests, "item_id long, text string")
+    for size, shard_bytes in ((4, 1 << 20), (4, 600), (7, 2000)):
+        got = decontaminate.find_passages(table, items, words=size, shard_bytes=shard_bytes).collect()
+        want = {r[0]: r for r in hits11(docs, tests, size)}
+        assert len(got) == len(docs) and all(r.row.n_words == 7 and r.row.spans == "x" for r in got)
+        for r in got:
+            assert (r.row.doc_id, r.n_words, r.n_hit, r.items) == want[r.row.doc_id]
+            assert sum(s.behind - s.first for s in r.spans) == r.n_hit and all(a.behind < b.first for a, b in zip(r.spans, r.spans[1:]))
+    assert decontaminate.find_passages(table.limit(0), items).count() == 0
+    assert [r.n_hit for r in decontaminate.find_passages(table, items.limit(0)).collect()] == [0] * len(docs)
+
+
 def test_op12(spark, folder):
     runs = Counter()
     for i, t in texts(spark, folder):
