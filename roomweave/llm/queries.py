@@ -97,12 +97,12 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spelling.runs(_table(spark, sf_dir, "documents"))
-    # One run in 97 loses a code point, chosen by its checksum.
-    h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("run")).cast("binary"))
-    marked = found.withColumn("at", F.when(h % 97 == 0, (h % F.char_length("run")).cast("int")))
-    cut = F.expr("concat(substring(run, 1, at), substring(run, at + 2))")
-    return spelling.group_variants(spelling.vocabulary(marked.select(F.when(F.col("at").isNotNull(), cut).otherwise(F.col("run")).alias("run"))))
+    docs = _table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(":")).alias("doc_id"), "text")
+    # One run in 97 loses a code point, chosen by its checksum. Shorter runs than five make no words.
+    checksum = F.explode(F.array(F.crc32(F.concat("doc_id", "run").cast("binary"))))  # generated, so computed once
+    found = spelling.runs(docs, min_chars=5).select("run", checksum.alias("h"))
+    cut = F.expr("concat(substring(run, 1, cast(h % char_length(run) AS int)), substring(run, cast(h % char_length(run) AS int) + 2))")
+    return spelling.group_variants(spelling.vocabulary(found.select(F.when(F.col("h") % 97 == 0, cut).otherwise(F.col("run")).alias("run"))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -33,9 +33,9 @@ def ascii_lower(word: Column) -> Column:
     return F.when(plain, F.lower(word)).otherwise(F.translate(word, ascii_uppercase, ascii_lowercase))
 
 
-def runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", letters: str = LETTERS) -> DataFrame:
-    """(doc_id, run): every maximal run of letters, A-Z as a-z. A null or empty text has none."""
-    found = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.regexp_extract_all(F.col(text), F.lit(f"[{letters}]+"), F.lit(0))).alias("run"))
+def runs(docs: DataFrame, min_chars: int = 1, doc_id: str = "doc_id", text: str = "text", letters: str = LETTERS) -> DataFrame:
+    """(doc_id, run): every maximal run of at least min_chars letters, A-Z as a-z. A null or empty text has none."""
+    found = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.regexp_extract_all(F.col(text), F.lit(f"[{letters}]{{{min_chars},}}"), F.lit(0))).alias("run"))
     return found.select("doc_id", ascii_lower(F.col("run")).alias("run"))
 
 
