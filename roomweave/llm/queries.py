@@ -8,7 +8,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomweave.llm import ann, bpe, chat, decontaminate, html_extract, line_dedup, ngram_join, packing, pii, quality, spelling, substring_dedup
+from roomweave.llm import ann, bpe, chat, decontaminate, html_extract, line_dedup, ngram_join, packing, periodic, pii, quality, spelling, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,8 +105,24 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(spelling.vocabulary(found.select(F.when(F.col("h") % 97 == 0, cut).otherwise(F.col("run")).alias("run"))))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # One document in ten, chosen by the checksum h of its id, repeats p of its words from word a on.
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    words = F.expr("CASE WHEN h % 10 = 0 THEN filter(split(text, '[ \\t-\\r]+'), w -> w <> '') ELSE array() END")
+    docs = docs.select("doc_id", "text", "h", F.explode(F.array(words)).alias("words"))  # generated, so split once
+    docs = docs.withColumns({"g": F.expr("h div 10"), "n": F.size("words")}).withColumn("a", F.expr("CASE WHEN n > 0 THEN cast(g % n AS int) END")).withColumn("p", F.expr("1 + cast((n - a) div (3 + g % 8) AS int)"))
+    docs = docs.select("doc_id", "text", "words", "n", F.explode(F.array(F.struct("a", "p"))).alias("at"))
+    text = F.expr("CASE WHEN n > 0 THEN array_join(transform(sequence(0, n - 1), i -> get(words, if(i < at.a, i, at.a + (i - at.a) % at.p))), ' ') ELSE text END")
+    found = periodic.find_runs(docs.select("doc_id", text.alias("text")), least=12, repeats=2)
+    said = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period")))), "\n")
+    # array_max takes the greatest length, then the smallest start, then the smallest period.
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("s"), (-r.period).alias("p"))))
+    return found.select("row.doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.when(F.size("runs") > 0, F.concat(said, F.lit("\n"))).otherwise("").cast("binary"), 256).alias("runs_sha256"), _hex("collapsed").alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", (-F.col("best.s")).alias("start"), "best.length", (-F.col("best.p")).alias("period"), F.expr("(1000 * best.length) div -best.p").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_html_extraction, op3_pii, op4_ngram_join, op5_substring_dedup, op6_packing, op7_line_dedup, op8_nearest, op9_quality, op10_chat, op11_decontamination, op12_spelling)}
+    return {f.__name__: f for f in (op1_bpe, op2_html_extraction, op3_pii, op4_ngram_join, op5_substring_dedup, op6_packing, op7_line_dedup, op8_nearest, op9_quality, op10_chat, op11_decontamination, op12_spelling, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:

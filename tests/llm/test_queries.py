@@ -580,3 +580,71 @@ def test_op12_words(spark):
     assert spelling.group_variants(table.limit(0)).count() == 0
     pairs = spelling.near_pairs(table.where("n IS NOT NULL AND word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")))
     assert pairs.count() == pairs.select("a", "b").distinct().count()
+
+
+def runs_by_period(words, least=12, repeats=2):
+    """(start, length, period) of the runs, period by period: a stretch found before has a smaller one."""
+    found, n = {}, len(words)
+    for q_ in range(1, n // repeats + 1):
+        same = np.flatnonzero(np.array(words[q_:]) == np.array(words[:-q_]))
+        for part in np.split(same, np.flatnonzero(np.diff(same) > 1) + 1) if len(same) else []:
+            if len(part) + q_ >= max(least, repeats * q_):
+                found.setdefault((int(part[0]), len(part) + q_), q_)
+    return sorted((s, n, p) for (s, n), p in found.items())
+
+
+def test_op13(spark, folder):
+    want = []
+    for i, t in texts(spark, folder):
+        w = WORD.findall(t)
+        n, h = len(w), 1 if i is None else zlib.crc32(str(i).encode())
+        if h % 10 == 0 and n:
+            g = h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [w[k] if k < a else w[a + (k - a) % p] for k in range(n)]
+        ids = {}
+        found = runs_by_period([ids.setdefault(x, len(ids)) for x in w])
+        drop = {k for s, m, p in found for k in range(s + p, s + m)}
+        best = min(found, key=lambda r: (-r[1], r[0], r[2]), default=None)
+        want.append((i, len(found), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None, sha("".join(f"{s},{m},{p}\n" for s, m, p in found)), sha(" ".join(x for k, x in enumerate(w) if k not in drop))))
+    same(rows(q.op13_periodic_runs(spark, folder), "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"), want)
+
+
+def test_op13_words():
+    """Texts of few words, periodic ones, several on end; also words that are Thue-Morse or Fibonacci sequences, with runs within runs."""
+    import random
+
+    from roomweave.llm.periodic import runs_of
+
+    chance = random.Random(13)
+    fib = [[0], [0, 1]]
+    while len(fib[-1]) < 200:
+        fib.append(fib[-1] + fib[-2])
+    sets = [[fib[-1], [k.bit_count() % 2 for k in range(200)], [0] * 200, [k % 2 for k in range(101)]]]
+    for _ in range(600):
+        sets.append([])
+        for _ in range(chance.randrange(4)):
+            n, k = chance.randrange(70), chance.randrange(1, 4)
+            words = [chance.randrange(k) for _ in range(n)]
+            if n > 4 and chance.random() < 0.5:
+                p, a = chance.randrange(1, n // 2 + 1), chance.randrange(n - 1)
+                words[a:] = [words[a + (i - a) % p] for i in range(a, n)]
+            sets[-1].append(words)
+    for some in sets:
+        least, repeats, at, want = chance.choice([12, 12, 4, 2, 7]), chance.choice([2, 2, 3]), 0, []
+        for words in some:
+            want += [(s + at, n, p) for s, n, p in runs_by_period(words, least, repeats)]
+            at += len(words)
+        got = runs_of(np.array(sum(some, []), dtype=np.int64), np.repeat(np.arange(len(some)), [len(x) for x in some]), least, repeats)
+        assert list(map(tuple, got.tolist())) == want
+
+
+def test_op13_columns(spark):
+    """Clashing columns stay in the row; repeated rows each give one; an empty table gives none."""
+    from roomweave.llm import periodic
+
+    table = spark.createDataFrame([(1, "a b " * 9, "x", 3)] * 2 + [(2, None, "y", 4)], "doc_id long, text string, runs string, n_words int")
+    got = periodic.find_runs(table).collect()
+    assert sorted((r.row.doc_id, r.row.runs, r.n_words, [tuple(x) for x in r.runs], r.collapsed) for r in got) == [(1, "x", 18, [(0, 18, 2)], "a b")] * 2 + [(2, "y", 0, [], "")]
+    assert periodic.find_runs(table.limit(0)).count() == 0
