@@ -428,6 +428,26 @@ def test_op2_keeps_all_slots(spark):
     assert read(spark, [("http://b.example/", one(7))] * 5) == {i: "Intro 7. Body text 7. Point 7 On all pages" for i in range(5)}
 
 
+def test_op2_without_any_names(spark, sf_dir):
+    """With the lists of names emptied, templates read the article of every page whose host has three pages or more."""
+    from roomweave.llm import html_extract
+
+    table = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    hosts = Counter(r.url.split("/")[2] for r in table.collect())
+    want = {r.page_id: article(r.html) for r in table.collect() if hosts[r.url.split("/")[2]] >= 3}
+    got = {r.page_id: r.text for r in html_extract.extract(table, html_extract.NONE).collect()}
+    assert want and {i: got[i] for i in want} == want
+    made = html_extract.templates(html_extract._hosts(table), html_extract.NONE).collect()
+    assert len(made) == sum(n >= 3 for n in hosts.values()) and all(r.regions for r in made)
+
+
+def test_op2_long_pages(spark):
+    """Deep nesting, many closing tags without a start, a very long text: whole results in time that grows with the page."""
+    deep = body("<div>" * 20_000, "<article>kept", "</p>" * 20_000, "<p>and this", "</article>", "</div>" * 20_000, "<footer>gone</footer>", "</section>" * 20_000)
+    long = body("<nav>menu</nav><article><p>", "word " * 200_000, "</p></article>")
+    assert read(spark, [(None, deep), ("http://x.example", long)]) == {0: "kept and this", 1: ("word " * 200_000).strip()}
+
+
 def test_op9_noisy_rule():
     """Where one rule also votes against many clean documents, these stay; documents that several rules reject go."""
     from roomweave.llm import quality
