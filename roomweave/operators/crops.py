@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roomweave.functions.geometry import distance
+from roomweave.operators.ranks import percentiles
 
 AXES = ("x", "y", "z")
 #: The room's box.
@@ -25,7 +26,7 @@ def in_box(points: DataFrame, box: dict[str, tuple[float, float]] = ROOM) -> Dat
 def percentile_crop(points: DataFrame, core: Column, lo: float = 0.02, hi: float = 0.98, more: float = 0.30, least: int = 100) -> DataFrame:
     """Points within the percentiles of the core on each axis and a share of that length beyond; a core of ``least`` or
     fewer points crops nothing. Percentiles are exact."""
-    ends = points.where(core).agg(F.count("*").alias("_n"), *(F.percentile(c, F.lit(q)).alias(f"_{n}{c}") for c in AXES for n, q in (("a", lo), ("b", hi))))
+    ends = percentiles(points.where(core), {f"_{n}{c}": (c, q) for c in AXES for n, q in (("a", lo), ("b", hi))}, count="_n")
     inside = F.lit(True)
     for c in AXES:
         a, b = F.col(f"_a{c}"), F.col(f"_b{c}")
@@ -41,19 +42,19 @@ def inner_pixels(pixels: DataFrame, height: int, width: int, border: int = 3, st
 def depth_filter(points: DataFrame, frame: str, conf: str, depth: str, least: float = 0.15, times: float = 1.5) -> DataFrame:
     """Points sure enough, no deeper than so many times the 95th percentile of the sure ones of their frame."""
     sure = points.where(F.col(conf) >= least)
-    caps = sure.groupBy(frame).agg(F.percentile(depth, F.lit(0.95)).alias("_cap"))
+    caps = percentiles(sure, {"_cap": (depth, 0.95)}, [frame])
     return sure.join(caps, frame).where(F.col(depth) <= times * F.col("_cap")).select(*points.columns)
 
 
 def floor_sample(points: DataFrame, opaque: Column, share: float = 0.01, axis: str = "y") -> DataFrame:
     """Opaque points in the lowest share of the axis."""
     held = points.where(opaque)
-    return held.crossJoin(F.broadcast(held.agg(F.percentile(axis, F.lit(share)).alias("_low")))).where(F.col(axis) <= F.col("_low")).select(*points.columns)
+    return held.crossJoin(F.broadcast(percentiles(held, {"_low": (axis, share)}))).where(F.col(axis) <= F.col("_low")).select(*points.columns)
 
 
 def class_centroids(points: DataFrame, key: str = "class_idx", least: int = 100) -> DataFrame:
     """(key, x, y, z, n): medians of classes with at least so many points."""
-    return points.groupBy(key).agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in AXES), F.count("*").alias("n")).where(F.col("n") >= least)
+    return percentiles(points, {c: (c, 0.5) for c in AXES}, [key], count="n").where(F.col("n") >= least)
 
 
 def near_centroid(points: DataFrame, centroids: DataFrame, radii: dict[int, float], usual: float = 1.5, key: str = "class_idx") -> DataFrame:

@@ -11,6 +11,10 @@ from roomweave.storage import set_checkpoint_dir
 
 
 CAMERAS = 4096  # in an array
+VIEWERS = 50_000  # cameras in a broadcast
+PART = 1024  # points of a block that meet views together
+PAIRS = 2_000_000  # of points and views in a task
+COARSE = 4  # blocks a side of a coarse one
 
 
 def _seen_by(x: Column, y: Column, z: Column) -> list[Column]:
@@ -19,25 +23,47 @@ def _seen_by(x: Column, y: Column, z: Column) -> list[Column]:
     return [r(3 * k) * x + r(3 * k + 1) * y + r(3 * k + 2) * z + F.col(f"t{c}") for k, c in enumerate("xyz")]
 
 
+def _reaches(centre: list[Column], radius: float, near: float) -> Column:
+    """Whether a sphere reaches into the view of the camera beside it."""
+    x, y, z = _seen_by(*centre)
+    held = z + radius > near
+    for side, focal, middle, size in ((x, "fx", "cx", "width"), (y, "fy", "cy", "height")):
+        for sign, edge in ((1, F.col(middle) + 0.5), (-1, F.col(size) - 0.5 - F.col(middle))):
+            held = held & (sign * F.col(focal) * side + edge * z >= -radius * F.sqrt(F.col(focal) * F.col(focal) + edge * edge))
+    return held
+
+
 def project(points: DataFrame, cameras: DataFrame, near: float = 0.05, block: float = 0.5) -> DataFrame:
     """(frame, pid, u, v): points before each camera and in its image.
 
-    Cameras (frame, r array of 9, tx, ty, tz, fx, fy, cx, cy, width, height) meet occupied blocks of space, of which only
-    those stay whose sphere reaches into the camera's view; the points of these blocks follow by an equi-join.
+    Cameras (frame, r array of 9, tx, ty, tz, fx, fy, cx, cy, width, height) meet occupied blocks of space, first coarse
+    ones and then the fine ones in these; only those stay whose sphere reaches into the view.  Points follow by an
+    equi-join on their block and a part of it: a block of many points is dealt in parts of about PART by their hash.
+    The pairs of views and points are counted before, so that each task has about PAIRS of them.  Only cameras are
+    broadcast, up to VIEWERS of them.
     """
-    places = [bucket(F.col(c), block).alias(f"b{c}") for c in "xyz"]
-    held = points.select("*", *places)
-    x, y, z = _seen_by(*((F.col(f"b{c}") + 0.5) * block for c in "xyz"))
-    radius = block * 0.8661  # half the diagonal
-    reaches = F.col("sz") + radius > near
-    for side, focal, centre, size in (("sx", "fx", "cx", "width"), ("sy", "fy", "cy", "height")):
-        for sign, edge in ((1, F.col(centre) + 0.5), (-1, F.col(size) - 0.5 - F.col(centre))):
-            reaches = reaches & (sign * F.col(focal) * F.col(side) + edge * F.col("sz") >= -radius * F.sqrt(F.col(focal) * F.col(focal) + edge * edge))
-    views = held.select("bx", "by", "bz").distinct().crossJoin(cameras).withColumns({"sx": x, "sy": y, "sz": z}).where(reaches).drop("sx", "sy", "sz")
+    spark = points.sparkSession
+    set_checkpoint_dir(spark)
+    cameras = cameras.checkpoint()
+    n_cameras = cameras.count()
+    at = [f"b{c}" for c in "xyz"]
+    held = points.select("*", *(bucket(F.col(c), block).alias(b) for c, b in zip("xyz", at)))
+    blocks = held.groupBy(*at).agg(F.count("*").alias("held")).withColumn("parts", F.ceil(F.col("held") / PART).cast("int")).withColumns({f"c{b}": F.floor(F.col(b) / COARSE) for b in at}).checkpoint()
+    radius = 0.8661  # half the diagonal of a cube
+    coarse = blocks.select(*(f"c{b}" for b in at)).distinct().crossJoin(F.broadcast(cameras) if n_cameras <= VIEWERS else cameras)
+    coarse = coarse.where(_reaches([(F.col(f"c{b}") + 0.5) * block * COARSE for b in at], block * COARSE * radius, near))
+    views = coarse.join(blocks, [f"c{b}" for b in at]).where(_reaches([(F.col(b) + 0.5) * block for b in at], block * radius, near)).drop(*(f"c{b}" for b in at)).checkpoint()
+    pairs = views.agg(F.sum("held")).first()[0] or 0
+    tasks = int(min(100_000, max(spark.sparkContext.defaultParallelism, pairs // PAIRS)))
+    split = views.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("held", "parts").repartition(tasks, *at, "part")
+    few = blocks.select(*at, "parts").where("parts > 1")
+    dealt = held.join(few, at, "left").withColumn("part", F.pmod(F.xxhash64("pid"), F.coalesce("parts", F.lit(1))).cast("int")).select("pid", "x", "y", "z", *at, "part").repartition(tasks, *at, "part")
+    # Generated columns are computed once a pair; as plain ones they would be written out in the join's condition again and again.
+    once = lambda **columns: F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))
     axes = _seen_by(F.col("x"), F.col("y"), F.col("z"))
-    seen = held.join(views, ["bx", "by", "bz"]).withColumns({"cam_x": axes[0], "cam_y": axes[1], "cam_z": axes[2]}).where(F.col("cam_z") > near)
-    placed = seen.withColumns({"u": pixel(F.col("cam_x"), F.col("cam_z"), F.col("fx"), F.col("cx")), "v": pixel(F.col("cam_y"), F.col("cam_z"), F.col("fy"), F.col("cy"))})
-    return placed.where("u >= 0 AND u < width AND v >= 0 AND v < height").select("frame", "pid", "u", "v")
+    seen = split.hint("merge").join(dealt, [*at, "part"]).select("frame", "pid", "fx", "fy", "cx", "cy", "width", "height", once(x=axes[0], y=axes[1], z=axes[2]).alias("c")).where(F.col("c.z") > near)
+    placed = seen.select("frame", "pid", "width", "height", once(u=pixel(F.col("c.x"), F.col("c.z"), F.col("fx"), F.col("cx")), v=pixel(F.col("c.y"), F.col("c.z"), F.col("fy"), F.col("cy"))).alias("p"))
+    return placed.where("p.u >= 0 AND p.u < width AND p.v >= 0 AND p.v < height").select("frame", "pid", "p.u", "p.v")
 
 
 def paint(pixels: DataFrame, masks: DataFrame, least_conf: float, most_cover: float) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from roomweave.functions import camera
 from roomweave.functions import geometry as geo
-from roomweave.operators import alignment, crops, frames, images, masks, neighbours, paths, scene, voxels
+from roomweave.operators import alignment, crops, frames, images, masks, neighbours, paths, ranks, scene, voxels
+from roomweave.storage import written
 
 SIZE = 0.25
 CLASSES = ["bed", "chair", "desk", "laptop", "lamp", "fan", "bin", "shelf", "door", "window"]
@@ -231,14 +232,16 @@ def rotate_up(spark, d):
 @query(f"WITH {PTS}, q AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.02) AS lo_{c}, quantile_cont({c}, 0.98) AS hi_{c}" for c in "xyz") + " FROM pts) SELECT pid FROM pts, q WHERE " + " AND ".join(f"{c} BETWEEN lo_{c} - 0.1::DOUBLE * (hi_{c} - lo_{c}) AND hi_{c} + 0.1::DOUBLE * (hi_{c} - lo_{c})" for c in "xyz"))
 def percentile_crop(spark, d):
     p = pts(spark, d)
-    ends = p.agg(*(F.percentile(c, F.lit(q)).alias(f"{n}{c}") for c in "xyz" for n, q in (("a", 0.02), ("b", 0.98))))
+    ends = ranks.percentiles(p, {f"{n}{c}": (c, q) for c in "xyz" for n, q in (("a", 0.02), ("b", 0.98))})
     inside = F.expr(" AND ".join(f"{c} BETWEEN a{c} - 0.1D * (b{c} - a{c}) AND b{c} + 0.1D * (b{c} - a{c})" for c in "xyz"))
     return p.crossJoin(F.broadcast(ends)).where(inside).select("pid")
 
 
 @query(f"WITH {PTS} SELECT " + ", ".join(f"round(quantile_cont({c}, {q}), 6) AS {c}{int(q * 100)}" for c in "xyz" for q in (0.1, 0.5, 0.9)) + ", count(*) FILTER (x > 0) AS n0, count(*) FILTER (x > 1) AS n1, count(*) FILTER (x > 2) AS n2 FROM pts")
 def survey_percentiles(spark, d):
-    return pts(spark, d).agg(*(r6(F.percentile(c, F.lit(q)), f"{c}{int(q * 100)}") for c in "xyz" for q in (0.1, 0.5, 0.9)), *(F.count_if(F.col("x") > t).alias(f"n{t}") for t in (0, 1, 2)))
+    names = {f"{c}{int(q * 100)}": (c, q) for c in "xyz" for q in (0.1, 0.5, 0.9)}
+    counts = pts(spark, d).agg(*(F.count_if(F.col("x") > t).alias(f"n{t}") for t in (0, 1, 2)))
+    return ranks.percentiles(pts(spark, d), names).select(*map(r6, names)).crossJoin(F.broadcast(counts))  # a row each
 
 
 @query(f"WITH {EVPTS}, v AS (SELECT frame_num AS pid, dense_rank() OVER (ORDER BY label)::INT AS c FROM evpts), n AS (SELECT pid, c, count(*) AS n FROM v GROUP BY 1, 2), w AS (SELECT *, sum(n) OVER (PARTITION BY pid)::BIGINT AS total, row_number() OVER (PARTITION BY pid ORDER BY n DESC, c) AS rn FROM n) SELECT pid, c AS class_idx, n AS votes, total FROM w WHERE rn = 1 AND total >= 2")
@@ -255,7 +258,7 @@ def class_statistics(spark, d):
 
 @query(f"WITH {PTS} SELECT class_idx, round(median(x), 4) AS x, round(median(y), 4) AS y, round(median(z), 4) AS z FROM pts GROUP BY 1 HAVING count(*) >= 20")
 def class_centroids(spark, d):
-    return pts(spark, d).groupBy("class_idx").agg(*(F.round(F.percentile(c, F.lit(0.5)), 4).alias(c) for c in "xyz"), F.count("*").alias("n")).where("n >= 20").drop("n")
+    return crops.class_centroids(pts(spark, d), "class_idx", 20).select("class_idx", *(F.round(c, 4).alias(c) for c in "xyz"))
 
 
 _CLIP = f"WITH {EVPTS}, s AS (SELECT label, count(*) AS n, " + ", ".join(f"avg({c}) AS m{c}, greatest(stddev_pop({c}), 1e-6::DOUBLE) AS s{c}" for c in "xyz") + " FROM evpts GROUP BY 1), clipped AS (SELECT e.* FROM evpts e JOIN s USING (label) WHERE n < 4 OR (" + " AND ".join(f"abs({c} - m{c}) <= 2 * s{c}" for c in "xyz") + ")) "
@@ -315,7 +318,7 @@ def project_points(spark, d):
 @query(_PROJECT + """, b AS (SELECT s.frame, e.label, min(u) + 40 AS x, min(v) + 40 AS y, (max(u) - min(u)) // 2 AS w, (max(v) - min(v)) // 2 AS h, max(conf) AS conf, min(e.pid) AS ord FROM seen s JOIN evpts e USING (pid) GROUP BY 1, 2),
 hit AS (SELECT s.frame, s.pid, label, row_number() OVER (PARTITION BY s.frame, s.pid ORDER BY w * h, conf DESC, ord DESC) AS rn FROM seen s JOIN b USING (frame) WHERE conf >= 0.25::DOUBLE AND w * h / 307200.0::DOUBLE <= 0.3::DOUBLE AND u >= x AND u < x + w AND v >= y AND v < y + h) SELECT frame, pid, label FROM hit WHERE rn = 1""")
 def paint_labels(spark, d):
-    seen = _projected(spark, d)
+    seen = written(_projected(spark, d))
     boxes = seen.join(evpts(spark, d).select("pid", "label", "conf"), "pid").groupBy("frame", "label").agg(
         (F.min("u") + 40).alias("x"), (F.min("v") + 40).alias("y"), F.floor((F.max("u") - F.min("u")) / 2).alias("w"), F.floor((F.max("v") - F.min("v")) / 2).alias("h"), F.max("conf").alias("conf"), F.min("pid").alias("ord"))
     return frames.paint(seen, boxes.withColumn("cover", F.col("w") * F.col("h") / 307200.0), 0.25, 0.3)
@@ -378,14 +381,14 @@ def quality_statistics(spark, d):
 @query(f"WITH {EVPTS}, c AS (SELECT label, quantile_cont(z, 0.95) AS p95 FROM evpts WHERE conf >= 0.15::DOUBLE GROUP BY 1) SELECT label, count(*) AS n FROM evpts JOIN c USING (label) WHERE conf >= 0.15::DOUBLE AND z <= 0.9::DOUBLE * p95 GROUP BY 1")
 def depth_cap(spark, d):
     sure = evpts(spark, d).where("conf >= 0.15")
-    caps = sure.groupBy("label").agg(F.percentile("z", F.lit(0.95)).alias("p95"))
+    caps = ranks.percentiles(sure, {"p95": ("z", 0.95)}, ["label"])
     return sure.join(caps, "label").where(F.col("z") <= 0.9 * F.col("p95")).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {PTS} SELECT " + ", ".join(f"round(covar_pop({a}, {b}), 6) AS {a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")) + " FROM pts WHERE z <= (SELECT quantile_cont(z, 0.5) FROM pts)")
 def plane_covariance(spark, d):
     p = pts(spark, d)
-    low = p.crossJoin(F.broadcast(p.agg(F.percentile("z", F.lit(0.5)).alias("mid")))).where("z <= mid")
+    low = p.crossJoin(F.broadcast(ranks.percentiles(p, {"mid": ("z", 0.5)}))).where("z <= mid")
     return low.agg(*(r6(F.covar_pop(a, b), f"{a}{b}") for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")))
 
 
@@ -603,7 +606,7 @@ hit AS (SELECT s.frame, s.pid, c, row_number() OVER (PARTITION BY s.frame, s.pid
 n AS (SELECT pid, c, count(*) AS n FROM hit WHERE rn = 1 GROUP BY 1, 2), w AS (SELECT *, sum(n) OVER (PARTITION BY pid)::BIGINT AS total, row_number() OVER (PARTITION BY pid ORDER BY n DESC, c) AS rn FROM n) SELECT pid, c AS class_idx, n AS votes, total FROM w WHERE rn = 1 AND total >= 2""")
 def E5_painted_votes(spark, d):
     """Masks painted on images, points looked up in them, and the class with most votes of each point."""
-    seen = _projected(spark, d)
+    seen = written(_projected(spark, d))
     e = evpts(spark, d)
     kinds = e.select("label").distinct().withColumn("class_idx", F.row_number().over(W.orderBy("label")))  # a row a label
     boxes = seen.join(e.select("pid", "label", "conf"), "pid").groupBy("frame", "label").agg(

@@ -1,7 +1,8 @@
 """Sparse reconstructions: the binary files of cameras, images and points, read and written as DataFrames.
 
-Records of a file follow each other without an index, so a file is decoded in one task, in pieces of ROWS records; many
-files are many tasks.  Quaternions are (w, x, y, z) in the usual convention; ``transposed`` turns the rotation around, for
+Records of a file follow each other without an index.  One task steps over a file's records, reading no more of each than
+its length takes, and notes where ranges of them start; many tasks then decode the ranges.  In a store that only Spark
+reaches, a file is decoded by one task.  Either way records leave in pieces of ROWS.  Quaternions are (w, x, y, z) in the usual convention; ``transposed`` turns the rotation around, for
 files written with the conjugate.
 """
 
@@ -13,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roomweave.sources import ranges
+
 # Fixed values of the format: model numbers, names, and how many parameters each has.
 MODELS = {0: ("SIMPLE_PINHOLE", 3), 1: ("PINHOLE", 4), 2: ("SIMPLE_RADIAL", 4), 3: ("RADIAL", 5), 4: ("OPENCV", 8)}
 NUMBERS = {name: (number, count) for number, (name, count) in MODELS.items()}
@@ -43,43 +46,84 @@ def _point(data: bytes, at: int):
     return (*head, error, track), at + 51 + 8 * n
 
 
-def _read(spark: SparkSession, path: str, schema: str, record) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+def _camera_size(data: bytes, at: int) -> int | None:
+    return 24 + 8 * MODELS.get(struct.unpack_from("<i", data, at + 4)[0], MODELS[1])[1] if len(data) >= at + 8 else None
+
+
+def _image_size(data: bytes, at: int) -> int | None:
+    end = data.find(b"\0", at + 64)
+    return end + 9 + 24 * struct.unpack_from("<Q", data, end + 1)[0] - at if end >= 0 and len(data) >= end + 9 else None
+
+
+def _point_size(data: bytes, at: int) -> int | None:
+    return 51 + 8 * struct.unpack_from("<Q", data, at + 43)[0] if len(data) >= at + 51 else None
+
+
+def _cut(file: str, length: int, size, split: int):
+    """Ranges of whole records of about split bytes; size(data, at): a record's bytes, or None where data ends before they are known."""
+    (left,) = struct.unpack("<Q", ranges.read_range(file, 0, 8))
+    more, data, base = ranges.pieces(file, 8), b"", 8  # data starts at base
+    at, start, first = 8, 8, 0
+    for k in range(left):
+        while at - base > len(data) or (found := size(data, at - base)) is None:
+            piece = next(more, None)
+            if piece is None:
+                raise ValueError(f"{file} ends within record {k} of {left}")
+            skip = min(at - base, len(data))
+            data, base = data[skip:] + piece, base + skip
+        at += found
+        if at - start >= split or k == left - 1:
+            if at > length:
+                raise ValueError(f"{file} ends within record {k} of {left}")
+            yield start, at, first, k + 1 - first
+            start, first = at, k + 1
+
+
+def _read(spark: SparkSession, path: str, schema: str, record, size, split: int) -> DataFrame:
+    files = ranges.listed(spark, path)
     made = files.select("file").limit(0).select("*", *(F.lit(None).cast(t).alias(n) for n, t in (f.split(" ", 1) for f in schema.split(", ")))).schema
     names = [f.name for f in made]
+    one = files.first()
 
-    def run(batches):
+    def decode(file: str, data: bytes, at: int, left: int):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        types = [to_arrow_schema(made).field(n).type for n in names]
+        types, rows = [to_arrow_schema(made).field(n).type for n in names], []
+        for k in range(left):
+            row, at = record(data, at)
+            rows.append((file, *row))
+            if len(rows) == ROWS or k == left - 1:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                rows = []
+
+    def read_ranges(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield from decode(r["file"], ranges.read_range(r["file"], r["start"], r["stop"]), 0, r["n"])
+
+    def read_contents(batches):
         for batch in batches:
             for file, content in zip(batch.column("file").to_pylist(), batch.column("content")):
-                data, rows, at = content.as_py(), [], 8
-                (left,) = struct.unpack_from("<Q", data)
-                for _ in range(left):
-                    row, at = record(data, at)
-                    rows.append((file, *row))
-                    if len(rows) == ROWS:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                data = content.as_py()
+                yield from decode(file, data, 8, struct.unpack_from("<Q", data)[0])
 
-    return files.mapInArrow(run, made)
+    if one is not None and ranges.reachable(one.file):
+        return ranges.ranges(files, lambda file, length: _cut(file, length, size, split), split).mapInArrow(read_ranges, made)
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content").mapInArrow(read_contents, made)
 
 
-def read_cameras(spark: SparkSession, path: str) -> DataFrame:
+def read_cameras(spark: SparkSession, path: str, split: int = ranges.SPLIT) -> DataFrame:
     """(file, camera_id, model, width, height, params); a model of unknown number is read as PINHOLE."""
-    return _read(spark, path, CAMERA, _camera)
+    return _read(spark, path, CAMERA, _camera, _camera_size, split)
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
+def read_images(spark: SparkSession, path: str, split: int = ranges.SPLIT) -> DataFrame:
     """(file, image_id, qw .. tz, camera_id, name, points); a point3d_id of -1 stands for none."""
-    return _read(spark, path, IMAGE, _image)
+    return _read(spark, path, IMAGE, _image, _image_size, split)
 
 
-def read_points3d(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, POINT, _point)
+def read_points3d(spark: SparkSession, path: str, split: int = ranges.SPLIT) -> DataFrame:
+    return _read(spark, path, POINT, _point, _point_size, split)
 
 
 def intrinsics() -> list[Column]:

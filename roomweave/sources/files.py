@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roomweave.sources import ranges
+
 SLICE = 1 << 16  # values of an array in a batch
 
 
@@ -76,23 +78,54 @@ def read_training_logs(spark: SparkSession, path: str, above: float = 5.0, below
     return logs.select("file", values.alias("values")).withColumn("final", F.try_element_at("values", F.lit(-1)))
 
 
-def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """(file, index, value): the values of array files with their place on each axis, from 0. A file is read by one task and
-    leaves in slices."""
+def _npy_head(data: bytes):
+    """(where values start, shape, in Fortran's order, type) of an array file."""
+    f = io.BytesIO(data)
+    major, _ = np.lib.format.read_magic(f)
+    shape, fortran, kind = (np.lib.format.read_array_header_1_0 if major == 1 else np.lib.format.read_array_header_2_0)(f)
+    if kind.hasobject:
+        raise ValueError("arrays of objects are not read")
+    return f.tell(), shape, fortran, kind
+
+
+def read_npy(spark: SparkSession, path: str, split: int = ranges.SPLIT) -> DataFrame:
+    """(file, index, value): the values of array files with their place on each axis, from 0. A file is read in ranges of
+    values by many tasks; in a store that only Spark reaches, by one."""
+
+    def values(file: str, head: bytes, data: bytes, first: int):
+        _, shape, fortran, kind = _npy_head(head)
+        flat = np.frombuffer(data, kind).astype(np.float64)
+        for a in range(0, len(flat), SLICE):
+            some = flat[a : a + SLICE]
+            places = np.arange(first + a, first + a + len(some))
+            place = np.stack(np.unravel_index(places, shape, order="F" if fortran else "C"), 1) if shape else np.zeros((1, 0), np.int64)
+            offsets = np.arange(len(some) + 1, dtype=np.int32) * len(shape)
+            index = pa.ListArray.from_arrays(pa.array(offsets), pa.array(place.ravel().astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array([file] * len(some)), index, pa.array(some)], ["file", "index", "value"])
+
+    def cut(file: str, length: int):
+        start, shape, _, kind = _npy_head(ranges.read_head(file))
+        n = int(np.prod(shape, dtype=np.int64))
+        if start + n * kind.itemsize > length:
+            raise ValueError(f"{file} is cut short")
+        yield from ranges.fixed(start, kind.itemsize, n, split)
+
+    def read_ranges(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield from values(r["file"], ranges.read_head(r["file"]), ranges.read_range(r["file"], r["start"], r["stop"]), r["first"])
 
-    def run(batches):
+    def read_contents(batches):
         for batch in batches:
             for file, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                array = np.load(io.BytesIO(content.as_py()), allow_pickle=False)
-                flat = array.astype(np.float64).ravel()
-                for at in range(0, len(flat), SLICE):
-                    some = flat[at : at + SLICE]
-                    place = np.stack(np.unravel_index(np.arange(at, at + len(some)), array.shape), 1) if array.ndim else np.zeros((1, 0), np.int64)
-                    offsets = np.arange(len(some) + 1, dtype=np.int32) * array.ndim
-                    index = pa.ListArray.from_arrays(pa.array(offsets), pa.array(place.ravel().astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(some)), index, pa.array(some)], ["file", "index", "value"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, index array<int>, value double")
+                data = content.as_py()
+                yield from values(file, data[: ranges.HEAD], data[_npy_head(data[: ranges.HEAD])[0] :], 0)
+
+    schema, files = "file string, index array<int>, value double", ranges.listed(spark, path)
+    one = files.first()
+    if one is not None and ranges.reachable(one.file):
+        return ranges.ranges(files, cut, split).mapInArrow(read_ranges, schema)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read_contents, schema)
 
 
 TRANSFORMS = "fl_x double, fl_y double, cx double, cy double, w int, h int, frames array<struct<file_path:string,fl_x:double,fl_y:double,cx:double,cy:double,w:int,h:int,transform_matrix:array<array<double>>>>"

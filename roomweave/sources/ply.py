@@ -1,7 +1,8 @@
 """Point clouds and splats in PLY files, read and written as DataFrames.
 
-A file is one row of Spark's binaryFile source (at most 2 GB a file), so any store that Spark reads will do; tasks
-decode it in slices of rows.  All files of one read have the header of the first.
+A binary file whose rows have one width is read in ranges of rows by many tasks; a text file, or one with lists before
+the element's end, by one.  In a store that only Spark reaches, a file is one row of the binaryFile source (at most 2 GB)
+and is decoded by one task.  All files of one read have the header of the first; an unknown type is a KeyError.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roomweave.sources import ranges
+
 # Fixed values of the format: scalar types, their numpy codes and Spark types.
 NUMPY = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2",
          "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
@@ -120,37 +123,88 @@ def _ascii(data: bytes, header: Header, name: str) -> np.ndarray:
     raise ValueError(f"no element {name!r}")
 
 
-def read_ply(spark: SparkSession, path: str, element: str = "vertex") -> DataFrame:
+def _place(header: Header, name: str) -> tuple[int, np.dtype] | None:
+    """Where a binary element of rows of one width starts, and its rows' type; None where that takes reading."""
+    at, order = header.size, "<" if header.kind == "binary_little_endian" else ">"
+    for e in header.elements:
+        if header.kind == "ascii" or e.lists:
+            return None
+        kind = np.dtype([(n, order + c) for n, c in e.fields])
+        if e.name == name:
+            return at, kind
+        at += kind.itemsize * e.rows
+    return None
+
+
+def read_ply(spark: SparkSession, path: str, element: str = "vertex", split: int = ranges.SPLIT) -> DataFrame:
     """(file, row, one column a scalar property) of an element; list properties are skipped.
 
     An element of no rows gives none; a file with another header than the first, or one cut short, is an error.
+    split: bytes of the range that a task reads.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
-    first = files.select(F.substring("content", 1, HEAD).alias("head")).first()
-    if first is None:
+    files = ranges.listed(spark, path)
+    one = files.first()
+    if one is None:
         raise ValueError(f"no files at {path}")
-    fields = parse_header(bytes(first.head)).element(element).fields
+    split_up = ranges.reachable(one.file)
+    contents = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    head = ranges.read_head(one.file) if split_up else bytes(contents.select(F.substring("content", 1, HEAD).alias("head")).first().head)
+    fields = parse_header(head).element(element).fields
     types = [SPARK[c] for _, c in fields]
 
-    def run(batches):
+    def held(file: str, data: bytes) -> Header:
+        header = parse_header(data[:HEAD])
+        if header.element(element).fields != fields:
+            raise ValueError(f"{file} has other properties than the first file")
+        return header
+
+    def cut(file: str, length: int):
+        header = held(file, ranges.read_head(file))
+        found, rows = _place(header, element), header.element(element).rows
+        if found is None:
+            yield 0, length, 0, -1
+        elif found[0] + found[1].itemsize * rows > length:
+            raise ValueError(f"element {element!r} of {file} is cut short")
+        else:
+            yield from ranges.fixed(found[0], found[1].itemsize, rows, split)
+
+    def batches_of(file: str, rows: np.ndarray, first: int = 0):
+        for a in range(0, len(rows), SLICE):
+            part = rows[a : a + SLICE]
+            columns = [pa.array(part[n].astype(part[n].dtype.newbyteorder("=")), ARROW[t], safe=False) for (n, _), t in zip(fields, types)]
+            yield pa.RecordBatch.from_arrays([pa.array([file] * len(part)), pa.array(np.arange(first + a, first + a + len(part))), *columns], names=["file", "row", *(n for n, _ in fields)])
+
+    def whole(file: str, data: bytes):
+        header = held(file, data)
+        yield from batches_of(file, (_ascii if header.kind == "ascii" else _binary)(data, header, element))
+
+    def read_contents(batches):
         for batch in batches:
             for file, content in zip(batch.column("file").to_pylist(), batch.column("content")):
-                data = content.as_py()
-                header = parse_header(data[:HEAD])
-                if header.element(element).fields != fields:
-                    raise ValueError(f"{file} has other properties than the first file")
-                rows = (_ascii if header.kind == "ascii" else _binary)(data, header, element)
-                for a in range(0, len(rows), SLICE):
-                    part = rows[a : a + SLICE]
-                    columns = [pa.array(part[n].astype(part[n].dtype.newbyteorder("=")), ARROW[t], safe=False) for (n, _), t in zip(fields, types)]
-                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(part)), pa.array(np.arange(a, a + len(part))), *columns], names=["file", "row", *(n for n, _ in fields)])
+                yield from whole(file, content.as_py())
+
+    def read_ranges(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                data = ranges.read_range(r["file"], r["start"], r["stop"])
+                if r["n"] < 0:
+                    yield from whole(r["file"], data)
+                else:
+                    _, kind = _place(held(r["file"], ranges.read_head(r["file"])), element)
+                    yield from batches_of(r["file"], np.frombuffer(data, kind, r["n"]), r["first"])
 
-    return files.mapInArrow(run, ", ".join(["file string", "row bigint", *(f"`{n}` {t}" for (n, _), t in zip(fields, types))]))
+    schema = ", ".join(["file string", "row bigint", *(f"`{n}` {t}" for (n, _), t in zip(fields, types))])
+    return ranges.ranges(files, cut, split).mapInArrow(read_ranges, schema) if split_up else contents.mapInArrow(read_contents, schema)
 
 
-def coloured(points: DataFrame, missing: int = 0) -> DataFrame:
-    """(file, row, x, y, z, red, green, blue) under the usual names of colours; missing colours get a fixed value."""
+def coloured(points: DataFrame, missing: int | None = 0, least: int = 0) -> DataFrame:
+    """(file, row, x, y, z, red, green, blue) under the usual names of colours; missing colours get a fixed value, or
+    are an error where it is None. Fewer than ``least`` points are an error; this reads the table once more."""
     names = {c.lower(): c for c in points.columns}
+    if least and len(points.limit(least).select("row").collect()) < least:
+        raise ValueError(f"fewer than {least} points")
+    if missing is None and (lacks := [c for c in ("red", "green", "blue") if not {c, c[0], f"diffuse_{c}"} & names.keys()]):
+        raise ValueError(f"no colours {', '.join(lacks)}")
 
     def colour(name: str) -> Column:
         known = [names[n] for n in (name, name[0], f"diffuse_{name}") if n in names]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def set_checkpoint_dir(spark: SparkSession) -> None:
@@ -14,3 +15,12 @@ def set_checkpoint_dir(spark: SparkSession) -> None:
         if not named and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the folder of checkpoints: computed once, for a large result that is read more than once."""
+    spark = df.sparkSession
+    set_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
