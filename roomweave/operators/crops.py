@@ -46,6 +46,13 @@ def depth_filter(points: DataFrame, frame: str, conf: str, depth: str, least: fl
     return sure.join(caps, frame).where(F.col(depth) <= times * F.col("_cap")).select(*points.columns)
 
 
+def sure_enough(points: DataFrame, conf: str, least: float, share: float = 0.5) -> DataFrame:
+    """Points at least so sure; where there is none, those from the given percentile on."""
+    found = percentiles(points, {"_p": (conf, share), "_top": (conf, 1.0)})
+    floor = found.select(F.when(F.col("_top") >= least, F.lit(float(least))).otherwise(F.col("_p")).alias("_floor"))
+    return points.crossJoin(F.broadcast(floor)).where(F.col(conf) >= F.col("_floor")).select(*points.columns)  # one row
+
+
 def floor_sample(points: DataFrame, opaque: Column, share: float = 0.01, axis: str = "y") -> DataFrame:
     """Opaque points in the lowest share of the axis."""
     held = points.where(opaque)

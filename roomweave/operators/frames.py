@@ -160,6 +160,19 @@ def order_map(rows: DataFrame, names: list, order: list) -> DataFrame:
     return numbered(numbered(rows, names, "orig_idx"), order, "sorted_idx")
 
 
+def zipped(a: DataFrame, a_order: list, b: DataFrame, b_order: list) -> DataFrame:
+    """Rows of two tables side by side by their place; tables of different lengths are an error."""
+    n, m = a.count(), b.count()
+    if n != m:
+        raise ValueError(f"{n} rows beside {m}")
+    return numbered(a, a_order).join(numbered(b, b_order), "rn").drop("rn")
+
+
+def first_frames(rows: DataFrame, order: list, most: int | None) -> DataFrame:
+    """The first frames in order, all without a limit."""
+    return rows if most is None else rows.orderBy(*order).limit(most)
+
+
 def stride_sample(rows: DataFrame, order: list, most: int) -> DataFrame:
     """Every n-th row, n = rows / most cut off (1 at least), at most ``most`` of them."""
     step = max(1, rows.count() // most)
@@ -178,6 +191,12 @@ def drop_blurred(rows: DataFrame, score: str, order: str, percent: float) -> Dat
     return numbered(rows.join(worst, order, "left_anti"), [order], "new_index").withColumn("new_name", F.format_string("frame_%04d", F.col("new_index")))
 
 
+def first_value(label: Column, table: dict[str, str], other: str) -> Column:
+    """The value of the first key that holds the label or that it holds, whatever their case; else the other one."""
+    low = F.lower(label)
+    return F.coalesce(*(F.when(low.contains(k) | F.lit(k).contains(low), v) for k, v in table.items()), F.lit(other))
+
+
 def first_label(labels: list[str]) -> Column:
     """For the column ``phrase``: the first label that holds it or that it holds; else the first that holds one of its words."""
     phrase = F.lower(F.col("phrase"))

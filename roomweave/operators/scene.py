@@ -82,6 +82,57 @@ def _fields() -> list[str]:
     return [f.split(":")[0] for f in OBJECT.removeprefix("struct<").removesuffix(">").replace("array<double>", "array").split(",")]
 
 
+def with_boxes(objects: DataFrame) -> DataFrame:
+    """objects with box, six numbers or null, and centre, three or null: bbox_3d or, where it is missing or empty, the two
+    ends; centroid_3d or, where it is missing, the middle of bbox_3d. Shorter arrays count as missing."""
+    long = lambda c, n: F.when(F.size(c) >= n, F.slice(c, 1, n))
+    whole, lo, hi = long("bbox_3d", 6), long("bbox_min", 3), long("bbox_max", 3)
+    ends = F.when(lo.isNotNull() & hi.isNotNull(), F.concat(lo, hi))
+    box = F.when(F.coalesce(F.size("bbox_3d"), F.lit(0)) > 0, whole).otherwise(ends)
+    middle = F.when(whole.isNotNull(), F.array(*((F.col("bbox_3d")[k] + F.col("bbox_3d")[k + 3]) / 2 for k in range(3))))
+    return objects.withColumns({"box": box, "centre": F.coalesce(long("centroid_3d", 3), middle)})
+
+
+def object_confidence(objects: DataFrame, conf: DataFrame, shape: DataFrame, size: float) -> DataFrame:
+    """objects by label with reconstruction_confidence and provenance from the cells of their boxes; without a box: 0, inferred."""
+    from roomweave.operators.voxels import box_confidence
+
+    boxes = with_boxes(objects).where("box IS NOT NULL").select("label", *(F.col("box")[k].alias(f"{p}{c}") for p, a in (("lo_", 0), ("hi_", 3)) for k, c in enumerate("xyz", a)))
+    found = box_confidence(boxes, conf, shape, size).withColumnsRenamed({"confidence": "reconstruction_confidence"})
+    return objects.drop("reconstruction_confidence", "provenance").join(found, "label", "left").withColumns({"reconstruction_confidence": F.coalesce("reconstruction_confidence", F.lit(0.0)), "provenance": F.coalesce("provenance", F.lit("inferred"))})
+
+
+def read_document(spark: SparkSession, path: str, build) -> DataFrame:
+    """One row with the JSON document at the path, in one line; where there is no such file, build() gives the row and its document is written there first."""
+    from roomweave.sinks.documents import write_document
+    from roomweave.sources.ranges import reachable
+
+    if not reachable(path):
+        write_document(build(), path)
+    return spark.read.text(path, wholetext=True).select(F.to_json(F.parse_json("value")).alias("document"))
+
+
+def read_share(spark: SparkSession, path: str, field: str = "pct_medium") -> float:
+    """A number of a document of measures; 0 where the file or the number is missing."""
+    from roomweave.sources.ranges import reachable
+
+    if not reachable(path):
+        return 0.0
+    return spark.read.text(path, wholetext=True).select(F.coalesce(F.get_json_object("value", f"$.{field}").try_cast("double"), F.lit(0.0))).first()[0]
+
+
+PROMPT = ("You answer questions about a room for a robot that plans its way.\nThe room as objects and their relations: {}\n"
+          "Give places as (X.Xm, Y.Ym, Z.Zm). With each object give its confidence: above 0.7 it was seen well, from 0.3 in part, below that it is a guess. "
+          "For a way, list its stops with their confidence and name those below 0.3.")
+
+
+def prompts(document: DataFrame, questions: list[str]) -> DataFrame:
+    """(question, prompt, message) for an answerer: the prompt holds the compact document, the message is the question."""
+    spark = document.sparkSession
+    before, behind = PROMPT.split("{}")
+    return spark.createDataFrame([(q,) for q in questions], "question string").crossJoin(F.broadcast(document)).select("question", F.concat(F.lit(before), "document", F.lit(behind)).alias("prompt"), F.col("question").alias("message"))
+
+
 def make_nodes(objects: DataFrame) -> DataFrame:
     """Nodes as a document holds them: places rounded to 4, volumes to 6 and confidences to 4 places, defaults for what is missing."""
     zero = F.array(*(F.lit(0.0),) * 3)
@@ -133,6 +184,11 @@ def room_layout(nodes: DataFrame, origin: str) -> DataFrame:
     return nodes.where(F.col("label") != origin).crossJoin(F.broadcast(start)).select("label", F.round(F.sqrt(d(0) * d(0) + d(1) * d(1) + d(2) * d(2)), 4).alias("distance_m"), F.round(F.degrees(F.atan2(d(2), d(0))), 2).alias("bearing"), "reconstruction_confidence", "provenance")
 
 
+def by_confidence(nodes: DataFrame) -> DataFrame:
+    """Nodes from the surest on, of equals in their order."""
+    return nodes.orderBy(F.desc("reconstruction_confidence"), "ord")
+
+
 def banner(nodes: DataFrame) -> DataFrame:
     """(label, bar, reconstruction_confidence, provenance): a bar of ten marks, cut off below the tenth; the surest objects are first when ordered by (confidence descending, ord)."""
     full = F.floor(F.col("reconstruction_confidence") * 10).cast("int")

@@ -35,7 +35,12 @@ def to_cells(points: DataFrame, shape: DataFrame, size: float) -> DataFrame:
 
 def density(points: DataFrame, shape: DataFrame, size: float) -> DataFrame:
     """(i, j, k, n, density): points in each cell, over the 95th percentile of filled cells, at most 1."""
-    counts = to_cells(points, shape, size).groupBy(*IJK).agg(F.count("*").alias("n"))
+    return relative(to_cells(points, shape, size).groupBy(*IJK).agg(F.count("*").alias("n")))
+
+
+def relative(counts: DataFrame) -> DataFrame:
+    """Counts (i, j, k, n) with density: over the 95th percentile, at most 1. Spark's percentile holds each count once with
+    its number of cells, and n points make no more than the root of 2 n different counts."""
     top = counts.agg(F.greatest(F.percentile("n", F.lit(0.95)), F.lit(1e-6)).alias("top"))
     return counts.crossJoin(F.broadcast(top)).withColumn("density", F.least(F.lit(1.0), F.col("n") / F.col("top"))).drop("top")
 
@@ -132,6 +137,22 @@ def face_components(cells: DataFrame, most_rounds: int = 500) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def topdown(points: DataFrame, size: float = 0.05, most: int = 4_000_000, u: str = "x", v: str = "z") -> DataFrame:
+    """(i, j, n, red, green, blue, alpha) of filled cells seen from above: the mean colour and 255 times the share of the
+    fullest cell's log(1 + n), both cut off. A grid of over ``most`` cells gets larger ones."""
+    ends = points.agg(*(f(c).alias(f"{n}{a}") for a, c in (("u", u), ("v", v)) for n, f in (("a", F.min), ("b", F.max))))
+    sides = lambda s: [F.greatest(F.lit(1), ((F.col(f"b{a}") - F.col(f"a{a}")) / s).cast("long") + 1) for a in "uv"]
+    w, h = sides(size)
+    grown = F.when(w * h > most, size * F.sqrt((w * h).cast("double") / most)).otherwise(F.lit(size))
+    ends = ends.withColumn("s", grown)
+    w, h = sides(F.col("s"))
+    ends = ends.withColumns({"w": w, "h": h})
+    cell_of = lambda c, a, n: F.greatest(F.lit(0), F.least(F.col(n) - 1, ((F.col(c) - F.col(f"a{a}")) / F.col("s")).cast("long")))
+    placed = points.crossJoin(F.broadcast(ends)).withColumns({"i": cell_of(u, "u", "w"), "j": cell_of(v, "v", "h")})
+    cells = placed.groupBy("i", "j").agg(F.count("*").alias("n"), *(F.avg(c).cast("int").alias(c) for c in ("red", "green", "blue")))
+    return cells.crossJoin(F.broadcast(cells.agg(F.max(F.log1p("n")).alias("most")))).withColumn("alpha", (F.log1p("n") / F.col("most") * 255).cast("int")).drop("most")
+
+
 def zone_report(cells: DataFrame, size: float, least: int = 200, origin: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
     """(zone_id, zone, size_voxels, x, y, z, volume_m3) of components of face_components with at least so many cells: the
     centre in the world, and the rank by size, of equals by zone. Zones are ranked by ranges, not in one task."""

@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 
 from roomweave.functions import camera
 from roomweave.functions import geometry as geo
-from roomweave.operators import alignment, crops, frames, images, masks, neighbours, paths, ranks, scene, voxels
-from roomweave.storage import written
+from roomweave.operators import alignment, crops, frames, images, masks, neighbours, paths, ranks, routes, scene, splats, voxels, world
+from roomweave.sinks import colmap as colmap_sink
+from roomweave.sinks import npy as npy_sink
+from roomweave.sinks import ply as ply_sink
+from roomweave.sources import colmap, files, ply
+from roomweave.storage import scratch, written
 
 SIZE = 0.25
 CLASSES = ["bed", "chair", "desk", "laptop", "lamp", "fan", "bin", "shelf", "door", "window"]
@@ -102,8 +106,8 @@ _PAIR = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z
 _ABOVE = "({a}.y > {b}.hi_y AND {a}.x BETWEEN {b}.lo_x - 0.15::DOUBLE AND {b}.hi_x + 0.15::DOUBLE AND {a}.z BETWEEN {b}.lo_z - 0.15::DOUBLE AND {b}.hi_z + 0.15::DOUBLE)"
 _WALLS = "('door', 'window', 'wall', 'shelf')"
 EDGES = f"""WITH {PTS}, {OBJS}, pair AS (SELECT a.label AS al, b.label AS bl, {_PAIR} AS d, CASE WHEN {_ABOVE.format(a='a', b='b')} THEN 1 WHEN {_ABOVE.format(a='b', b='a')} THEN 2 END AS up FROM objs a JOIN objs b ON a.ord < b.ord),
-walls AS (SELECT a.label AS al, b.label AS bl, {_PAIR} AS d, row_number() OVER (PARTITION BY a.ord ORDER BY {_PAIR}, b.ord) AS rn FROM objs a JOIN objs b ON a.ord <> b.ord WHERE a.label NOT IN {_WALLS} AND b.label IN {_WALLS} AND {_PAIR} <= 0.8::DOUBLE),
-three AS (SELECT a.label AS al, b.label AS bl, c.label AS cl, c.x - b.x AS ux, c.z - b.z AS uz, a.x - b.x AS vx, a.z - b.z AS vz, ({_PAIR} + {_PAIR.replace('b.', 'c.')}) / 2 AS d FROM objs b JOIN objs c ON b.ord < c.ord JOIN objs a ON a.ord <> b.ord AND a.ord <> c.ord),
+walls AS (SELECT a.label AS al, b.label AS bl, {_PAIR} AS d, row_number() OVER (PARTITION BY a.ord ORDER BY {_PAIR}, b.ord) AS rn FROM objs a JOIN objs b ON a.label <> b.label WHERE a.label NOT IN {_WALLS} AND b.label IN {_WALLS} AND {_PAIR} <= 0.8::DOUBLE),
+three AS (SELECT a.label AS al, b.label AS bl, c.label AS cl, c.x - b.x AS ux, c.z - b.z AS uz, a.x - b.x AS vx, a.z - b.z AS vz, ({_PAIR} + {_PAIR.replace('b.', 'c.')}) / 2 AS d FROM objs b JOIN objs c ON b.ord < c.ord JOIN objs a ON a.label <> b.label AND a.label <> c.label),
 placed AS (SELECT *, CASE WHEN ux * ux + uz * uz >= 1e-9::DOUBLE THEN (vx * ux + vz * uz) / nullif(ux * ux + uz * uz, 0) END AS t FROM three),
 edges AS (SELECT CASE up WHEN 1 THEN al ELSE bl END AS source, CASE up WHEN 1 THEN bl ELSE al END AS target, NULL::VARCHAR AS target_1, NULL::VARCHAR AS target_2, 'on_top_of' AS relation, NULL::VARCHAR AS nearest_wall_obj, round(d, 4) AS distance_m FROM pair WHERE up IS NOT NULL
 UNION ALL SELECT least(al, bl), greatest(al, bl), NULL, NULL, 'next_to', NULL, round(d, 4) FROM pair WHERE up IS NULL AND d < 0.8::DOUBLE
@@ -699,3 +703,91 @@ def E22_F32_batch_alignment(spark, d):
     pairs = alignment.pair_similarities(rows.where("batch > 0 AND rn % 8 < 4").select("track", "batch", *(c.alias(n) for n, c in moved.items())))
     chained = alignment.registered(pairs, rows.where("rn = 0").select("track", "batch"))
     return chained.join(pairs.select("track", "batch", "n", "error"), ["track", "batch"], "left")
+
+
+_SPLATS = ("s0 AS (SELECT vec_id AS pid, embedding[1]::DOUBLE * 10 AS x, embedding[2]::DOUBLE * 10 AS y, embedding[3]::DOUBLE * 10 AS z, list_sort([exp(embedding[4]::DOUBLE * 10 - 1.5), exp(embedding[5]::DOUBLE * 10 - 1.5), exp(embedding[6]::DOUBLE * 10 - 1.5)], 'DESC') AS s, "
+           "embedding[7]::DOUBLE AS qw, embedding[8]::DOUBLE AS qx, embedding[9]::DOUBLE AS qy, embedding[10]::DOUBLE AS qz FROM embeddings), "
+           "s1 AS (SELECT *, sqrt(qw * qw + qx * qx + qy * qy + qz * qz) AS l FROM s0), s2 AS (SELECT pid, x, y, z, s, qw / l AS w, qx / l AS a, qy / l AS b, qz / l AS c, least(200, greatest(1, ceil(2 * s[1] / 0.1::DOUBLE)))::BIGINT AS n0, least(200, greatest(1, ceil(2 * s[2] / 0.1::DOUBLE)))::BIGINT AS n1 FROM s1)")
+
+
+def _splats(spark, d):
+    e = lambda k: F.element_at("embedding", k).cast("double")
+    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("pid"), *((e(k) * 10).alias(c) for k, c in enumerate("xyz", 1)), F.array(*(e(k) * 10 - 1.5 for k in (4, 5, 6))).alias("scale"), F.array(*(e(k) for k in (7, 8, 9, 10))).alias("rot"))
+
+
+@query(f"""WITH {_SPLATS}, g AS (SELECT *, unnest(range(0, n0 * n1)) AS sample FROM s2 WHERE s[1] >= 0.3::DOUBLE AND n0 * n1 > 1),
+h AS (SELECT *, CASE WHEN n0 = 1 THEN -s[1] ELSE 2 * s[1] * (sample % n0) / (n0 - 1) - s[1] END AS p, CASE WHEN n1 = 1 THEN -s[2] ELSE 2 * s[2] * (sample // n0) / (n1 - 1) - s[2] END AS q FROM g),
+m AS (SELECT pid, sample, x + (1 - 2 * (b * b + c * c)) * p + 2 * (a * b - w * c) * q AS x, y + 2 * (a * b + w * c) * p + (1 - 2 * (a * a + c * c)) * q AS y, z + 2 * (a * c - w * b) * p + 2 * (b * c + w * a) * q AS z FROM h
+UNION ALL SELECT pid, 0, x, y, z FROM s2 WHERE NOT (s[1] >= 0.3::DOUBLE AND n0 * n1 > 1)),
+e AS (SELECT min(x) AS ax, max(x) AS bx, min(y) AS ay, max(y) AS b_y, min(z) AS az, max(z) AS bz FROM s0)
+SELECT pid, sample, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM m, e WHERE x BETWEEN ax - 0.2::DOUBLE * (bx - ax) AND bx + 0.2::DOUBLE * (bx - ax) AND y BETWEEN ay - 0.2::DOUBLE * (b_y - ay) AND b_y + 0.2::DOUBLE * (b_y - ay) AND z BETWEEN az - 0.2::DOUBLE * (bz - az) AND bz + 0.2::DOUBLE * (bz - az)""")
+def C21_D6_inflated_splats(spark, d):
+    """Large splats as rotated grids of points, small ones as centres, within the box of all centres and a fifth more."""
+    held = _splats(spark, d)
+    return splats.within_bounds(splats.inflate(held, "pid", 0.1, 0.3), held).select("pid", "sample", r6("x"), r6("y"), r6("z"))
+
+
+@query(f"""WITH {EVPTS}, p AS (SELECT x, z, pid % 256 AS red, pid * 7 % 256 AS green, pid * 31 % 256 AS blue FROM evpts), e AS (SELECT min(x) AS ax, max(x) AS bx, min(z) AS az, max(z) AS bz FROM p),
+e1 AS (SELECT *, greatest(1, trunc((bx - ax) / 0.05::DOUBLE)::BIGINT + 1) * greatest(1, trunc((bz - az) / 0.05::DOUBLE)::BIGINT + 1) AS cells FROM e), e2 AS (SELECT *, CASE WHEN cells > 400 THEN 0.05::DOUBLE * sqrt(cells::DOUBLE / 400) ELSE 0.05::DOUBLE END AS s FROM e1),
+e3 AS (SELECT *, greatest(1, trunc((bx - ax) / s)::BIGINT + 1) AS w, greatest(1, trunc((bz - az) / s)::BIGINT + 1) AS h FROM e2),
+c AS (SELECT greatest(0, least(w - 1, trunc((x - ax) / s)::BIGINT)) AS i, greatest(0, least(h - 1, trunc((z - az) / s)::BIGINT)) AS j, count(*) AS n, trunc(avg(red))::INT AS red, trunc(avg(green))::INT AS green, trunc(avg(blue))::INT AS blue FROM p, e3 GROUP BY 1, 2)
+SELECT *, trunc(ln(1 + n) / max(ln(1 + n)) OVER () * 255)::INT AS alpha FROM c""")
+def F11_topdown_colours(spark, d):
+    """Counts, mean colours and opacity of the cells of a floor plan, in a grid kept to 400 cells."""
+    points = evpts(spark, d).select("x", "z", *((F.col("pid") * k % 256).alias(c) for k, c in ((1, "red"), (7, "green"), (31, "blue"))))
+    return voxels.topdown(points, 0.05, 400)
+
+
+@query(f"WITH {EVPTS}, f AS (SELECT CASE WHEN max(conf) >= 5 THEN 5 ELSE quantile_cont(conf, 0.5) END AS f FROM evpts) SELECT pid FROM evpts, f WHERE conf >= f")
+def D10_adaptive_floor(spark, d):
+    """No point is as sure as asked for, so those from the median on are kept."""
+    return crops.sure_enough(evpts(spark, d), "conf", 5.0).select("pid")
+
+
+@query(EDGES.replace("WITH ", "WITH RECURSIVE ", 1) + f""", {EVPTS}, seen AS (SELECT (pid % 10 + 1)::INT AS o, avg(conf) AS c FROM evpts GROUP BY 1), n AS (SELECT label, round_even(coalesce(c, 0), 4) AS conf FROM objs LEFT JOIN seen ON o = ord),
+l AS (SELECT DISTINCT source AS a, target AS b FROM edges WHERE relation = 'next_to' AND source <> target), e AS (SELECT row_number() OVER (ORDER BY least(x.conf, y.conf) DESC, a, b) AS r, a, b FROM l JOIN n x ON x.label = a JOIN n y ON y.label = b),
+reach(r, n) AS (SELECT r, a FROM e UNION SELECT reach.r, CASE WHEN x.a = reach.n THEN x.b ELSE x.a END FROM reach JOIN e x ON x.r < reach.r AND (x.a = reach.n OR x.b = reach.n))
+SELECT a, b FROM e WHERE NOT EXISTS (SELECT 1 FROM reach WHERE reach.r = e.r AND reach.n = e.b)""")
+def N9_safest_forest(spark, d):
+    """The links between neighbours along which every safest path runs."""
+    nodes = _nodes(spark, d).select(F.col("label").alias("id"), F.col("reconstruction_confidence").alias("conf"))
+    links = scene.edges(objs(spark, d)).where("relation = 'next_to'").select(F.col("source").alias("a"), F.col("target").alias("b"))
+    return routes.safest_forest(nodes, links)
+
+
+@query(f"WITH {PTS} SELECT row_number() OVER (ORDER BY pid) - 1 AS row, " + ", ".join(f"round({c}::FLOAT::DOUBLE, 6) AS {c}" for c in "xyz") + ", (class_idx * 20)::INT AS red, (pid % 256)::INT AS green, (pid % 7)::INT AS blue FROM pts")
+def B1_A2_point_file(spark, d):
+    """A coloured cloud written as one file by all tasks, and read again in ranges of bytes."""
+    cloud = pts(spark, d).select("pid", *"xyz", (F.col("class_idx") * 20).alias("red"), (F.col("pid") % 256).alias("green"), (F.col("pid") % 7).alias("blue"))
+    path = f"{scratch(spark)}/cloud.ply"
+    ply_sink.write_ply(cloud.repartitionByRange("pid").sortWithinPartitions("pid"), path)
+    return ply.coloured(ply.read_ply(spark, path, split=1 << 16)).select("row", *map(r6, "xyz"), "red", "green", "blue")
+
+
+@query(f"WITH {PTS} SELECT pid AS point3d_id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, (pid % 256)::INT AS red, class_idx::INT AS image_id, k::INT AS point2d_idx FROM pts, generate_series(0, 9) AS g(k) WHERE k < class_idx")
+def B7_A12_points_file(spark, d):
+    """Points with tracks of different lengths written as one file, and read again in ranges that one task has found."""
+    track = F.transform(F.sequence(F.lit(0), (F.col("class_idx") - 1).cast("int")), lambda k: F.struct(F.col("class_idx").cast("int").alias("image_id"), k.alias("point2d_idx")))
+    rows = pts(spark, d).select(F.col("pid").cast("long").alias("point3d_id"), *"xyz", (F.col("pid") % 256).cast("int").alias("red"), F.lit(0).alias("green"), F.lit(0).alias("blue"), F.lit(0.5).alias("error"), track.alias("track"))
+    path = f"{scratch(spark)}/points3D.bin"
+    colmap_sink.write_table(rows, path, "points3D")
+    found = colmap.read_points3d(spark, path, split=1 << 16)
+    return found.select("point3d_id", r6("x"), r6("y"), r6("z"), "red", F.explode("track").alias("t")).select("point3d_id", "x", "y", "z", "red", "t.image_id", "t.point2d_idx")
+
+
+@query(ALL + "SELECT i, j, k, round(confidence::FLOAT::DOUBLE, 6) AS confidence FROM conf WHERE confidence::FLOAT > 0")
+def B11_A23_confidence_array(spark, d):
+    """The confidence map as a dense array in a file, empty cells 0, and its filled cells read again in ranges."""
+    _, shape, conf = _confidence(spark, d)
+    n = shape.select("nx", "ny", "nz").first()  # one row
+    path = f"{scratch(spark)}/confidence.npy"
+    npy_sink.write_npy(conf, path, tuple(n), ["i", "j", "k"], "confidence")
+    return files.read_npy(spark, path, split=1 << 14).where("value > 0").select(*(F.col("index")[k].alias(c) for k, c in enumerate("ijk")), r6("value", "confidence"))
+
+
+@query(None)
+def J11_normal_position(spark, d):
+    """Points turned, moved and scaled by their cameras and their own axes; matrices are beyond SQL, a test moves them at random."""
+    one = F.array(*(F.lit(float(v)) for v in (1, 0, 0, 0, 1, 0, 0, 0, 1)))
+    cameras = cams(spark, d).select("camera", *"xyz", one.alias("r"))
+    return world.normalised(cameras, evpts(spark, d).select("pid", *"xyz"))[1].select("pid", r6("x"), r6("y"), r6("z"))

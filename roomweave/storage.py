@@ -24,3 +24,9 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new name of a folder within that of checkpoints, for files that are written and read again."""
+    set_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/files-{uuid4().hex}"
