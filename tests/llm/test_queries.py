@@ -668,3 +668,23 @@ def test_op13_columns(spark):
     got = periodic.find_runs(table).collect()
     assert sorted((r.row.doc_id, r.row.runs, r.n_words, [tuple(x) for x in r.runs], r.collapsed) for r in got) == [(1, "x", 18, [(0, 18, 2)], "a b")] * 2 + [(2, "y", 0, [], "")]
     assert periodic.find_runs(table.limit(0)).count() == 0
+
+
+def test_op8_op10_empty_and_columns(spark, tmp_path):
+    """Empty tables; columns named like those of the results; vectors of several lengths, each compared with its own."""
+    from roomweave.llm import ann
+
+    vectors = [(50 * k, [float(k), 1.0, 0.5][: 1 + k % 3], k, 0.0, "x") for k in range(9)] + [(50 * k + 1, [1.0, float(k), 2.0][: 1 + k % 3], k, 0.0, "x") for k in range(9)]
+    schema = "vec_id long, embedding array<float>, rank int, score double, block string"
+    spark.createDataFrame(vectors, schema).write.parquet(f"{tmp_path}/embeddings.parquet")
+    table = [(r[0], r[1]) for r in vectors]
+    want = [row for n in (1, 2, 3) for row in nearest([r for r in table if len(r[1]) == n])]
+    got = q.op8_nearest(spark, str(tmp_path))
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got.collect()) == sorted(x[:3] for x in want)
+    nothing = spark.createDataFrame([], schema)
+    assert ann.nearest(nothing, nothing, k=5).count() == 0
+    rows = "conv_id long, turn long, role string, text string, turns string, record int, layout string"
+    spark.createDataFrame([], rows).write.parquet(f"{tmp_path}/a/conversations.parquet")
+    spark.createDataFrame([(1, 0, "user", "a", "t", 1, "l")], rows).write.parquet(f"{tmp_path}/b/conversations.parquet")
+    assert [r.conv_id for r in q.op10_chat(spark, f"{tmp_path}/a").collect()] == [-7]
+    assert sorted((r.conv_id, r.n_turns) for r in q.op10_chat(spark, f"{tmp_path}/b").collect()) == [(-7, 2), (1, 1)]
