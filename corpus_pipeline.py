@@ -6,7 +6,7 @@ columns of documents, with n_chars as of the new text.
 
 from __future__ import annotations
 
-from hashlib import md5
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -21,7 +21,7 @@ def _with_text(columns: list[str], text) -> list:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go: also null, empty and short texts. Equal rows are judged alike and all stay or go."""
     return quality.judge(docs).where("kept").select("row.*")
 
 
@@ -49,12 +49,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pii_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and secrets are replaced by their kind."""
+    """Personal data and secrets are replaced by their kind; a null text becomes an empty one, equal rows all stay."""
     found = pii.with_masked(pii.find_spans(docs))
     return found.select(*_with_text(docs.columns, F.col("masked")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 tokens. A null or empty text is the end token alone; each of equal rows is packed."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -67,12 +68,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn, from the table of documents; what is between them goes to the checkpoint folder."""
+    """The stages in turn, from the table of documents; what is between them goes to a new folder within that of checkpoints.
+
+    All stages but the last are computed at once; the result is lazy and reads what the last but one has written.
+    """
     set_checkpoint_dir(spark)
     folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, own = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{folder}/pipeline-{uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
-        path = f"{folder}/pipeline-{spark.sparkContext.applicationId}-{md5(sf_dir.encode()).hexdigest()[:12]}/{k}"
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        path = f"{own}/{k}"
+        stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roomweave.operators.masks import decode_mask
 from roomweave.storage import set_checkpoint_dir
 
 BINS = 64
+BLOCK = 2048  # frames of a block
+PLACES = 9  # of correlations that are compared
 
 
 def sharpness(pixels: Column, width: int, height: int) -> Column:
@@ -77,3 +81,50 @@ def inpaint(frames: DataFrame) -> DataFrame:
             yield pd.DataFrame({"frame": f.frame, "height": f.height, "width": f.width, "pixels": filled})
 
     return frames.select("frame", "height", "width", "pixels", "counts").mapInPandas(run, f"frame {dict(frames.dtypes)['frame']}, height int, width int, pixels binary")
+
+
+def most_alike(shares: DataFrame, k: int) -> DataFrame:
+    """(frame, rank from 1, other, correlation): for each frame the k others whose histograms (frame, bin, share) go with its own most.
+
+    Correlations over all bins, empty ones included, are rounded to PLACES before they are compared; of equals the smaller
+    frame comes first.  Frames of one share in every bin have none and take no part.
+
+    Frames are dealt into blocks by a hash; each block meets each block once, as a product of two matrices of BLOCK rows,
+    of which only the k best a frame are sent on.  So the matrix of all frames is never there.
+    """
+    set_checkpoint_dir(shares.sparkSession)
+    n = max(1, -(-shares.select("frame").distinct().count() // BLOCK))
+    vectors = shares.groupBy("frame").agg(F.map_from_entries(F.collect_list(F.struct("bin", "share"))).alias("m"))  # BINS entries at most
+    dense = vectors.select("frame", F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0.0))).alias("v"), F.pmod(F.xxhash64("frame"), F.lit(n)).cast("int").alias("block"))
+
+    def gather(table: pa.Table) -> pa.Table:
+        v = np.array(table["v"].to_pylist(), float).reshape(-1, BINS)
+        v -= v.mean(1, keepdims=True)
+        norm = np.sqrt((v * v).sum(1))
+        held = norm > 1e-9
+        ids = table["frame"].to_numpy()[held].astype("<i8")
+        return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int32()), "ids": [ids.tobytes()], "unit": [(v[held] / norm[held, None]).tobytes()]})
+
+    blocks = dense.groupBy("block").applyInArrow(gather, "block int, ids binary, unit binary").checkpoint()
+
+    def tiles(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                a_ids, b_ids = (np.frombuffer(r[c], "<i8") for c in ("a_ids", "b_ids"))
+                a, b = (np.frombuffer(r[c]).reshape(-1, BINS) for c in ("a_unit", "b_unit"))
+                order = np.argsort(b_ids)
+                b_ids, b = b_ids[order], b[order]
+                score = np.round(a @ b.T, PLACES)
+                score[a_ids[:, None] == b_ids[None, :]] = -np.inf
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]  # of equals the smaller frame, as columns ascend
+                found = np.take_along_axis(score, best, 1)
+                held = np.isfinite(found)
+                yield pa.record_batch([pa.array(np.repeat(a_ids, best.shape[1]).reshape(best.shape)[held]), pa.array(b_ids[best[held]]), pa.array(found[held])], names=["frame", "other", "correlation"])
+
+    named = lambda p: blocks.select(*(F.col(c).alias(f"{p}_{c}") for c in ("block", "ids", "unit")))
+    # A row for each pair of blocks, with their numbers only; the blocks themselves follow by joins.
+    each = shares.sparkSession.range(n * n).select((F.col("id") % n).cast("int").alias("a_block"), F.floor(F.col("id") / n).cast("int").alias("b_block"))
+    met = each.join(named("a"), "a_block").join(named("b"), "b_block").repartition(min(10_000, n * n), "a_block", "b_block")
+    found = met.mapInArrow(tiles, "frame long, other long, correlation double")
+    first = W.partitionBy("frame").orderBy(F.desc("correlation"), "other")
+    return found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("frame", "rank", "other", "correlation")

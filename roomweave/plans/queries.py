@@ -791,3 +791,25 @@ def J11_normal_position(spark, d):
     one = F.array(*(F.lit(float(v)) for v in (1, 0, 0, 0, 1, 0, 0, 0, 1)))
     cameras = cams(spark, d).select("camera", *"xyz", one.alias("r"))
     return world.normalised(cameras, evpts(spark, d).select("pid", *"xyz"))[1].select("pid", r6("x"), r6("y"), r6("z"))
+
+
+@query(f"WITH {EVPTS} SELECT label, count(*) AS n FROM (SELECT DISTINCT label, x, y, z FROM evpts) GROUP BY 1")
+def I2_exact_distinct(spark, d):
+    """Points of each label that differ in a coordinate, however little."""
+    return evpts(spark, d).select("label", "x", "y", "z").distinct().groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {CAMS.replace('evpts', '(SELECT event_id AS pid, value / 100.0::DOUBLE AS x, (user_id % 20) * 0.1::DOUBLE AS y, minute(ts) / 20.0::DOUBLE AS z, user_id AS frame_num FROM events)')}, s AS (SELECT camera, x * 100 + 1 AS w, y * 100 + 1 AS h FROM cams) SELECT camera, round(500 * greatest(w, h) / 518, 6) AS fx, round(400 * greatest(w, h) / 518, 6) AS fy, round(w / 2, 6) AS cx, round(h / 2, 6) AS cy FROM s")
+def C17_scaled_intrinsics(spark, d):
+    """Focal lengths of a square of 518 pixels, at the size of each camera's image."""
+    sized = cams(spark, d).select("camera", (F.col("x") * 100 + 1).alias("w"), (F.col("y") * 100 + 1).alias("h"))
+    made = camera.scaled_intrinsics(F.lit(500.0), F.lit(400.0), F.col("w"), F.col("h"), 518)
+    return sized.select("camera", *(r6(c, n) for c, n in zip(made, ("fx", "fy", "cx", "cy"))))
+
+
+@query(_SHARES + """, q AS (SELECT frame, sum(share * share) - 1 / 64.0::DOUBLE AS q FROM s GROUP BY 1 HAVING sum(share * share) - 1 / 64.0::DOUBLE > 1e-18), dot AS (SELECT a.frame AS a, b.frame AS b, sum(a.share * b.share) AS p FROM s a JOIN s b USING (bin) GROUP BY 1, 2),
+cc AS (SELECT x.frame AS frame, y.frame AS other, round((coalesce(p, 0) - 1 / 64.0::DOUBLE) / sqrt(x.q * y.q), 9) AS correlation FROM q x JOIN q y ON x.frame <> y.frame LEFT JOIN dot ON a = x.frame AND b = y.frame),
+r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY correlation DESC, other)::INT AS rank FROM cc) SELECT frame, rank, other, round(correlation, 6) AS correlation FROM r WHERE rank <= 3""")
+def F25_most_alike(spark, d):
+    """The three frames whose histograms correlate most with each frame's."""
+    return images.most_alike(images.histograms(_greys(spark, d)), 3).select("frame", "rank", "other", r6("correlation"))

@@ -144,6 +144,18 @@ def observations(images: DataFrame, points: DataFrame) -> DataFrame:
     return seen.select("image_id", F.col("o.x").alias("u"), F.col("o.y").alias("v"), "o.point3d_id").join(points.select("point3d_id", "x", "y", "z"), "point3d_id")
 
 
+def dataset(images: DataFrame, cameras: DataFrame, every: int = 8) -> DataFrame:
+    """views() in order of names: index from 0, split (every so many is test, from the first on), cx_w, cy_w, cz_w (the camera's place)."""
+    from roomweave.functions.geometry import quaternion_matrix
+    from roomweave.operators.frames import numbered
+
+    r = quaternion_matrix(*(F.col(c) for c in ("qw", "qx", "qy", "qz")))
+    t = [F.col(c) for c in ("tx", "ty", "tz")]
+    centre = [-(r[k] * t[0] + r[3 + k] * t[1] + r[6 + k] * t[2]) for k in range(3)]
+    placed = numbered(views(images, cameras), ["name", "image_id"], "index")
+    return placed.withColumns({"split": F.when(F.col("index") % every == 0, "test").otherwise("train")} | {f"{c}_w": x for c, x in zip(("cx", "cy", "cz"), centre)})
+
+
 def _pack_camera(r) -> bytes:
     number, count = NUMBERS[r["model"]]
     return struct.pack(f"<iiQQ{count}d", r["camera_id"], number, r["width"], r["height"], *r["params"][:count])

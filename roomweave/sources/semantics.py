@@ -28,3 +28,12 @@ def last_of_number(rows: DataFrame) -> DataFrame:
     """Of files with one frame number, the last by name; rows without a number are left out."""
     numbered = rows.where("frame IS NOT NULL")
     return numbered.join(numbered.groupBy("frame").agg(F.max("file").alias("file")), ["frame", "file"], "left_semi")
+
+
+def with_poses(rows: DataFrame, poses: DataFrame) -> DataFrame:
+    """Entries beside the pose whose name without folder and ending is their stem; entries without a pose are left out.
+
+    poses: (name, ...); poses are few to entries, and of several with one stem each entry gets all.
+    """
+    stem = F.regexp_extract("name", r"([^/]*?)(?:\.[^./]*)?$", 1)
+    return rows.join(poses.withColumn("stem", stem), "stem")

@@ -12,8 +12,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from roomweave.operators import crops, frames, masks, models, routes, scene, splats, voxels, world
-from roomweave.sources import cameras, images
+from roomweave.operators import crops, frames
+from roomweave.operators import images as pixels_of
+from roomweave.operators import masks, models, routes, scene, splats, voxels, world
+from roomweave.sources import cameras, colmap, images, semantics
 
 
 def matrix(w, x, y, z):
@@ -228,3 +230,63 @@ def test_small_ones(spark):
     assert crops.sure_enough(points, "conf", 4.0).count() == 2 and crops.sure_enough(points, "conf", 9.0).count() == 3 and crops.sure_enough(points.limit(0), "conf", 1.0).count() == 0
     cells = voxels.topdown(spark.createDataFrame([(0.0, 0.0, 10, 20, 30), (0.01, 0.0, 20, 20, 31), (1.0, 2.0, 0, 0, 0)], "x double, z double, red int, green int, blue int")).collect()
     assert sorted(tuple(r) for r in cells) == [(0, 0, 2, 15, 20, 30, 255), (20, 40, 1, 0, 0, 0, 160)]
+
+
+def test_dataset_and_poses(spark, tmp_path):
+    views = [(k, 1.0, 0.0, 0.0, 0.0, float(k), 2.0, 3.0, 1 + k % 2, f"{9 - k}.jpg", []) for k in range(10)]
+    held = spark.createDataFrame([(1, "PINHOLE", 640, 480, [5.0, 6.0, 7.0, 8.0])], colmap.CAMERA)
+    got = colmap.dataset(spark.createDataFrame(views, colmap.IMAGE), held, every=4).orderBy("index").collect()
+    assert [(r["index"], r.name, r.split, r.cx_w, r.fx) for r in got] == [(i, f"{n}.jpg", "test" if i % 4 == 0 else "train", -float(9 - n), 5.0) for i, n in enumerate((1, 3, 5, 7, 9))]
+    (tmp_path / "frame_01.json").write_text('{"desk": {"bbox": [0, 0, 1, 1], "confidence": 0.5}}')
+    (tmp_path / "frame_02.json").write_text('{"desk": {"bbox": [0, 0, 1, 1], "confidence": 0.5}}')
+    poses = spark.createDataFrame([("images/frame_01.jpg", 1), ("frame_03.png", 3)], "name string, at int")
+    assert [(r.stem, r.label, r.at) for r in semantics.with_poses(semantics.read_semantics(spark, str(tmp_path)), poses).collect()] == [("frame_01", "desk", 1)]
+
+
+def test_commands(spark, sf_dir, tmp_path, capsys):
+    """Settings from the line, a file and the usual ones; each command on small files."""
+    from roomweave.__main__ import main
+    from roomweave.settings import Settings, read_settings
+    from roomweave.sinks import ply as ply_sink
+
+    (tmp_path / "c.json").write_text('{"confidence": {"voxel_size": 0.5, "camera_range": 2}, "min_zone_voxels": 7, "other": "x"}')
+    assert read_settings(None) == Settings() and read_settings(str(tmp_path / "c.json"), {"voxel_size": 0.25, "camera_range": None}) == Settings(voxel_size=0.25, camera_range=2.0, min_zone_voxels=7)
+    with pytest.raises(ValueError):
+        read_settings(str(tmp_path / "c.json"), {"voxel_size": "wide"})
+    main(["list"])
+    assert "confidence_map" in capsys.readouterr().out.split()
+    main(["run", "room_summary", sf_dir, str(tmp_path / "room")])
+    assert spark.read.parquet(str(tmp_path / "room")).count() == 1
+    cloud = spark.range(200).select(*((F.col("id") % n / 10.0).alias(c) for c, n in zip("xyz", (7, 11, 13))), *(F.lit(1).alias(c) for c in ("red", "green", "blue")))
+    ply_sink.write_ply(cloud, str(tmp_path / "a.ply"))
+    (tmp_path / "p.json").write_text(json.dumps({"frames": [{"file_path": "a", "transform_matrix": [[1, 0, 0, 0.3], [0, 1, 0, 0.5], [0, 0, 1, -1.0], [0, 0, 0, 1]]}]}))
+    main(["confidence", str(tmp_path / "a.ply"), str(tmp_path / "p.json"), str(tmp_path / "conf"), "--config", str(tmp_path / "c.json")])
+    found = spark.read.parquet(str(tmp_path / "conf"))
+    assert found.count() > 10 and found.agg(F.max("confidence")).first()[0] <= 1.0
+    (tmp_path / "o.json").write_text(json.dumps({"desk": {"centroid_3d": [0, 0, 0], "bbox_min": [0, 0, 0], "bbox_max": [1, 1, 1]}, "lamp": {"centroid_3d": [0.1, 0, 0], "bbox_min": [0, 0, 0], "bbox_max": [1, 1, 1]}}))
+    main(["graph", str(tmp_path / "o.json"), str(tmp_path / "g.json")])
+    graph = json.loads((tmp_path / "g.json").read_text())
+    assert [e["relation"] for e in graph["edges"]] == ["next_to"] and len(graph["nodes"]) == 2
+
+
+def test_scaled_boxes():
+    e = {"class_idx": 3, "conf": 0.9, "ord": 0, "x": 1.0, "y": 1.0, "w": 2.0, "h": 1.0, "mask_height": 4, "mask_width": 5, "counts": None}
+    for scale, want in ((False, masks.box_mask(1, 1, 2, 1, 8, 20)), (True, masks.box_mask(4, 2, 8, 2, 8, 20))):
+        assert (masks.paint_image([e], 8, 20, 0.25, 0.3, 0, scale) == 3 * want).all()
+
+
+def test_most_alike(spark, monkeypatch):
+    """Several blocks, equal histograms, a flat one, fewer frames than asked for, against the whole matrix."""
+    rng = np.random.default_rng(4)
+    rows = {k: rng.dirichlet(np.full(64, 0.05)) for k in range(60)} | {70: np.full(64, 1 / 64)}
+    rows[61] = rows[60 - 1]
+    shares = spark.createDataFrame([(k, b, float(x)) for k, v in rows.items() for b, x in enumerate(v) if x > 0], "frame long, bin int, share double")
+    want = []
+    for a, x in rows.items():
+        score = [(-round(float(np.corrcoef(x, y)[0, 1]), 9), b) for b, y in rows.items() if b != a and 70 not in (a, b)]
+        want += [(a, rank, b, -s) for rank, (s, b) in enumerate(sorted(score)[:4], 1)]
+    for block in (7, 2048):
+        monkeypatch.setattr(pixels_of, "BLOCK", block)
+        got = sorted(tuple(r) for r in pixels_of.most_alike(shares, 4).collect())
+        assert [r[:3] for r in got] == [r[:3] for r in sorted(want)] and np.allclose([r[3] for r in got], [r[3] for r in sorted(want)])
+    assert pixels_of.most_alike(shares.where("frame < 2"), 5).count() == 2 and pixels_of.most_alike(shares.limit(0), 3).count() == 0
