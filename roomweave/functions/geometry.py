@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 SH_C0 = 0.28209479177387814  # fixed value: zeroth spherical-harmonics basis
 
 
+def generated(**columns: Column) -> Column:
+    """One row a row with a struct of the columns, each computed once.
+
+    Spark writes a plain column's expression out wherever later ones use it; long ones then grow past what is compiled.
+    """
+    return F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))
+
+
 def sigmoid(x: Column, most: float | None = None) -> Column:
     """most: x is cut to plus or minus this first."""
     x = x if most is None else F.least(F.lit(most), F.greatest(F.lit(-most), x))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from roomweave.functions.geometry import bucket, lerp, pixel, slerp
+from roomweave.functions.geometry import bucket, generated, lerp, pixel, slerp
 from roomweave.storage import set_checkpoint_dir
 
 
@@ -58,11 +58,10 @@ def project(points: DataFrame, cameras: DataFrame, near: float = 0.05, block: fl
     split = views.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("held", "parts").repartition(tasks, *at, "part")
     few = blocks.select(*at, "parts").where("parts > 1")
     dealt = held.join(few, at, "left").withColumn("part", F.pmod(F.xxhash64("pid"), F.coalesce("parts", F.lit(1))).cast("int")).select("pid", "x", "y", "z", *at, "part").repartition(tasks, *at, "part")
-    # Generated columns are computed once a pair; as plain ones they would be written out in the join's condition again and again.
-    once = lambda **columns: F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))
+    # As plain columns these would be written out in the join's condition again and again.
     axes = _seen_by(F.col("x"), F.col("y"), F.col("z"))
-    seen = split.hint("merge").join(dealt, [*at, "part"]).select("frame", "pid", "fx", "fy", "cx", "cy", "width", "height", once(x=axes[0], y=axes[1], z=axes[2]).alias("c")).where(F.col("c.z") > near)
-    placed = seen.select("frame", "pid", "width", "height", once(u=pixel(F.col("c.x"), F.col("c.z"), F.col("fx"), F.col("cx")), v=pixel(F.col("c.y"), F.col("c.z"), F.col("fy"), F.col("cy"))).alias("p"))
+    seen = split.hint("merge").join(dealt, [*at, "part"]).select("frame", "pid", "fx", "fy", "cx", "cy", "width", "height", generated(x=axes[0], y=axes[1], z=axes[2]).alias("c")).where(F.col("c.z") > near)
+    placed = seen.select("frame", "pid", "width", "height", generated(u=pixel(F.col("c.x"), F.col("c.z"), F.col("fx"), F.col("cx")), v=pixel(F.col("c.y"), F.col("c.z"), F.col("fy"), F.col("cy"))).alias("p"))
     return placed.where("p.u >= 0 AND p.u < width AND p.v >= 0 AND p.v < height").select("frame", "pid", "p.u", "p.v")
 
 

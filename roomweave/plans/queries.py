@@ -517,8 +517,10 @@ def C10_packed_quaternions(spark, d):
 @query(f"WITH {PTS}, q AS (SELECT pid, 1 / sqrt(x * x + y * y + z * z + 1) AS w, x / sqrt(x * x + y * y + z * z + 1) AS a, y / sqrt(x * x + y * y + z * z + 1) AS b, z / sqrt(x * x + y * y + z * z + 1) AS c FROM pts) SELECT pid, round(w, 6) AS w, round(a, 6) AS x, round(b, 6) AS y, round(c, 6) AS z FROM q")
 def C11_C12_quaternion_round_trip(spark, d):
     """A quaternion to a matrix and back, by whichever of its parts is largest; w is positive here."""
-    back = camera.matrix_quaternion(geo.quaternion_matrix(F.lit(1.0), *(F.col(c) for c in "xyz")))
-    return pts(spark, d).select("pid", *(F.round(F.when(back[0] < 0, -c).otherwise(c), 6).alias(n) for c, n in zip(back, "wxyz")))
+    turned = geo.quaternion_matrix(F.lit(1.0), *(F.col(c) for c in "xyz"))
+    back = camera.matrix_quaternion([F.col(f"m.r{k}") for k in range(9)])
+    rows = pts(spark, d).select("pid", geo.generated(**{f"r{k}": c for k, c in enumerate(turned)}).alias("m")).select("pid", geo.generated(**dict(zip("wxyz", back))).alias("q"))
+    return rows.select("pid", *(F.round(F.when(F.col("q.w") < 0, -F.col(f"q.{n}")).otherwise(F.col(f"q.{n}")), 6).alias(n) for n in "wxyz"))
 
 
 @query(f"WITH {EVPTS} SELECT pid FROM evpts WHERE x BETWEEN -5 AND 5 AND y BETWEEN -5.5 AND 4.5 AND z BETWEEN -5 AND 2.5")
