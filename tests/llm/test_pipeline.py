@@ -1,6 +1,5 @@
 """The stages of the pipeline against plain Python, and the whole run on hard cases and on an empty table."""
 
-import math
 import re
 from collections import Counter, defaultdict
 
@@ -9,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from roomweave.llm import pii, quality
-from tests.llm.test_queries import DOCS, HARD, LOWER, SPANS, WORD, holds, linked
+from tests.llm.test_queries import DOCS, HARD, LOWER, SPANS, WORD, graded, holds, linked, plain_estimate
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -45,50 +44,11 @@ def test_quality(spark, docs):
     assert not [t for _, t in pairs(got) if len((t or "").split()) < 50]
 
 
-def votes(text):
-    """The votes of the rules on a text, read plainly, and whether it fails at once."""
-    w, seen, dup = WORD.findall(text), set(), 0
-    for line in text.split("\n"):
-        if WORD.search(line):
-            dup += line in seen
-            seen.add(line)
-    grams = Counter(tuple(w[j : j + 3]) for j in range(len(w) - 2))
-    repeat = len({k for j in range(len(w) - 2) if grams[tuple(w[j : j + 3])] > 1 for k in range(j, j + 3)})
-    n, chars, symbols = len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text)
-    letters, upper, bangs, bars = (len(re.findall(p, text)) for p in ("[A-Za-z]", "[A-Z]", "!", r"\|"))
-    pairs_ = [(n < 20, n >= 50), (chars < 2 * n or chars > 12 * n, 3 * n <= chars <= 10 * n), (10 * symbols > 3 * n, 50 * symbols <= n), (10 * symbols > chars, 200 * symbols <= chars), (5 * bars > n, 50 * bars <= n),
-              (2 * upper > letters, 5 * upper <= letters), (5 * bangs > n, 50 * bangs <= n), (2 * repeat > n, 10 * repeat <= n), (dup >= 3 and 40 * dup > n, dup == 0)]
-    return "".join("-" if bad else "+" if good else "0" for bad, good in pairs_), n < 50 or 100 * repeat > 50 * n
-
-
-def posteriors(patterns, rounds=200):
-    """Estimation pattern by pattern and rule by rule, in plain numbers."""
-    cut = lambda x: min(max(x, 0.001), 0.999)
-    share, right = 0.8, {k: (0.998, 0.3) for k in range(9)}
-    post = {}
-    for _ in range(rounds):
-        for p in patterns:
-            good, bad = math.log(share), math.log(1 - share)
-            for k, v in enumerate(p):
-                if v != "0":
-                    g, b = right[k]
-                    good += math.log(g if v == "+" else 1 - g)
-                    bad += math.log(b if v == "-" else 1 - b)
-            post[p] = 1 / (1 + math.exp(min(500, max(-500, bad - good))))
-        total = sum(patterns.values())
-        share = cut(sum(n * post[p] for p, n in patterns.items()) / total)
-        for k in range(9):
-            voted = {p: n for p, n in patterns.items() if p[k] != "0"}
-            g, b = sum(n * post[p] for p, n in voted.items()), sum(n * (1 - post[p]) for p, n in voted.items())
-            right[k] = (cut(sum(n * post[p] for p, n in voted.items() if p[k] == "+") / max(g, 1e-9)), cut(sum(n * (1 - post[p]) for p, n in voted.items() if p[k] == "-") / max(b, 1e-9)))
-    return post
-
-
 def test_quality_plainly(spark, docs):
     """The rows that stay, by plain counts, votes and estimation."""
     rows = pairs(docs)
-    read = [votes(t or "") for _, t in rows]
-    post = posteriors(Counter(v for v, _ in read)) if rows else {}
+    read = [graded(t or "") for _, t in rows]
+    post = plain_estimate(Counter(v for v, _ in read)) if rows else {}
     want = [r for r, (v, failed) in zip(rows, read) if not failed and post[v] >= 0.5]
     assert pairs(cp.quality_rules(spark, docs, "")) == ordered(want)
 

@@ -1,6 +1,7 @@
 """The registered queries against plain Python on the smallest tables, and on small tables of hard cases."""
 
 import hashlib
+import math
 import re
 import zlib
 from array import array
@@ -460,6 +461,80 @@ def test_op9_noisy_rule():
         assert found[clean] > 0.9 and found[noisy] > 0.5 and found[junk] < 0.1
 
 
+def graded(t):
+    """The votes of a text, from the text by plain Python."""
+    w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+    n, chars, letters, upper = len(w), sum(map(len, w)), len(re.findall("[A-Za-z]", t)), len(re.findall("[A-Z]", t))
+    bars, shouts, digits, twice = t.count("|"), t.count("!"), len(re.findall("[0-9]", t)), len(lines) - len(set(lines))
+    other = sum(t.count(c) for c in "#*$%&<>")
+    grams = Counter(zip(w, w[1:], w[2:]))
+    repeat = len({k for j in range(n - 2) if grams[tuple(w[j : j + 3])] > 1 for k in range(j, j + 3)})
+    rules = [
+        (n < 20, n < 50, n >= 100),
+        (chars < 2 * n or chars > 12 * n, chars < 3 * n or chars > 10 * n, 3.5 * n <= chars <= 9 * n),
+        (10 * other > 3 * n, 10 * other > n, 50 * other <= n),
+        (5 * bars > n, 20 * bars > n, 50 * bars <= n),
+        (2 * upper > letters, 10 * upper > 3 * letters, 5 * upper <= letters),
+        (5 * shouts > n, 10 * shouts > n, 50 * shouts <= n),
+        (2 * repeat > n or (twice >= 3 and 40 * twice > n), 10 * repeat > n or twice >= 1, 20 * repeat <= n),
+        (2 * digits > chars, 4 * digits > chars, 10 * digits <= chars),
+    ]
+    failed = n < 50 or 100 * repeat > 50 * n
+    return "".join("=" if s else "-" if k else "+" if g else "0" for s, k, g in rules), failed
+
+
+def plain_estimate(counts, rounds=200):
+    """Posteriors of vote patterns: the estimation as written in the docstring, document by document and rule by rule."""
+    m = len(next(iter(counts)))
+    share, tables = 0.8, {True: [{"+": 0.995, "-": 0.0045, "=": 0.0005} for _ in range(m)], False: [{"+": 0.6, "-": 0.2, "=": 0.2} for _ in range(m)]}
+    for _ in range(rounds):
+        post = {}
+        for p in counts:
+            good = share * math.prod(tables[True][k][v] for k, v in enumerate(p) if v != "0")
+            bad = (1 - share) * math.prod(tables[False][k][v] for k, v in enumerate(p) if v != "0")
+            post[p] = good / (good + bad) if "-" in p or "=" in p else 1.0
+        share = min(max(sum(counts[p] * post[p] for p in counts) / sum(counts.values()), 0.001), 0.998)
+        for side in tables:
+            for k in range(m):
+                mass = {v: sum(c * (post[p] if side else 1 - post[p]) for p, c in counts.items() if p[k] == v) for v in "+-="}
+                total = max(sum(mass.values()), 1e-9)
+                mass = {v: min(max(x / total, 0.001), 0.998) for v, x in mass.items()}
+                if side:
+                    mass["="] = min(mass["="], 0.0005)
+                tables[side][k] = {v: x / sum(mass.values()) for v, x in mass.items()}
+    return post
+
+
+def test_op9_verdict(spark):
+    """Votes, posteriors and verdicts of a whole table against plain Python; some documents with a vote against them stay."""
+    folder = "/root/testdata/sf0.01"
+    want = {i: graded(t) for i, t in texts(spark, folder)}
+    post = plain_estimate(Counter(v for v, _ in want.values()))
+    got = q.op9_quality(spark, folder).collect()
+    assert len(got) == len(want)
+    for r in got:
+        votes, failed = want[r.doc_id]
+        assert (r.votes, r.base_failed, r.kept) == (votes, failed, not failed and post[votes] >= 0.5)
+        assert math.isclose(r.posterior, post[votes], rel_tol=1e-6, abs_tol=1e-9)
+    assert sum(r.kept and "-" in r.votes for r in got) >= 10
+
+
+def test_op9_kinds_of_junk():
+    """Junk that one rule alone sees goes, whichever it is; a weak vote alone counts by how often it meets other votes against."""
+    from roomweave.llm import quality
+
+    rules = len(quality.RULES)
+    one = lambda k, v: "+" * k + v + "+" * (rules - k - 1)
+    for k in range(rules):
+        other = (k + 1) % rules
+        found = quality.estimate({"+" * rules: 8000, one(k, "="): 200, one(other, "="): 300, one(k, "-"): 400})
+        assert found[one(k, "=")] < 0.2 and found[one(other, "=")] < 0.2 and found[one(k, "-")] > 0.8 and found["+" * rules] == 1
+    first_two = "--" + "+" * (rules - 2)
+    found = quality.estimate({"+" * rules: 8000, first_two: 500, one(0, "-"): 3})
+    assert found[first_two] < 0.1
+    assert quality.estimate({}) == {} and quality.estimate({"+" * rules: 1})["+" * rules] == 1
+
+
 def test_op4_low_percent(spark):
     """At 60 percent: a set linked to its hub also links to one that is neither near the hub nor far by its sketch."""
     from roomweave.llm import ngram_join
