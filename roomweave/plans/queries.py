@@ -213,7 +213,7 @@ _KNN = f"WITH {PTS}, n AS (SELECT a.pid, b.pid AS other, {_PAIR} AS dist, row_nu
 
 @query(_KNN + "SELECT pid, round(mean, 6) AS mean FROM m WHERE mean < (SELECT avg(mean) + 2 * stddev_pop(mean) FROM m)")
 def knn_outliers(spark, d):
-    means = neighbours.nearest(pts(spark, d), 20, 1.0).groupBy("pid").agg(F.avg("dist").alias("mean"))
+    means = neighbours.nearest(pts(spark, d), 20).groupBy("pid").agg(F.avg("dist").alias("mean"))
     limit = means.agg((F.avg("mean") + 2 * F.stddev_pop("mean")).alias("limit"))
     return means.crossJoin(F.broadcast(limit)).where("mean < limit").select("pid", r6("mean"))
 

@@ -114,3 +114,23 @@ def test_far_outlier(spark):
     rows = [(i, i * 0.1, 0.0, 0.0) for i in range(6)] + [(9, 1e5, 0.0, 0.0)]
     got = neighbours.nearest(spark.createDataFrame(rows, "pid long, x double, y double, z double"), 2, 0.5)
     assert [r.other for r in got.where("pid = 9").orderBy("rank").collect()] == [5, 4] and got.count() == 14
+
+
+def test_nearest_where_points_are_dense(spark):
+    """A dense ball, a heap of copies, lone points and null ones, against all distances; few points; no points."""
+    rng = np.random.default_rng(3)
+    places = np.vstack([rng.normal(0, 1e-4, (700, 3)), np.tile([0.5, -2.0, 3.0], (300, 1)), rng.uniform(-50, 50, (150, 3)), rng.integers(0, 3, (60, 3)).astype(float)])
+    schema = "pid long, x double, y double, z double"
+    rows = [(int(i), *map(float, places[j])) for i, j in enumerate(rng.permutation(len(places)))]
+    at = np.array([r[1:] for r in rows])
+    for k in (1, 4):
+        want = set()
+        for i in range(len(rows)):
+            d = at[i] - at
+            order = np.lexsort((np.arange(len(rows)), np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2])))
+            want |= {(i, int(j), r + 1) for r, j in enumerate(order[order != i][:k])}
+        got = neighbours.nearest(spark.createDataFrame([*rows, (9999, None, 0.0, 0.0)], schema).repartition(5), k)
+        assert {(r.pid, r.other, r.rank) for r in got.collect()} == want and got.count() == len(want)
+    few = neighbours.nearest(spark.createDataFrame(rows[:3], schema), 9)
+    assert sorted((r.pid, r.rank) for r in few.collect()) == [(i, r) for i in range(3) for r in (1, 2)]
+    assert not neighbours.nearest(spark.createDataFrame(rows[:1], schema), 2).count() and not neighbours.nearest(spark.createDataFrame([], schema), 2).count()
