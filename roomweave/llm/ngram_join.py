@@ -16,10 +16,11 @@ Verification.  Sets that agree on an n-gram are not paired with each other, but
 with most agreement overall).  Overlaps are counted fragment by fragment and summed per pair.
 
 The rest, exactly.  By the triangle inequality of the Jaccard distance, linked sets are both near their hub or both
-far from it.  Near the hub, they can only link if they share n-grams in which they differ from it: with M and E the
-n-grams a set misses of the hub's and has beyond them, the pair's overlap is |hub| - |M1| - |M2| + shared differences,
-so the threshold demands a number of shared differences, at least one.  A prefix join over the differences, rarest
-first, finds those pairs.  Sets far from the hub of a bucket that holds several such are the next round's sets: they
+far from it.  Those near it are seen from a set in their midst, the centre.  Sets that link to it are joined by it; two
+of which one does not can only link if they share n-grams in which they differ from it: with M and E the n-grams a set
+misses of the centre's and has beyond them, the pair's overlap is |centre| - |M1| - |M2| + shared differences, so the
+threshold demands a number of shared differences, at least one.  A prefix join over the differences, rarest first,
+finds those pairs; how early the first shared one must come is judged for each pair, by what both differ.  Sets far from the hub of a bucket that holds several such are the next round's sets: they
 are counted, ordered and given hubs anew, among themselves.  What ROUNDS rounds leave is joined by its prefixes and
 verified in the same way.  So near copies of one text cost one pair each, whatever the group's size, and no link
 between different sets is lost.
@@ -244,15 +245,19 @@ def _rarest_first(rows: DataFrame) -> DataFrame:
 
 
 def _rest(items: DataFrame, percent: int) -> DataFrame:
-    """Pairs (hub, set1, set2) of sets around one hub that may link, from items
-    (hub, zone, set, item, pos, n, cost, room, probe, index): at least (cost1 + cost2 - room) / (100 + percent) items are
-    shared, and at least ``probe`` of the one's, ``index`` of the other's."""
+    """Pairs (hub, set1, set2) of sets around one hub that may link, from items (hub, zone, set, item, pos, n, cost, room):
+    they share at least (cost1 + cost2 - room) / (100 + percent) items, and one's cost is above the room.
+
+    The first item that they share leaves no less than that from its place on in each.  So the set of less cost, whose
+    partner costs no less, only sends items up to an early place, and of all matches of a pair few fit."""
+    top = 100 + percent
     names = ("set", "cost", "pos", "n")
-    one = items.where("probe IS NOT NULL AND pos <= n - probe + 1").select("hub", "zone", "item", *(F.col(c).alias(f"{c}1") for c in names), "room")
-    two = items.where("pos <= n - index + 1").select("hub", "zone", "item", *(F.col(c).alias(f"{c}2") for c in names))
-    fits = F.expr(f"set1 <> set2 AND (least(pos1, pos2) + least(n1 - pos1, n2 - pos2)) * {100 + percent} >= cost1 + cost2 - room")
+    one = items.where(f"cost > room AND pos <= n - ceil((cost - room) / 100) + 1").select("hub", "zone", "item", *(F.col(c).alias(f"{c}1") for c in names), "room")
+    least = f"greatest(ceil((2 * cost - room) / {top}), floor(cost / {top}) + 1)"
+    two = items.where(f"pos <= n - {least} + 1").select("hub", "zone", "item", *(F.col(c).alias(f"{c}2") for c in names))
+    fits = F.expr(f"(cost2 < cost1 OR cost2 = cost1 AND set2 < set1) AND (1 + least(n1 - pos1, n2 - pos2)) * {top} >= cost1 + cost2 - room")
     found = one.join(two, ["hub", "zone", "item"]).where(fits)
-    return found.select("hub", F.least("set1", "set2").alias("set1"), F.greatest("set1", "set2").alias("set2")).distinct()
+    return found.select("hub", "set1", "set2").distinct()
 
 
 def _judged(sums: DataFrame, percent: int) -> DataFrame:
@@ -263,23 +268,40 @@ def _judged(sums: DataFrame, percent: int) -> DataFrame:
 
 
 def _near(met: DataFrame, frags: DataFrame, percent: int) -> DataFrame:
-    """Items of _rarest_first, from rows of _judged: the differences of sets near their hub.
+    """(hub, set, missing, extra, size) from rows of _judged: the differences of sets near their hub, and the hub's n-grams.
     Only hubs with two sets, not both linked to them, can have left a link out."""
-    top = 100 + percent
     open_hubs = met.groupBy("hub").agg(F.count("*").alias("sets"), F.count_if(~F.col("linked")).alias("open")).where("sets > 1 AND open > 0").select("hub")
-    around = met.where(f"jaccard >= {NEAR - (100 - percent) / 200}").join(open_hubs, "hub", "left_semi")
-    differing = _beside(around.select("hub", "set"), frags).groupBy("hub", "set").agg(F.flatten(F.collect_list(F.concat("missing", "extra"))).alias("items"))
-    return around.join(differing, ["hub", "set"]).selectExpr(
-        "hub", "'near' AS zone", "set", "items", "cost", "room",
-        f"CASE WHEN NOT linked THEN greatest(1, CAST(ceil((cost - room) / {top}) AS INT)) END AS probe", f"CAST(floor(cost / {top}) AS INT) + 1 AS index")
+    around = met.where(f"jaccard >= {NEAR - (100 - percent) / 200}").join(open_hubs, "hub", "left_semi").select("hub", "set", (F.col("both") + F.col("n_missing")).alias("size"))
+    both = (F.flatten(F.collect_list(c)).alias(c) for c in ("missing", "extra"))
+    return around.join(_beside(around.select("hub", "set"), frags).groupBy("hub", "set").agg(*both), ["hub", "set"])
+
+
+def _centred(near: DataFrame, percent: int) -> DataFrame:
+    """(hub, centre, set, items, cost, room): near, with the differences not from the hub, but from a set amid those around it.
+
+    An unlike hub leaves all sets around it open, however alike they are.  The centre is the set that differs least from
+    what most of the sets hold; the hub itself, if no other does better."""
+    items = near.select("hub", "set", F.explode(F.concat("missing", "extra")).alias("item"))
+    most = items.groupBy("hub", "item").agg(F.count("*").alias("freq")).join(near.groupBy("hub").agg(F.count("*").alias("sets")), "hub").where("2 * freq > sets").select("hub", "item")
+    held = items.join(most, ["hub", "item"]).groupBy("hub", "set").agg(F.count("*").alias("held"))
+    score = near.join(held, ["hub", "set"]).select("hub", "set", (F.size("missing") + F.size("extra") - 2 * F.col("held")).alias("score")).where("score < 0")
+    best = score.groupBy("hub").agg(F.min(F.struct("score", "set")).alias("best")).select("hub", F.col("best.set").alias("set"))
+    centres = near.join(best, ["hub", "set"]).select("hub", F.col("set").alias("centre"), F.col("missing").alias("less"), F.col("extra").alias("more"))
+    none = F.array().cast("array<long>")
+    seen = near.join(centres, "hub", "left").where("centre IS NULL OR set <> centre").withColumns({"less": F.coalesce("less", none), "more": F.coalesce("more", none)}).select(
+        "hub", F.coalesce("centre", "hub").alias("centre"), "set", (F.col("size") - F.size("less") + F.size("more")).alias("size"),
+        F.concat(F.array_except("missing", "less"), F.array_except("more", "extra")).alias("missing"), F.concat(F.array_except("extra", "more"), F.array_except("less", "missing")).alias("extra"))
+    return seen.selectExpr("hub", "centre", "set", "concat(missing, extra) AS items", f"100L * size(missing) + {percent} * size(extra) AS cost", f"{100 - percent} * size AS room")
 
 
 def _close(near: DataFrame, percent: int) -> DataFrame:
-    """Links (hub, set) between sets near one hub: the differences that two sets share give their overlap."""
-    one, two = (near.select("hub", F.col("set").alias(f"set{k}"), F.col("items").alias(f"items{k}"), F.col("cost").alias(f"cost{k}"), *(["room"] if k == 1 else [])) for k in (1, 2))
-    both = _rest(_rarest_first(near), percent).join(one, ["hub", "set1"]).join(two, ["hub", "set2"])
+    """Links (hub, set) that join sets near one hub, from rows of _centred: to their centre, and between two of which
+    not both link to it.  The differences that two sets share give their overlap."""
+    some = near.join(near.where("cost > room").select("hub").distinct(), "hub", "left_semi").drop("centre")
+    one, two = (some.select("hub", F.col("set").alias(f"set{k}"), F.col("items").alias(f"items{k}"), F.col("cost").alias(f"cost{k}"), *(["room"] if k == 1 else [])) for k in (1, 2))
+    both = _rest(_rarest_first(some.withColumn("zone", F.lit("near"))), percent).join(one, ["hub", "set1"]).join(two, ["hub", "set2"])
     fits = f"{100 + percent} * size(array_intersect(items1, items2)) >= cost1 + cost2 - room"
-    return both.where(fits).select(F.col("set1").alias("hub"), F.col("set2").alias("set"))
+    return near.where("cost <= room").select(F.col("centre").alias("hub"), "set").unionByName(both.where(fits).select(F.col("set1").alias("hub"), F.col("set2").alias("set")))
 
 
 def _placed(frags: DataFrame, percent: int) -> DataFrame:
@@ -322,13 +344,13 @@ def linked_sets(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataF
             break
         left = frags.join(lone, "set_id")
     else:
-        least = f"CAST(ceil({percent} * n / 100) AS INT)"
-        items = _placed(left, percent).selectExpr("0L AS hub", "'far' AS zone", "set", "item", "pos", "n", f"{percent} * n AS cost", "0 AS room", f"{least} AS probe", f"{least} AS index")
+        items = _placed(left, percent).selectExpr("0L AS hub", "'far' AS zone", "set", "item", "pos", "n", f"{percent} * n AS cost", "0L AS room")
         apart = checkpointed(_rest(items, percent).select(F.col("set1").alias("hub"), F.col("set2").alias("set")))
     links = some.limit(0).selectExpr("set_id AS hub", "set_id AS set")
     if rounds:
         counted = reduce(DataFrame.unionByName, rounds)
         near = checkpointed(_near(counted.where("company > 2").drop("company").dropDuplicates(["hub", "set"]), frags, percent))
+        near = checkpointed(_centred(near, percent))
         links = links.unionByName(counted.where("linked").select("hub", "set")).unionByName(_close(near, percent))
     return links if apart is None else links.unionByName(_linked(_overlaps(apart, frags), percent))
 

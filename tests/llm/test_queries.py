@@ -548,6 +548,36 @@ def test_op4_low_percent(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == {i: component[i] for i, _ in docs}
 
 
+@pytest.mark.parametrize("group", ["unlike", "unlike hub"])
+def test_op4_large_group(spark, monkeypatch, group):
+    """Of sets near one hub, most pairs that cannot link are not looked at, nor are pairs of sets that link to a set amid them."""
+    from roomweave.llm import ngram_join
+
+    words = lambda name, n: [f"{name}{k}" for k in range(n)]
+    random = np.random.default_rng(7)
+    if group == "unlike":  # each lacks blocks of one text and has words of its own
+        blocks, docs = [words(f"b{k}x", 10) for k in range(29)], []
+        for i in range(60):
+            lacking = set(random.choice(29, 8, replace=False).tolist())
+            docs.append((i, " ".join(w for k, b in enumerate(blocks) if k not in lacking for w in b) + " " + " ".join(words(f"own{i}x", 35))))
+        docs.append((100, docs[50][1] + " end"))
+    else:  # near copies of one text, and one with a passage of other documents, which meets the most of them
+        text, passage = words("b", 200), words("p", 60)
+        docs = [(i, " ".join(text[: 4 * i] + words(f"own{i}x", 4) + text[4 * i + 4 :])) for i in range(40)]
+        docs += [(100 + i, " ".join(passage + words(f"end{i}x", 2))) for i in range(80)] + [(200, " ".join(text + passage))]
+    pairs, rest = [], ngram_join._rest
+
+    def counted(items, percent):
+        pairs.append(rest(items, percent).count())
+        return rest(items, percent)
+
+    monkeypatch.setattr(ngram_join, "_rest", counted)
+    got = ngram_join.join_ngrams(spark.createDataFrame(docs, "doc_id long, text string"), n=1, percent=80)
+    component = linked(docs, 1, 80)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: component[i] for i, _ in docs}
+    assert len(pairs) > 0 and sum(pairs) < 200
+
+
 def test_op2_odd_pages(spark, tmp_path):
     """Null and empty pages, repeated rows, pages without a host and without names, a column of a clashing name, an empty table."""
     page = "<html><body><div class='top'>Site name</div><div class='b'><p>Own text {0} &amp; more</p></div><div class='end'>All rights</div></body></html>"
