@@ -109,6 +109,39 @@ def test_projection_in_blocks(spark):
     assert {tuple(r) for r in frames.project(points, cameras).collect()} == want and want
 
 
+def _viewed(spark, places, cameras):
+    points = spark.createDataFrame([(i, *map(float, x), f"k{i % 3}") for i, x in enumerate(places)], "pid long, x double, y double, z double, kind string")
+    one = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    poses = [(k, one, *map(float, t), 300.0, 300.0, 200.0, 150.0, 400, 300) for k, t in enumerate(cameras)]
+    return points, spark.createDataFrame(poses, "frame int, r array<double>, tx double, ty double, tz double, fx double, fy double, cx double, cy double, width int, height int")
+
+
+def test_projection_of_copies(spark, monkeypatch):
+    """Points of one place, cameras of one pose, places that are missing, many packs, and more cameras than are broadcast."""
+    rng = np.random.default_rng(5)
+    p = np.repeat(rng.normal(0, 2, (90, 3)), 5, 0)
+    p[7, 0], p[8, 2] = np.nan, np.inf
+    t = np.repeat(rng.normal(0, 1, (6, 3)), 4, 0)
+    points, cameras = _viewed(spark, p, t)
+    points = points.unionByName(spark.createDataFrame([(None, 0.1, 0.1, 9.0, "none"), (-1, None, 0.0, 9.0, "no place")], points.schema))
+    want = sorted((k, i, round(x / z * 300 + 200), round(y / z * 300 + 150), f"k{i % 3}") for k, s in enumerate(t) for i, (x, y, z) in enumerate(p + s) if np.isfinite([x, y, z]).all() and z > 0.05 and 0 <= round(x / z * 300 + 200) < 400 and 0 <= round(y / z * 300 + 150) < 300)
+    for name, value in (("PART", 1024), ("PART", 16), ("VIEWS", 5), ("STRIP", 2), ("VIEWERS", 3)):
+        monkeypatch.setattr(frames, name, value)
+        got = [tuple(r) for r in frames.project(points, cameras, keep=("kind",)).collect()]
+        assert sorted(r for r in got if r[1] is not None) == want and want
+        assert sorted(r[0] for r in got if r[1] is None) == list(range(24))
+    assert frames.project(points.limit(0), cameras).count() == frames.project(points, cameras.limit(0)).count() == 0
+
+
+def test_projection_shuffles_points_only(spark):
+    """What pairs of points and cameras make is neither shuffled nor written: only points and cameras are exchanged."""
+    rng = np.random.default_rng(6)
+    points, cameras = _viewed(spark, rng.normal(0, 2, (400, 3)), rng.normal(0, 1, (40, 3)))
+    plan = frames.project(points, cameras)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line and "BroadcastExchange" not in line]
+    assert len(exchanges) == 2 and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
 def test_far_outlier(spark):
     """Neighbours of a point very far away are found too."""
     rows = [(i, i * 0.1, 0.0, 0.0) for i in range(6)] + [(9, 1e5, 0.0, 0.0)]
