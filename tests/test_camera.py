@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from roomweave.functions import camera, geometry
-from roomweave.operators import frames, neighbours, paths
+from roomweave.operators import frames, masks, neighbours, paths
+from roomweave.plans import queries
 
 
 def values(spark, columns):
@@ -142,6 +143,31 @@ def test_projection_shuffles_points_only(spark):
     assert len(exchanges) == 2 and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
 
 
+def test_rectangles_and_weights(spark):
+    """Runs become rectangles and points find the same classes in them; votes are weighed."""
+    rng = np.random.default_rng(8)
+    entries = [(k, i, 1 + i % 3, *map(float, rng.integers(-40, 380, 2)), *map(float, rng.integers(5, 120, 2)), 0.5, None, None, None) for k in range(3) for i in range(4)]
+    runs = masks.label_runs(spark.createDataFrame(entries, "frame int, ord int, class_idx int, x double, y double, w double, h double, conf double, mask_height int, mask_width int, counts string"), 300, 400).checkpoint()
+    points, cameras = _viewed(spark, rng.normal(0, 2, (2000, 3)), rng.normal(0, 1, (3, 3)))
+    got = frames.project(points, cameras.join(masks.areas(runs), "frame"))
+    want = masks.look_up(frames.project(points, cameras), runs)
+    assert sorted(got.select("frame", "pid", "value").collect()) == sorted(want.collect()) and want.count() > 20
+    rows = spark.createDataFrame([(1, 2, 1), (1, 2, 1), (1, 1, 3), (2, 1, 1)], "pid int, class_idx int, n int")
+    assert [tuple(r) for r in frames.vote(rows, 2, "n").collect()] == [(1, 1, 3, 5)] and [tuple(r) for r in frames.vote(rows, 2).collect()] == [(1, 2, 2, 3)]
+
+
+def _rows_written(spark, sf_dir, monkeypatch, name):
+    """The largest table that a query writes for itself."""
+    sizes, written = [], queries.written
+    monkeypatch.setattr(queries, "written", lambda df: (t := written(df), sizes.append(t.count()))[0])
+    assert queries.QUERIES[name](spark, sf_dir).count() > 0
+    return max(sizes)
+
+
+def test_votes_write_no_pixels(spark, sf_dir, monkeypatch):
+    assert _rows_written(spark, sf_dir, monkeypatch, "E5_painted_votes") <= queries.evpts(spark, sf_dir).count()
+
+
 def test_far_outlier(spark):
     """Neighbours of a point very far away are found too."""
     rows = [(i, i * 0.1, 0.0, 0.0) for i in range(6)] + [(9, 1e5, 0.0, 0.0)]
