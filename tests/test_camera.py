@@ -168,6 +168,25 @@ def test_votes_write_no_pixels(spark, sf_dir, monkeypatch):
     assert _rows_written(spark, sf_dir, monkeypatch, "E5_painted_votes") <= queries.evpts(spark, sf_dir).count()
 
 
+def test_labels_write_no_pixels(spark, sf_dir, monkeypatch):
+    assert _rows_written(spark, sf_dir, monkeypatch, "paint_labels") <= queries.evpts(spark, sf_dir).count()
+
+
+def test_first_area(spark):
+    """Of the boxes around a pixel the smallest, then the surest, then the last; frames without boxes have no labels."""
+    rng = np.random.default_rng(7)
+    points, cameras = _viewed(spark, np.repeat(rng.normal(0, 2, (600, 3)), 2, 0), rng.normal(0, 1, (5, 3)))
+    rows = [(k, f"l{i}", *map(int, rng.integers(-20, 300, 2)), *map(int, rng.choice([80, 160], 2)), float(rng.choice([0.2, 0.3, 0.5])), 0.1 * int(i % 5), i) for k in range(4) for i in range(8)]
+    boxes = spark.createDataFrame(rows, "frame int, label string, x int, y int, w int, h int, conf double, cover double, ord int")
+    got = frames.project(points, cameras.join(frames.areas(boxes, 0.25, 0.3), "frame", "left")).select("frame", "pid", "value")
+    want = set()
+    for r in frames.project(points, cameras).collect():
+        hit = [(w * h, -conf, -o, label) for k, label, x, y, w, h, conf, cover, o in rows if k == r.frame and conf >= 0.25 and cover <= 0.3 and x <= r.u < x + w and y <= r.v < y + h]
+        if hit:
+            want.add((r.frame, r.pid, min(hit)[-1]))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 50
+
+
 def test_far_outlier(spark):
     """Neighbours of a point very far away are found too."""
     rows = [(i, i * 0.1, 0.0, 0.0) for i in range(6)] + [(9, 1e5, 0.0, 0.0)]
