@@ -187,6 +187,55 @@ def test_first_area(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 50
 
 
+def _nearest_plainly(zones, cameras):
+    """Missing distances last, before them those that are no number; of equals the first camera."""
+    want = {}
+    for zone, *p in zones:
+        order = []
+        for camera, *q in cameras:
+            # sum() would carry what is lost in rounding.
+            d = None if None in p or None in q else math.sqrt((p[0] - q[0]) * (p[0] - q[0]) + (p[1] - q[1]) * (p[1] - q[1]) + (p[2] - q[2]) * (p[2] - q[2]))
+            order.append((d is None, d is not None and math.isnan(d), d if d is not None and not math.isnan(d) else 0.0, camera))
+        none, odd, d, camera = min(order)
+        want[zone] = (camera, None if none else "nan" if odd else d)
+    return want
+
+
+def test_nearest_camera(spark, monkeypatch):
+    """Ties, copies of cameras and zones, places that are missing or not finite, a far zone, several packs, and more cameras than are broadcast."""
+    rng = np.random.default_rng(9)
+    inf, nan = math.inf, math.nan
+    cameras = [(7 * k % 301, *map(float, p)) for k, p in enumerate([*rng.normal(0, 0.3, (200, 3)), *rng.integers(-2, 3, (100, 3))])]
+    odd = [(400, None, 0.0, 0.0), (401, nan, 0.0, 0.0), (402, inf, 0.0, 0.0), (403, 1e200, 0.0, 0.0)]
+    zones = [(k, *map(float, p)) for k, p in enumerate([*rng.normal(0, 3, (300, 3)), *rng.integers(-4, 5, (200, 3)) / 2, (1e7, 0, 0)])]
+    zones += [(600, None, 0.0, 0.0), (601, nan, 0.0, 0.0), (602, inf, 0.0, 0.0), (603, -inf, 1.0, 0.0), (604, 1e200, 0.0, 0.0)]
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+
+    def check(cameras):
+        got = frames.nearest_camera(frame(zones, "zone int, x double, y double, z double"), frame(cameras, "camera int, cx double, cy double, cz double")).collect()
+        assert {r.zone: (r.camera, "nan" if r.dist is not None and math.isnan(r.dist) else r.dist) for r in got} == _nearest_plainly(zones, cameras) and len(got) == len(zones)
+
+    for some in (cameras, cameras + odd, odd, odd[:1], [(3, 0.1, 0.2, 0.3)]):
+        check(some)
+    for name, value in (("CAMERAS", 40), ("LEAF", 3), ("VIEWERS", 100)):
+        monkeypatch.setattr(frames, name, value)
+        check(cameras + odd)
+
+
+def test_nearest_of_many_cameras():
+    """A zone far from a cluster of cameras meets few of them: before, all distances were taken."""
+    rng = np.random.default_rng(10)
+    places, zones = rng.normal(0, 0.1, (8192, 3)), rng.normal(0, 3, (20_000, 3))
+    met, sqrt = [], np.sqrt
+    patch = pytest.MonkeyPatch()
+    with patch.context() as m:
+        m.setattr(np, "sqrt", lambda v: (met.append(v.size), sqrt(v))[1])
+        best, dist = frames._nearest(zones, places)
+    want = np.sqrt(((zones[::500, None] - places) ** 2).sum(2))
+    assert (best[::500] == want.argmin(1)).all() and np.allclose(dist[::500], want.min(1), rtol=1e-12)
+    assert sum(met) < 0.1 * len(zones) * len(places)
+
+
 def test_far_outlier(spark):
     """Neighbours of a point very far away are found too."""
     rows = [(i, i * 0.1, 0.0, 0.0) for i in range(6)] + [(9, 1e5, 0.0, 0.0)]
