@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,20 +18,42 @@ BLOCK = 2048  # frames of a block
 PLACES = 9  # of correlations that are compared
 
 
+def laplacian_variance(images: np.ndarray, missing: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """For each image (images, height, width) the variance of the Laplacian (four neighbours; the edge is mirrored at its pixels),
+    and whether any pixel counts: missing ones and those beside them do not."""
+    inside = lambda v, n: (n - 1) - np.abs((n - 1) - np.abs(v))
+    rows, columns = (np.arange(n) for n in images.shape[1:])
+    up, down = (inside(rows + k, len(rows)) for k in (-1, 1))
+    left, right = (inside(columns + k, len(columns)) for k in (-1, 1))
+    response = (images[:, up] + images[:, down] + images[:, :, left] + images[:, :, right] - 4 * images).reshape(len(images), -1)
+    if missing is None:
+        return response.var(1), np.ones(len(images), bool)
+    counts = ~(missing | missing[:, up] | missing[:, down] | missing[:, :, left] | missing[:, :, right]).reshape(response.shape)
+    n = counts.sum(1)
+    with np.errstate(invalid="ignore"):
+        mean = np.where(counts, response, 0.0).sum(1) / n
+        return np.where(counts, (response - mean[:, None]) ** 2, 0.0).sum(1) / n, n > 0
+
+
 def sharpness(pixels: Column, width: int, height: int) -> Column:
-    """Variance of the Laplacian (four neighbours; the edge is mirrored at its pixels) of a grey image, an array row by row;
-    -1 where there is no image of that size."""
-    at = lambda y, x: F.get(pixels, (y * width + x).cast("int"))
-    inside = lambda v, n: (n - 1) - F.abs((n - 1) - F.abs(v))
-
-    def around(value: Column, i: Column) -> Column:
-        y, x = F.floor(i / width), i % width
-        return at(inside(y - 1, height), x) + at(inside(y + 1, height), x) + at(y, inside(x - 1, width)) + at(y, inside(x + 1, width)) - 4 * value
-
-    responses = F.transform(pixels, around)
-    mean = F.aggregate(responses, F.lit(0.0), lambda a, v: a + v) / (width * height)
-    spread = F.aggregate(responses, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / (width * height)
-    return F.when(F.size(pixels) == width * height, spread).otherwise(F.lit(-1.0))
+    """Variance of the Laplacian of a grey image, an array row by row; -1 where there is no image of that size, null where
+    each pixel is missing or beside a missing one."""
+    size = width * height
+
+    @F.arrow_udf("double")
+    def measure(rows: pa.Array) -> pa.Array:
+        held = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(rows), size), False).to_numpy(zero_copy_only=False))
+        out, empty = np.full(len(rows), -1.0), np.zeros(len(rows), bool)
+        for s in range(0, len(held), step := max(1, 1_000_000 // size)):
+            some = held[s : s + step]
+            values = rows.take(pa.array(some)).flatten()
+            images = values.to_numpy(zero_copy_only=False).astype(float).reshape(-1, height, width)
+            missing = values.is_null().to_numpy(zero_copy_only=False).reshape(images.shape) if values.null_count else None
+            out[some], counted = laplacian_variance(images, missing)
+            empty[some] = ~counted
+        return pa.array(out, mask=empty)
+
+    return measure(pixels)
 
 
 def histograms(values: DataFrame) -> DataFrame:

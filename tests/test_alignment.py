@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roomweave.operators import alignment, crops, images, masks, paths
+from roomweave.plans import queries
 
 
 def turn(rng):
@@ -84,6 +85,23 @@ def test_sharpness(spark):
     assert got == [pytest.approx(want), -1, -1]
 
 
+def test_sharpness_of_gaps(spark, tmp_path):
+    """Missing pixels count as the SQL has them; images are measured over arrays, not element by element in array functions."""
+    import duckdb
+
+    rng = np.random.default_rng(6)
+    rows = [rng.normal(size=64).tolist() for _ in range(40)]
+    rows[3][10] = rows[4][0] = rows[4][63] = rows[5][27] = None
+    rows[6] = [None] * 64
+    spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    df = queries.J13_sharpness(spark, str(tmp_path))
+    assert dict(map(tuple, df.select("pid", "sharpness").collect())) == dict(con.execute(queries.SQL["J13_sharpness"]).fetchall())
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "lambda" not in plan
+
+
 def test_histograms(spark):
     rows = [(1, 0.0), (1, 3.9), (1, 256.0), (1, 255.0), (2, 8.0), (2, -1.0), (3, None)]
     shares = images.histograms(spark.createDataFrame(rows, "frame int, grey double")).checkpoint()
