@@ -217,7 +217,7 @@ def test_nearest_camera(spark, monkeypatch):
 
     for some in (cameras, cameras + odd, odd, odd[:1], [(3, 0.1, 0.2, 0.3)]):
         check(some)
-    for name, value in (("CAMERAS", 40), ("LEAF", 3), ("VIEWERS", 100)):
+    for name, value in (("CAMERAS", 40), ("LEAF", 3), ("BRANCH", 2), ("TREES", 2), ("VIEWERS", 100)):
         monkeypatch.setattr(frames, name, value)
         check(cameras + odd)
 
@@ -230,7 +230,7 @@ def test_nearest_of_many_cameras():
     patch = pytest.MonkeyPatch()
     with patch.context() as m:
         m.setattr(np, "sqrt", lambda v: (met.append(v.size), sqrt(v))[1])
-        best, dist = frames._nearest(zones, places)
+        best, dist = frames._Boxes(places).nearest(zones)
     want = np.sqrt(((zones[::500, None] - places) ** 2).sum(2))
     assert (best[::500] == want.argmin(1)).all() and np.allclose(dist[::500], want.min(1), rtol=1e-12)
     assert sum(met) < 0.1 * len(zones) * len(places)
